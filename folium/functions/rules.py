@@ -3,27 +3,37 @@
 A rule list is declared as data and turned into one lazy ``CASE``, so a
 classifier runs inside the scan stage: no join, no shuffle, no Python worker.
 Exact lists become hash-set ``IN`` tests.
+
+A folded key is read by dozens of tests.  :func:`bind` computes such values once
+per row: it emits them from a one-row ``inline``, which the optimizer neither
+merges into its consumers nor pushes filters through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium import fixed_values as fv
 
 
-def contains_any(col: Column, markers: Iterable[str]) -> Column:
-    return reduce(or_, [col.contains(m) for m in markers])
+def bind(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row, however often they are read."""
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def starts_with_any(col: Column, prefixes: Iterable[str]) -> Column:
-    return reduce(or_, [col.startswith(p) for p in prefixes])
+def _struct_sql(names: Iterable[str], values: Iterable[str]) -> str:
+    pairs = (f"{quoted(n)}, {quoted(v)}" for n, v in zip(names, values))
+    return f"named_struct({', '.join(pairs)})"
 
 
 @dataclass(frozen=True)
@@ -35,39 +45,28 @@ class KeyRule:
     prefixes: tuple[str, ...] = ()
     markers: tuple[str, ...] = ()
 
-    def test(self, key: Column) -> Column:
-        tests = []
+    def test(self, key: str) -> str:
+        tests = [f"startswith({key}, {quoted(p)})" for p in self.prefixes]
+        tests += [f"contains({key}, {quoted(m)})" for m in self.markers]
         if self.exact:
-            tests.append(key.isin(*self.exact))
-        if self.prefixes:
-            tests.append(starts_with_any(key, self.prefixes))
-        if self.markers:
-            tests.append(contains_any(key, self.markers))
-        return reduce(or_, tests)
-
-
-def literal_struct(names: Iterable[str], values: Iterable) -> Column:
-    return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)])
+            tests.insert(0, f"{key} IN ({', '.join(quoted(v) for v in self.exact)})")
+        return " OR ".join(tests)
 
 
 def first_match(
-    key: Column, rules: Iterable[KeyRule], names: Iterable[str], default: tuple[str, ...]
+    key: str, rules: Iterable[KeyRule], names: Iterable[str], default: tuple[str, ...]
 ) -> Column:
-    """Struct of the first rule whose test holds, else ``default``."""
+    """Struct of the first rule that the key column meets, else ``default``."""
     names = list(names)
-    chain = None
-    for rule in rules:
-        outcome = literal_struct(names, rule.outcome)
-        test = rule.test(key)
-        chain = F.when(test, outcome) if chain is None else chain.when(test, outcome)
-    return chain.otherwise(literal_struct(names, default))
+    arms = "\n".join(f"WHEN {rule.test(key)} THEN {_struct_sql(names, rule.outcome)}" for rule in rules)
+    return F.expr(f"CASE {arms} ELSE {_struct_sql(names, default)} END")
 
 
 def class_lookup(col: Column, table: dict[str, tuple], names: Iterable[str]) -> Column:
     """Struct looked up by class; null when the class is unknown."""
     names = list(names)
-    pairs = [x for k, v in table.items() for x in (F.lit(k), literal_struct(names, v))]
-    return F.try_element_at(F.create_map(*pairs), col)
+    pairs = ", ".join(f"{quoted(k)}, {_struct_sql(names, v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), col)
 
 
 def regex(pattern: str, ignore_case: bool = False) -> str:

@@ -53,7 +53,7 @@ _WS_RUN = f" [{_WS}]+|[{_WS_NOT_SPACE}][{_WS}]*"
 _HANGUL = ("가", "힣")
 _EVERYDAY = (range(0x250), range(0x2000, 0x2070))
 _EVERYDAY_LONG = ("ß", "…")
-_PAIR, _ITEM = "", ""
+_PAIR, _ITEM = "\ue000", "\ue001"
 
 
 def _upper_key(ch: str) -> str:
@@ -79,11 +79,11 @@ class FoldTable:
     dropped: str
     longer: dict[str, str]
 
-    def translate(self, text: Column, keep: Callable[[str], bool] | None = None) -> Column:
-        pairs = [(k, v) for k, v in self.single.items() if keep is None or keep(k)]
-        gone = "".join(ch for ch in self.dropped if keep is None or keep(ch))
-        source = "".join(k for k, _ in pairs) + gone
-        return F.translate(text, source, "".join(v for _, v in pairs))
+    def pairs(self, everyday_only: bool) -> tuple[str, str]:
+        """Arguments of ``translate``; characters beyond the second one's length are deleted."""
+        kept = [(k, v) for k, v in self.single.items() if not everyday_only or _is_everyday(k)]
+        gone = "".join(ch for ch in self.dropped if not everyday_only or _is_everyday(ch))
+        return "".join(k for k, _ in kept) + gone, "".join(v for _, v in kept)
 
 
 def _decomposable() -> list[int]:
@@ -116,20 +116,53 @@ def fold_table(key: Callable[[str], str]) -> FoldTable:
     return FoldTable(single, "".join(dropped), longer)
 
 
-def _expand_longer(text: Column, table: FoldTable) -> Column:
+def _is_everyday(ch: str) -> bool:
+    return any(ord(ch) in span for span in _EVERYDAY)
+
+
+@dataclass(frozen=True)
+class FoldPlan:
+    """Literal arguments of one folding, derived once from its table."""
+
+    everyday: tuple[str, str]
+    beyond_everyday: str
+    full: tuple[str, str]
+    everyday_longer: tuple[tuple[str, str], ...]
+    longer: str
+    longer_map: str
+
+
+@lru_cache(maxsize=None)
+def fold_plan(key: Callable[[str], str]) -> FoldPlan:
+    table = fold_table(key)
+    handled = [
+        chr(cp)
+        for span in _EVERYDAY
+        for cp in span
+        if chr(cp) not in table.longer or chr(cp) in _EVERYDAY_LONG
+    ]
+    return FoldPlan(
+        everyday=table.pairs(everyday_only=True),
+        beyond_everyday=f"[^{_class_of(handled)}]",
+        full=table.pairs(everyday_only=False),
+        everyday_longer=tuple((ch, table.longer[ch]) for ch in _EVERYDAY_LONG if ch in table.longer),
+        longer="".join(table.longer),
+        longer_map=_PAIR.join(f"{k}{_ITEM}{v}" for k, v in table.longer.items()),
+    )
+
+
+_HANGUL_PARTS = tuple(
+    "".join(chr(base + i) for i in range(n)) for base, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+)
+
+
+def _expand_longer(text: Column, plan: FoldPlan) -> Column:
     """Characters with a longer folded form, one lookup per character.
 
     Hangul syllables decompose by arithmetic, so they need no table.
     """
-    lookup = F.str_to_map(
-        F.lit(_PAIR.join(f"{k}{_ITEM}{v}" for k, v in table.longer.items())),
-        F.lit(_PAIR),
-        F.lit(_ITEM),
-    )
-    leads, vowels, tails = (
-        F.array(*[F.lit(chr(base + i)) for i in range(n)])
-        for base, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
-    )
+    lookup = F.str_to_map(F.lit(plan.longer_map), F.lit(_PAIR), F.lit(_ITEM))
+    leads, vowels, tails = (F.split(F.lit(part), "") for part in _HANGUL_PARTS)
 
     def one(ch: Column) -> Column:
         index = F.ascii(ch) - F.lit(0xAC00)
@@ -141,34 +174,21 @@ def _expand_longer(text: Column, table: FoldTable) -> Column:
         )
         return F.when(ch.between(*_HANGUL), syllable).otherwise(F.coalesce(lookup[ch], ch))
 
-    has_longer = (
-        F.translate(text, "".join(table.longer), "") != text
-    ) | text.rlike(f"[{_HANGUL[0]}-{_HANGUL[1]}]")
+    has_longer = (F.translate(text, plan.longer, "") != text) | text.rlike(f"[{_HANGUL[0]}-{_HANGUL[1]}]")
     expanded = F.array_join(F.transform(F.split(text, ""), one), "")
     return F.when(has_longer, expanded).otherwise(text)
 
 
 def _fold(text: Column, key: Callable[[str], str], ascii_case: Callable[[Column], Column]) -> Column:
-    table = fold_table(key)
-
-    def everyday(ch: str) -> bool:
-        return any(ord(ch) in span for span in _EVERYDAY)
-
-    handled = [
-        chr(cp)
-        for span in _EVERYDAY
-        for cp in span
-        if chr(cp) not in table.longer or chr(cp) in _EVERYDAY_LONG
-    ]
+    plan = fold_plan(key)
     latin = text
-    for ch in _EVERYDAY_LONG:
-        if ch in table.longer:
-            latin = F.replace(latin, F.lit(ch), F.lit(table.longer[ch]))
-    latin = table.translate(latin, everyday)
-    full = _expand_longer(table.translate(text), table)
+    for ch, longer in plan.everyday_longer:
+        latin = F.replace(latin, F.lit(ch), F.lit(longer))
+    latin = F.translate(latin, *plan.everyday)
+    full = _expand_longer(F.translate(text, *plan.full), plan)
     return (
         F.when(F.octet_length(text) == F.char_length(text), ascii_case(text))
-        .when(~text.rlike(f"[^{_class_of(handled)}]"), latin)
+        .when(~text.rlike(plan.beyond_everyday), latin)
         .otherwise(full)
     )
 
@@ -227,14 +247,18 @@ def strip_marks_lower(col: Column) -> Column:
     return _fold(text, _canonical_key, lambda c: c)
 
 
+def is_present_key(key: Column) -> Column:
+    """The folded value holds something and is not a "no value" label."""
+    return ~key.isin("", *fv.ABSENT_LABELS)
+
+
 def is_present(col: Column) -> Column:
-    """Has a folded value that is not a "no value" label."""
-    return ~fold_lower(col).isin("", *fv.ABSENT_LABELS)
+    return is_present_key(fold_lower(col))
 
 
-def joined_present(*cols: Column) -> Column:
-    """Folded values of the columns that hold something, joined by a bar."""
-    return F.concat_ws(" | ", *[F.when(is_present(c), fold_lower(c)) for c in cols])
+def joined_present_keys(*keys: Column) -> Column:
+    """Folded values that hold something, joined by a bar."""
+    return F.concat_ws(" | ", *[F.when(is_present_key(k), k) for k in keys])
 
 
 # --------------------------------------------------------------------------
@@ -299,7 +323,8 @@ def path_rest(col: Column) -> Column:
 # Recoding
 # --------------------------------------------------------------------------
 def literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    text = _PAIR.join(f"{k}{_ITEM}{v}" for k, v in values.items())
+    return F.str_to_map(F.lit(text), F.lit(_PAIR), F.lit(_ITEM))
 
 
 def lookup(col: Column, values: dict[str, str], default: Column | None = None) -> Column:

@@ -10,8 +10,8 @@ from folium import fixed_values as fv
 from folium.functions import text as t
 from folium.functions.rules import (
     KeyRule,
+    bind,
     class_lookup,
-    contains_any,
     first_match,
     first_pattern,
     regex,
@@ -65,10 +65,9 @@ REPOSITORY_RULES = [
 _UNKNOWN = (fv.UNCLASSIFIED, "Indeterminado")
 
 
-def institution_class(col: Column) -> Column:
-    """Struct ``(CLASE_INSTITUCION, ES_UNIVERSIDAD)``."""
-    names = (c.INST_CLASS, c.INST_IS_UNIVERSITY)
-    return first_match(t.fold_upper(col), INSTITUTION_RULES, names, _UNKNOWN)
+def institution_class(key: str) -> Column:
+    """Struct ``(CLASE_INSTITUCION, ES_UNIVERSIDAD)`` of a folded key column."""
+    return first_match(key, INSTITUTION_RULES, (c.INST_CLASS, c.INST_IS_UNIVERSITY), _UNKNOWN)
 
 
 def public_institution_class(technical: Column) -> Column:
@@ -77,10 +76,9 @@ def public_institution_class(technical: Column) -> Column:
     return class_lookup(technical, fv.PUBLIC_INSTITUTION, names)
 
 
-def repository_class(col: Column) -> Column:
-    """Struct ``(CLASE_REPOSITORIO, ES_REPOSITORIO_UNIVERSITARIO)``."""
-    names = (c.REPO_CLASS, c.REPO_IS_UNIVERSITY)
-    return first_match(t.fold_upper(col), REPOSITORY_RULES, names, _UNKNOWN)
+def repository_class(key: str) -> Column:
+    """Struct ``(CLASE_REPOSITORIO, ES_REPOSITORIO_UNIVERSITARIO)`` of a folded key column."""
+    return first_match(key, REPOSITORY_RULES, (c.REPO_CLASS, c.REPO_IS_UNIVERSITY), _UNKNOWN)
 
 
 def public_repository_class(technical: Column) -> Column:
@@ -89,22 +87,30 @@ def public_repository_class(technical: Column) -> Column:
     return class_lookup(technical, fv.PUBLIC_REPOSITORY, names)
 
 
+def _classified(bridge: DataFrame, category: str, technical, public, class_name: str) -> DataFrame:
+    keyed = bind(bridge, {"_key": t.fold_upper(F.col(category))})
+    classed = bind(keyed, {"_class": technical("_key")})
+    return classed.select(
+        *[F.col(f"`{x}`") for x in bridge.columns],
+        "_class.*",
+        public(F.col("_class")[class_name]).alias("_public"),
+    ).select(*[F.col(f"`{x}`") for x in bridge.columns], *_NAMES[class_name], "_public.*")
+
+
+_NAMES = {
+    c.REPO_CLASS: (c.REPO_CLASS, c.REPO_IS_UNIVERSITY),
+    c.INST_CLASS: (c.INST_CLASS, c.INST_IS_UNIVERSITY),
+}
+
+
 def classify_repositories(bridge: DataFrame, category: str = c.CATEGORY) -> DataFrame:
     """Add the five repository columns to a bridge; stays in the scan stage."""
-    return (
-        bridge.withColumn("_class", repository_class(F.col(category)))
-        .withColumn("_public", public_repository_class(F.col(f"_class.{c.REPO_CLASS}")))
-        .select(*[F.col(f"`{x}`") for x in bridge.columns], "_class.*", "_public.*")
-    )
+    return _classified(bridge, category, repository_class, public_repository_class, c.REPO_CLASS)
 
 
 def classify_institutions(bridge: DataFrame, category: str = c.CATEGORY) -> DataFrame:
     """Add the four institution columns to a bridge; stays in the scan stage."""
-    return (
-        bridge.withColumn("_class", institution_class(F.col(category)))
-        .withColumn("_public", public_institution_class(F.col(f"_class.{c.INST_CLASS}")))
-        .select(*[F.col(f"`{x}`") for x in bridge.columns], "_class.*", "_public.*")
-    )
+    return _classified(bridge, category, institution_class, public_institution_class, c.INST_CLASS)
 
 
 def with_default_repository_classes(bridge: DataFrame) -> DataFrame:
@@ -140,16 +146,18 @@ def with_default_institution_classes(bridge: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 def binary_type(col: Column) -> Column:
     """``Tesis`` when the folded text mentions it, otherwise the article label."""
-    return F.when(t.strip_marks_lower(col).contains("tesis"), fv.THESIS).otherwise(
+    return F.when(t.strip_marks_lower(col).contains("tesis"), F.lit(fv.THESIS)).otherwise(
         F.lit(fv.SCIENTIFIC_ARTICLE)
     )
 
 
-def editorial_signals(journal: Column, doi: Column, volume: Column, issue: Column, url: Column) -> Column:
-    """Array of editorial signals, each once, in order of precedence."""
-    address = t.fold_lower(url)
-    structured = [("revista", journal), ("doi", doi), ("volumen", volume), ("numero", issue)]
-    signals = [F.when(t.is_present(col), F.lit(name)) for name, col in structured]
+def editorial_signals(present: dict[str, Column], address: Column) -> Column:
+    """Array of editorial signals, each once, in order of precedence.
+
+    ``present`` names the structured signals and tells whether each is there;
+    ``address`` is the folded URL.
+    """
+    signals = [F.when(there, F.lit(name)) for name, there in present.items()]
     signals += [
         F.when(address.contains(fragment), F.lit(label))
         for fragment, label in fv.EDITORIAL_DOMAINS.items()
@@ -157,6 +165,46 @@ def editorial_signals(journal: Column, doi: Column, volume: Column, issue: Colum
     return F.array_distinct(F.array_compact(F.array(*signals)))
 
 
+# Column -> name of its folded value while proposals are computed.
+_FOLDED = {
+    c.RAW_TYPE: "_type",
+    c.RAW_LEVEL: "_level",
+    c.TITLE: "_title",
+    c.REPOSITORY: "_repository",
+    c.JOURNAL: "_journal",
+    c.URL: "_url",
+    c.DOI: "_doi",
+    c.VOLUME: "_volume",
+    c.ISSUE: "_issue",
+}
+_SIGNAL_COLUMNS = {"revista": "_journal", "doi": "_doi", "volumen": "_volume", "numero": "_issue"}
+_CONTEXT_COLUMNS = ["_title", "_repository", "_journal", "_url"]
+
+
+def with_folded(df: DataFrame) -> DataFrame:
+    """Folded text of every column the type rules read, once per row; absent columns are blank."""
+
+    def source(name: str) -> Column:
+        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+
+    # One folding expression for all columns keeps the plan small.
+    texts = F.array(*[source(name).cast("string") for name in _FOLDED])
+    folded = bind(df, {"_folded": F.transform(texts, t.fold_lower)})
+    columns = {alias: F.get(F.col("_folded"), F.lit(i)) for i, alias in enumerate(_FOLDED.values())}
+    return folded.withColumns(columns).drop("_folded")
+
+
+def folded_signals() -> Column:
+    """Editorial signals over the folded columns of :func:`with_folded`."""
+    present = {name: t.is_present_key(F.col(x)) for name, x in _SIGNAL_COLUMNS.items()}
+    return editorial_signals(present, F.col("_url"))
+
+
+def folded_context() -> Column:
+    """Title, repository, journal and address joined, over the folded columns."""
+    return t.joined_present_keys(*[F.col(x) for x in _CONTEXT_COLUMNS])
+
+
 _PROPOSAL = [
     c.PROPOSED_TYPE,
     c.PROPOSED_SUBTYPE,
@@ -180,24 +228,17 @@ def _proposal(kind, subtype, confidence, review, evidence, rule) -> Column:
 def propose_types(df: DataFrame) -> DataFrame:
     """Add the six proposal columns of the document-type audit.
 
-    One projection over the source columns: every rule is a branch of one lazy
-    ``CASE`` of structs, so the job needs no shuffle.
+    Texts are folded once and patterns searched once per row; the rules are
+    branches of one lazy ``CASE`` of structs over those values.  No shuffle.
     """
 
     def source(name: str) -> Column:
         return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 
-    prepared = df.withColumns(
-        {
-            "_type": t.fold_lower(source(c.RAW_TYPE)),
-            "_title": t.fold_lower(source(c.TITLE)),
-            "_level": t.fold_lower(source(c.RAW_LEVEL)),
-            "_signals": editorial_signals(*[source(n) for n in (c.JOURNAL, c.DOI, c.VOLUME, c.ISSUE, c.URL)]),
-            "_context": t.joined_present(*[source(n) for n in (c.TITLE, c.REPOSITORY, c.JOURNAL, c.URL)]),
-        }
-    )
     title, level = F.col("_title"), F.col("_level")
-    prepared = prepared.withColumns(
+    prepared = bind(with_folded(df), {"_signals": folded_signals(), "_context": folded_context()})
+    prepared = bind(
+        prepared,
         {
             "_edited": F.size("_signals") > 0,
             "_signal_text": F.array_join("_signals", ", "),
@@ -208,7 +249,7 @@ def propose_types(df: DataFrame) -> DataFrame:
             "_hint": first_pattern(
                 F.col("_context"), [*fv.TECHNICAL_SUBTYPES, fv.EVENT_SUBTYPE, *fv.BOOK_SUBTYPES]
             ),
-        }
+        },
     )
     edited, signals = F.col("_edited"), F.col("_signal_text")
     signals_or_none = F.when(edited, signals).otherwise("ninguna")
@@ -363,7 +404,7 @@ def propose_types(df: DataFrame) -> DataFrame:
             )
         )
     )
-    return prepared.withColumn("_proposal", proposal).select(
+    return bind(prepared, {"_proposal": proposal}).select(
         *[F.col(f"`{x}`") for x in df.columns], "_proposal.*"
     )
 

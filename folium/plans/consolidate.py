@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
-from folium.functions.rules import class_lookup
+from folium.functions.rules import bind, class_lookup
 from folium.operators.bridges import bridge_from_records, remap_bridge
 from folium.operators.checks import (
     join_covering,
@@ -196,12 +196,13 @@ def migrate_misplaced_journals(records: DataFrame) -> tuple[DataFrame, DataFrame
     if c.INSTITUTION not in records.columns or c.JOURNAL not in records.columns:
         return records, None
     institution = t.unicode_trim(F.coalesce(F.col(c.INSTITUTION), F.lit("")))
-    marked = records.withColumns(
+    keyed = bind(records, {"_institution": institution, "_key": t.fold_upper(institution)})
+    marked = bind(
+        keyed,
         {
-            "_institution": institution,
-            "_misplaced": institution_class(institution)[c.INST_CLASS] == fv.INST_JOURNAL,
+            "_misplaced": institution_class("_key")[c.INST_CLASS] == fv.INST_JOURNAL,
             "_no_journal": t.is_empty_category(F.col(c.JOURNAL)),
-        }
+        },
     )
     moved = F.col("_misplaced") & F.col("_no_journal")
     final_journal = F.when(moved, F.col("_institution")).otherwise(F.col(c.JOURNAL))
@@ -268,8 +269,11 @@ def apply_repository_requests(
 ) -> tuple[DataFrame, DataFrame]:
     """Rename and reclassify the requested relations; audit what they replaced.
 
-    Each request must meet exactly one relation.  The bridge is joined on
-    (publication, name), never scanned once per request.
+    Each request must meet exactly one relation.  The bridge is joined once, on the
+    publication id (a publication has at most one request), which also shows every
+    relation the new name could collide with; other publications cannot get
+    duplicates.  Rows are neither added nor moved, so category numbers stay valid
+    and are only computed for bridges that have none.
     """
     requests = checked_requests(requests)
     counted = raise_when(
@@ -289,16 +293,23 @@ def apply_repository_requests(
     )
     wanted = counted.select(
         c.PUB,
-        F.col(c.REQUEST_OLD).alias("_old"),
         F.struct(
+            F.col(c.REQUEST_OLD).alias("old"),
             F.col(c.REQUEST_NEW).alias("name"),
             F.col(c.REQUEST_CLASS).alias("public"),
             technical[c.REPO_CLASS].alias("technical"),
             technical[c.REPO_IS_UNIVERSITY].alias("university"),
         ).alias("_new"),
     )
-    joined = bridge.withColumn("_old", t.unicode_trim(F.col(c.CATEGORY))).join(wanted, [c.PUB, "_old"], "left")
-    hit = F.col("_new").isNotNull()
+    joined = bridge.join(wanted, c.PUB, "left").withColumn(
+        "_hit", F.coalesce(t.unicode_trim(F.col(c.CATEGORY)) == F.col("_new.old"), F.lit(False))
+    )
+    joined = raise_when(
+        joined,
+        ~F.col("_hit") & F.coalesce(F.col(c.CATEGORY) == F.col("_new.name"), F.lit(False)),
+        "the update repeats a publication-repository relation",
+    )
+    hit = F.col("_hit")
 
     def replaced(column: str, value: Column) -> Column:
         return F.when(hit, value).otherwise(F.col(f"`{column}`"))
@@ -314,10 +325,8 @@ def apply_repository_requests(
     if c.REPOSITORY in bridge.columns:
         changes[c.REPOSITORY] = replaced(c.REPOSITORY, F.col("_new.name"))
     updated = joined.withColumns(changes).select(*_all(bridge))
-    updated = unique_by(
-        updated, [c.PUB, c.CATEGORY], "the update repeats a publication-repository relation"
-    )
-    updated = group_ordinal(updated, [c.PUB], order, c.CATEGORY_ORDER, width)
+    if c.CATEGORY_ORDER not in updated.columns:
+        updated = group_ordinal(updated, [c.PUB], order, c.CATEGORY_ORDER, width)
 
     previous = bridge.select(
         c.PUB,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
+from folium.functions.rules import bind
 from folium.operators.checks import join_covering, join_many_to_one, raise_when, require_columns, unique_by
 from folium.operators.classify import binary_type, postgraduate_detail, propose_types
 from folium.operators.profile import union_all
@@ -35,8 +36,7 @@ AUDIT_COUNT = "PUBLICACIONES"
 def audit_types(publications: DataFrame) -> DataFrame:
     """The full audit: source columns, proposal and change flags. The source is not changed."""
     require_columns(publications, AUDIT_COLUMNS, c.T_PUBLICATIONS)
-    proposed = propose_types(publications.select(*[F.col(f"`{x}`") for x in AUDIT_COLUMNS]))
-    return proposed.withColumns(change_flags())
+    return bind(propose_types(publications.select(*[F.col(f"`{x}`") for x in AUDIT_COLUMNS])), change_flags())
 
 
 def change_flags() -> dict:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
-from folium.functions.rules import first_pattern
+from folium.functions.rules import bind, first_pattern
 from folium.operators import bridges as B
 from folium.operators import checks as K
 from folium.operators import classify as C
@@ -1000,8 +1000,7 @@ def marker_prefix_exact_class(spark, folder):
     sub AS {q(c.INST_PUBLIC_SUBCLASS)} FROM ip""",
 )
 def public_class_lookup(spark, folder):
-    technical = C.institution_class(F.col(c.CATEGORY))[c.INST_CLASS]
-    bridge = part_institutions(spark, folder).select(c.PUB, technical.alias(c.INST_CLASS))
+    bridge = C.classify_institutions(part_institutions(spark, folder)).select(c.PUB, c.INST_CLASS)
     return C.with_default_institution_classes(bridge)
 
 
@@ -1214,17 +1213,14 @@ def evidence_text(spark, folder):
 
 @query("signal_list", f"WITH {_PAGE_SQL} SELECT page_id AS {q(c.PUB)}, sg AS senales FROM hits")
 def signal_list(spark, folder):
-    names = (c.JOURNAL, c.DOI, c.VOLUME, c.ISSUE, c.URL)
-    signals = C.editorial_signals(*[F.col(x) for x in names])
-    return page_publications(spark, folder).select(c.PUB, F.array_join(signals, ", ").alias("senales"))
+    folded = C.with_folded(page_publications(spark, folder))
+    return folded.select(c.PUB, F.array_join(C.folded_signals(), ", ").alias("senales"))
 
 
 @query("context_text", f"WITH {_PAGE_SQL} SELECT page_id AS {q(c.PUB)}, context AS contexto FROM low")
 def context_text(spark, folder):
-    names = (c.TITLE, c.REPOSITORY, c.JOURNAL, c.URL)
-    return page_publications(spark, folder).select(
-        c.PUB, t.joined_present(*[F.col(x) for x in names]).alias("contexto")
-    )
+    folded = C.with_folded(page_publications(spark, folder))
+    return folded.select(c.PUB, C.folded_context().alias("contexto"))
 
 
 @query(
@@ -1235,12 +1231,9 @@ def context_text(spark, folder):
 )
 def first_pattern_query(spark, folder):
     text = F.concat(F.col("text"), F.lit(" | congreso "), F.col("lang"), F.lit(" handbook"))
-    hit = first_pattern(t.fold_lower(text), list(fv.TYPE_PATTERNS))
-    return (
-        read(spark, folder, "documents")
-        .select("doc_id", hit.alias("_hit"))
-        .select("doc_id", F.col("_hit.label").alias("etiqueta"), F.col("_hit.found").alias("hallado"))
-    )
+    docs = bind(read(spark, folder, "documents").select("doc_id", "text", "lang"), {"_key": t.fold_lower(text)})
+    hit = bind(docs, {"_hit": first_pattern(F.col("_key"), list(fv.TYPE_PATTERNS))})
+    return hit.select("doc_id", F.col("_hit.label").alias("etiqueta"), F.col("_hit.found").alias("hallado"))
 
 
 @query(
