@@ -1,8 +1,9 @@
 """Checked joins and key constraints.
 
-A check that must stop a job is part of the plan itself: it sits in a filter that
-raises, so it cannot be pruned away, and it reuses the shuffle of the join it
-guards.  Checks that only report live in :mod:`folium.plans.validate`.
+A check that must stop a job is part of the plan: the rows it lets through are
+emitted by the expression that raises, so no filter from further down can slip
+below it and no outer join beneath it can be turned into an inner one.  Checks
+that only report live in :mod:`folium.plans.validate`.
 """
 
 from __future__ import annotations
@@ -29,24 +30,29 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 
 def raise_when(df: DataFrame, bad: Column, message: str | Column) -> DataFrame:
-    """Pass every row through; the job fails on the first row for which ``bad`` holds."""
+    """Pass every row through; the job fails on the first row for which ``bad`` holds.
+
+    The check runs wherever its rows are read; a bare count that needs none of them
+    may skip it, writing the table never does.
+    """
     text = F.lit(message) if isinstance(message, str) else message
-    return df.filter(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+    row = F.struct(*[F.col(f"`{x}`").alias(x) for x in df.columns])
+    return df.select(F.inline(F.array(F.when(~F.coalesce(bad, F.lit(False)), row).otherwise(F.raise_error(text)))))
 
 
 def unique_by(df: DataFrame, keys: list[str], message: str) -> DataFrame:
     """The rows of ``df``; the job fails when a key repeats.
 
-    One aggregate on the key: duplicates are folded map-side, so a key that
-    repeats a billion times never reaches one task as rows, and the result is
-    hash-partitioned on the key for the join that follows.
+    The largest key count is a scalar subquery that reads the key columns only and
+    folds repeats map-side.  The rows themselves are neither shuffled nor sorted
+    for the check, however wide they are.
     """
-    rest = [x for x in df.columns if x not in keys]
-    grouped = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.first(F.col(f"`{x}`")).alias(x) for x in rest],
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).scalar()
+    fine = F.when(F.coalesce(largest, F.lit(0)) <= 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit(message)).cast("boolean")
     )
-    return raise_when(grouped, F.col("_n") > 1, message).select(*[F.col(f"`{x}`") for x in df.columns])
+    return df.filter(fine)
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str, message: str) -> DataFrame:

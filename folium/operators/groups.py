@@ -27,7 +27,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 
 
 def _slice(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("long")
+    return F.expr(f"`{order}` div {width}")
 
 
 def group_ordinal(
