@@ -6,7 +6,10 @@ form of every code point is tabulated once from Python's ``unicodedata`` and the
 text is rewritten with JVM string functions only (no Python worker):
 
 * pure ASCII text (byte length equals character length): ``upper``/``lower``;
-* Latin text and general punctuation: a few ``replace`` plus one small
+* ASCII plus the accented letters of everyday Spanish, Portuguese, French and
+  German: ``upper``/``lower`` and one ``replace`` per letter, which is many times
+  faster than ``translate`` (a hash lookup per character);
+* other Latin text and general punctuation: a few ``replace`` plus one small
   ``translate``;
 * anything else: the full ``translate`` table, and a per-character lookup only
   for rows that hold characters with a longer folded form.
@@ -45,25 +48,33 @@ def _class_of(chars) -> str:
     )
 
 
-_WS = _class_of(WHITESPACE)
-_WS_NOT_SPACE = _class_of(WHITESPACE.replace(" ", ""))
-# A run that is not already one plain space; single spaces are left alone.
-_WS_RUN = f" [{_WS}]+|[{_WS_NOT_SPACE}][{_WS}]*"
+_ASCII_WS = "".join(ch for ch in WHITESPACE if ch < "\x80")
+
+
+def _runs(whitespace: str) -> str:
+    """Regex of the white-space runs that are not one plain space already."""
+    return f"[{_class_of(whitespace)}]{{2,}}|[{_class_of(whitespace.replace(' ', ''))}]"
+
 
 _HANGUL = ("가", "힣")
 _EVERYDAY = (range(0x250), range(0x2000, 0x2070))
 _EVERYDAY_LONG = ("ß", "…")
+_COMMON_LETTERS = "áéíóúñüçàèâêîôûãõäöëïù"
 _PAIR, _ITEM = "\ue000", "\ue001"
 
 
+def _spaced(text: str) -> str:
+    """Without combining marks; white space beyond ASCII becomes a plain space."""
+    kept = (ch for ch in text if not unicodedata.combining(ch))
+    return "".join(" " if ch.isspace() and ch >= "\x80" else ch for ch in kept)
+
+
 def _upper_key(ch: str) -> str:
-    text = unicodedata.normalize("NFKD", ch.upper())
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return _spaced(unicodedata.normalize("NFKD", ch.upper()))
 
 
 def _casefold_key(ch: str) -> str:
-    text = unicodedata.normalize("NFKD", ch.casefold())
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return _spaced(unicodedata.normalize("NFKD", ch.casefold()))
 
 
 def _canonical_key(ch: str) -> str:
@@ -124,6 +135,7 @@ def _is_everyday(ch: str) -> bool:
 class FoldPlan:
     """Literal arguments of one folding, derived once from its table."""
 
+    common: tuple[tuple[str, str], ...]
     everyday: tuple[str, str]
     beyond_everyday: str
     full: tuple[str, str]
@@ -132,9 +144,13 @@ class FoldPlan:
     longer_map: str
 
 
+_BEYOND_COMMON = f"[^\\x00-\\x7f{_COMMON_LETTERS}{_COMMON_LETTERS.upper()}ß]"
+
+
 @lru_cache(maxsize=None)
 def fold_plan(key: Callable[[str], str]) -> FoldPlan:
     table = fold_table(key)
+    cased = _COMMON_LETTERS.upper() if key is _upper_key else _COMMON_LETTERS
     handled = [
         chr(cp)
         for span in _EVERYDAY
@@ -142,6 +158,7 @@ def fold_plan(key: Callable[[str], str]) -> FoldPlan:
         if chr(cp) not in table.longer or chr(cp) in _EVERYDAY_LONG
     ]
     return FoldPlan(
+        common=tuple((ch, key(ch)) for ch in cased + "ß" if key(ch) != ch),
         everyday=table.pairs(everyday_only=True),
         beyond_everyday=f"[^{_class_of(handled)}]",
         full=table.pairs(everyday_only=False),
@@ -181,6 +198,9 @@ def _expand_longer(text: Column, plan: FoldPlan) -> Column:
 
 def _fold(text: Column, key: Callable[[str], str], ascii_case: Callable[[Column], Column]) -> Column:
     plan = fold_plan(key)
+    common = ascii_case(text)
+    for ch, base in plan.common:
+        common = F.replace(common, F.lit(ch), F.lit(base))
     latin = text
     for ch, longer in plan.everyday_longer:
         latin = F.replace(latin, F.lit(ch), F.lit(longer))
@@ -188,6 +208,7 @@ def _fold(text: Column, key: Callable[[str], str], ascii_case: Callable[[Column]
     full = _expand_longer(F.translate(text, *plan.full), plan)
     return (
         F.when(F.octet_length(text) == F.char_length(text), ascii_case(text))
+        .when(~text.rlike(_BEYOND_COMMON), common)
         .when(~text.rlike(plan.beyond_everyday), latin)
         .otherwise(full)
     )
@@ -201,9 +222,9 @@ def unicode_trim(text: Column) -> Column:
     return F.trim(text.cast("string"), F.lit(WHITESPACE))
 
 
-def squeeze(text: Column) -> Column:
+def squeeze(text: Column, whitespace: str = WHITESPACE) -> Column:
     """Collapse runs of white space to one space and trim."""
-    return F.trim(F.regexp_replace(text, _WS_RUN, " "))
+    return F.trim(F.regexp_replace(text, _runs(whitespace), " "))
 
 
 def non_empty(col: Column) -> Column:
@@ -232,13 +253,13 @@ def is_unique_flag(col: Column) -> Column:
 def fold_upper(col: Column) -> Column:
     """Comparison key: upper case, no marks, single spaces; null becomes ``""``."""
     text = F.coalesce(col.cast("string"), F.lit(""))
-    return squeeze(_fold(text, _upper_key, F.upper))
+    return squeeze(_fold(text, _upper_key, F.upper), _ASCII_WS)
 
 
 def fold_lower(col: Column) -> Column:
     """Case-folded text without marks, single spaces; null becomes ``""``."""
     text = F.coalesce(col.cast("string"), F.lit(""))
-    return squeeze(_fold(text, _casefold_key, F.lower))
+    return squeeze(_fold(text, _casefold_key, F.lower), _ASCII_WS)
 
 
 def strip_marks_lower(col: Column) -> Column:
