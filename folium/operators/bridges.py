@@ -7,6 +7,8 @@ publications on the publication id only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +55,22 @@ def consolidated_column(bridge: DataFrame, scope: DataFrame, out: str) -> DataFr
     return joined_sorted(visible, [c.PUB], F.col(c.CATEGORY), out)
 
 
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def remap_bridge(
-    bridge: DataFrame, record_map: DataFrame, order: str = c.ORD, width: int = SLICE_ROWS
+    bridge: DataFrame,
+    record_map: DataFrame,
+    order: str = c.ORD,
+    width: int = SLICE_ROWS,
+    store: Callable[[DataFrame], DataFrame] = as_is,
 ) -> DataFrame:
     """Bridge from record grain to publication grain.
 
     Each (publication, category) keeps its first record; categories are then
     numbered in the order in which the publication's records brought them.
+    Numbering reads the kept rows twice; ``store`` may write them down in between.
     """
     mapped = join_no_orphans(
         bridge.drop(c.PUB, c.CATEGORY_ORDER),
@@ -67,16 +78,22 @@ def remap_bridge(
         [c.RECORD],
         "bridge holds records without a publication",
     )
-    first = keep_first(mapped, [c.PUB, c.CATEGORY], [F.col(order)])
+    first = store(keep_first(mapped, [c.PUB, c.CATEGORY], [F.col(order)]))
     numbered = group_ordinal(first, [c.PUB], order, c.CATEGORY_ORDER, width)
     front = [c.PUB, c.RECORD]
     return numbered.select(*front, *[F.col(f"`{x}`") for x in numbered.columns if x not in front])
 
 
-def bridge_from_records(records: DataFrame, record_map: DataFrame, column: str, order: str = c.ORD) -> DataFrame:
+def bridge_from_records(
+    records: DataFrame,
+    record_map: DataFrame,
+    column: str,
+    order: str = c.ORD,
+    store: Callable[[DataFrame], DataFrame] = as_is,
+) -> DataFrame:
     """Publication bridge of a single-valued record column."""
     extra = [c.MASTER_KEY] if c.MASTER_KEY in records.columns else []
     source = records.select(
         c.RECORD, *extra, F.col(f"`{column}`"), F.col(f"`{column}`").alias(c.CATEGORY), order
     )
-    return remap_bridge(source, record_map, order)
+    return remap_bridge(source, record_map, order, store=store)

@@ -81,7 +81,14 @@ def in_years(df: DataFrame, years: tuple[int, int] | None) -> DataFrame:
 
 
 def in_values(column: str, chosen: list[str]) -> Column:
-    return t.unicode_trim(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))).isin(*chosen)
+    """Trimmed value is among the chosen ones; a null counts as blank.
+
+    Blank is never an option, so the scan may skip nulls.
+    """
+    value = F.col(f"`{column}`")
+    if "" in chosen:
+        return t.unicode_trim(F.coalesce(value.cast("string"), F.lit(""))).isin(*chosen)
+    return value.isNotNull() & t.unicode_trim(value).isin(*chosen)
 
 
 def _scalar_steps(df: DataFrame, selection: Selection) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -13,7 +13,7 @@ from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
 from folium.functions.rules import bind, class_lookup
-from folium.operators.bridges import bridge_from_records, remap_bridge
+from folium.operators.bridges import as_is, bridge_from_records, remap_bridge
 from folium.operators.checks import (
     join_covering,
     join_many_to_one,
@@ -31,6 +31,7 @@ from folium.operators.groups import SLICE_ROWS, group_ordinal, joined_first_seen
 from folium.operators.profile import union_all
 from folium.operators.summaries import indicator_rows
 from folium.operators.territory import consolidate_territory
+from folium.session import stored
 from folium.sources.tables import read_table, write_snapshot
 
 _FRONT = [c.PUB, c.REPRESENTATIVE, c.GROUP_SIZE, c.GROUP_RULES, c.STATE]
@@ -437,8 +438,13 @@ def run_summary(inputs: ConsolidationInputs, tables: Mapping[str, DataFrame]) ->
     return union_all([p.select("indicador", F.col("valor").cast("string").alias("valor")) for p in parts])
 
 
-def consolidate(inputs: ConsolidationInputs) -> dict[str, DataFrame]:
-    """Every table of the consolidated catalogue, lazily.
+def consolidate(
+    inputs: ConsolidationInputs, store: Callable[[DataFrame], DataFrame] = as_is
+) -> dict[str, DataFrame]:
+    """Every table of the consolidated catalogue.
+
+    Lazy unless ``store`` writes down the frames that several tables read: the
+    cleaned records and the kept rows of each bridge.
 
     Order of work: clean records, move misplaced journals, remap and classify the
     bridges, apply requests, build publications with ids, academic fields and
@@ -446,10 +452,11 @@ def consolidate(inputs: ConsolidationInputs) -> dict[str, DataFrame]:
     """
     records = clean_database_names(inputs.records)
     records, institution_audit = migrate_misplaced_journals(records)
+    records = store(records)
     record_map = inputs.record_map
 
     bridges = {
-        name: remap_bridge(bridge, record_map)
+        name: remap_bridge(bridge, record_map, store=store)
         for name, bridge in inputs.bridges.items()
         if name in c.DIMENSIONS
     }
@@ -461,9 +468,9 @@ def consolidate(inputs: ConsolidationInputs) -> dict[str, DataFrame]:
             audits.append(audit)
         bridges[c.DIM_REPOSITORIES] = repositories
     bridges[c.DIM_INSTITUTIONS] = classify_institutions(
-        bridge_from_records(records, record_map, c.INSTITUTION)
+        bridge_from_records(records, record_map, c.INSTITUTION, store=store)
     )
-    bridges[c.DIM_DATABASES] = bridge_from_records(records, record_map, c.DATABASE)
+    bridges[c.DIM_DATABASES] = bridge_from_records(records, record_map, c.DATABASE, store=store)
 
     fields, conflicts = derive_academic_fields(records, record_map)
     publications = build_publications(records, record_map)
@@ -500,10 +507,10 @@ def consolidate(inputs: ConsolidationInputs) -> dict[str, DataFrame]:
 def run_consolidation(inputs: ConsolidationInputs, root: str, timestamp: str | None = None) -> str:
     """Write a consolidated snapshot and return its folder.
 
-    Tables are written first and the summary is counted over what was written:
-    the lineage is cut by stored tables, and a lost executor repeats one write.
+    Shared intermediates are stored, tables are written, and the summary is counted
+    over what was written: a lost executor repeats one write, not the run.
     """
-    tables = consolidate(inputs)
+    tables = consolidate(inputs, stored)
     snapshot = write_snapshot(tables, root, timestamp)
     spark = inputs.records.sparkSession
     written = {name: read_table(spark, f"{snapshot}/{name}") for name in tables}

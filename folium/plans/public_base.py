@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
-from folium.operators.checks import join_many_to_one
 from folium.operators.facets import unique_only
 from folium.operators.groups import keep_first
 from folium.operators.profile import union_all
@@ -49,15 +48,12 @@ def recode_empties(df: DataFrame, columns: list[str] | None = None) -> tuple[Dat
 def public_territory(
     base: DataFrame, territory: DataFrame, departments: DataFrame, order: str = c.ORD
 ) -> dict[str, DataFrame]:
-    """Territory of the public base: one relation per (chosen record, department)."""
+    """Territory of the public base: one relation per (chosen record, department).
+
+    ``base`` holds one row per master key, as :func:`unique_public_base` leaves it.
+    """
     chosen = base.select(c.MASTER_KEY, F.col(c.RECORD).alias("_chosen")).dropna()
-    expanded = join_many_to_one(
-        territory.filter(F.col(c.MASTER_KEY).isNotNull()),
-        chosen,
-        [c.MASTER_KEY],
-        "inner",
-        "the public base repeats a master key",
-    )
+    expanded = territory.join(chosen, c.MASTER_KEY)
     expanded = expanded.withColumn(c.RECORD, F.col("_chosen")).drop("_chosen")
     if c.UNIQUE_FLAG in expanded.columns:
         expanded = expanded.withColumn(c.UNIQUE_FLAG, F.lit("SI"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks join strategies from measured sizes, merges small
 # partitions and splits skewed ones.  No broadcast is forced anywhere.
@@ -29,3 +32,32 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle: int = 8) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for cut lineage.
+
+    A temporary one is made only where none is set and everything runs in one
+    process, as in tests.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = tempfile.mkdtemp(prefix="folium-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and go on from the written table.
+
+    For results that several branches read and that are dear to recompute.  Unlike
+    a cache it survives lost executors; unlike an RDD checkpoint it is computed
+    once and stays columnar, so readers keep column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

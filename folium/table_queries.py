@@ -31,6 +31,7 @@ from folium.plans import dashboard as D
 from folium.plans import public_base as U
 from folium.plans import types as Y
 from folium.plans import validate as V
+from folium.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,8 +62,26 @@ def sql_list(values) -> str:
     return ", ".join(s(v) for v in values)
 
 
+# Declared, so that opening a table never starts a job to read file footers.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 # ==========================================================================
@@ -169,14 +188,15 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
 def document_map(spark: SparkSession, folder: str) -> DataFrame:
     """Records with equal text form a publication named by its first record.
 
-    Texts are compared by digest, so whole texts are read once and never shuffled.
+    Texts are compared by digest, so whole texts are never shuffled, and the narrow
+    map is stored, because the jobs and their checks read it several times.
     """
     keyed = read(spark, folder, "documents").select(
         F.col("doc_id").alias(c.RECORD), F.col("doc_id").alias(c.ORD), F.sha2("text", 256).alias("_text")
     )
     grouped = G.attach_group_head(keyed, ["_text"], c.ORD, c.PUB, c.GROUP_SIZE)
     several = F.col(c.GROUP_SIZE) > 1
-    return grouped.select(
+    record_map = grouped.select(
         c.RECORD,
         c.ORD,
         c.PUB,
@@ -185,6 +205,7 @@ def document_map(spark: SparkSession, folder: str) -> DataFrame:
         F.when(several, "TEXTO_IGUAL").alias(c.GROUP_RULES),
         F.when(several, "agrupado").otherwise("sin_coincidencia").alias(c.STATE),
     )
+    return stored(record_map)
 
 
 DOCMAP = """docmap AS (
