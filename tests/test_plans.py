@@ -20,13 +20,6 @@ def plan_of(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_and_no_python(spark, name):
-    plan = plan_of(spark, name)
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "Python" not in plan and "Pandas" not in plan
-
-
 @pytest.mark.parametrize("name", ["host_classifier", "title_rules", "marker_prefix_exact_class", "migrate_values", "normalize_key"])
 def test_row_level_work_never_shuffles(spark, name):
     plan = plan_of(spark, name)
