@@ -20,8 +20,8 @@ def by_count(df: DataFrame, *keys: str, count: str = c.COUNT) -> DataFrame:
 
 
 def simple_summary(df: DataFrame, column: str, ordered: bool = True) -> DataFrame:
-    """Distinct publications per non-blank value of a scalar column."""
-    value = F.col(f"`{column}`")
+    """Distinct publications per non-blank value of a scalar column; none when it is absent."""
+    value = F.col(f"`{column}`") if column in df.columns else F.lit(None).cast("string")
     counts = (
         df.filter(t.non_empty(value))
         .groupBy(t.unicode_trim(value).alias(column))
@@ -67,7 +67,8 @@ def drilldown_summary(
     whole = full.filter(t.unicode_trim(F.col(c.PUBLIC_TYPE)) == kind)
     if subtype:
         whole = whole.filter(t.unicode_trim(F.col(c.PUBLIC_SUBTYPE)) == subtype)
-    found = filtered.agg(F.count_if(t.non_empty(F.col(f"`{column}`")))).scalar()
+    present = t.non_empty(F.col(f"`{column}`")) if column in filtered.columns else F.lit(False)
+    found = filtered.agg(F.count_if(present)).scalar()
     fallback = simple_summary(whole, column, ordered=False).filter(found == 0)
     return by_count(summary.unionByName(fallback), column)
 

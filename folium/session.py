@@ -40,7 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary one is made only where none is set and everything runs in one
     process, as in tests.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    known = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
+    )
     if known:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
