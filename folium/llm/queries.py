@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from folium.llm import quality_rules, twins
+from pyspark.sql import functions as F
+
+from folium.llm import chat_examples, quality_rules, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
 
+def op1_url_filter(spark, sf_dir):
+    """Verdict of every page's url."""
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark, sf_dir):
     """Ledger of every document under the current policy, from the stored bits."""
     book = stored(quality_rules.ledger(read(spark, sf_dir, "documents")))
     return quality_rules.apply_policy(book)
 
 
+def op6_chat_formatting(spark, sf_dir):
+    """Digests of all conversations, and of one full of marks, from the written examples."""
+    own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat_examples.digests(stored(chat_examples.expand(own.unionByName(trap))))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
 }
 
 ORACLE = {
+    "op1_url_filter": twins.URL,
     "op4_quality_rules": twins.QUALITY,
+    "op6_chat_formatting": twins.CHAT,
 }

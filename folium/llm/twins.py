@@ -32,3 +32,106 @@ b AS (
     + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines THEN 128 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
 SELECT *, 'strict-2' AS policy, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b"""
+
+CHAT = r"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n,
+    15 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+      + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS piece
+  FROM c),
+e AS (
+  SELECT *, count_if(role = 'assistant' OR i = n) OVER (
+    PARTITION BY conv_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS uses
+  FROM o)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+  sum(piece * uses)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def _url() -> str:
+    alphabet = "abcdefghijklmnopqrstuvwxyz0.-/_"
+    levels, size = [], 1
+    for k in range(4):
+        below = "" if k == 0 else f"JOIN p{k - 1} b ON b.cell = g.cell % {size}"
+        low = lambda x: "1.0::DOUBLE / 32" if k == 0 else f"b.{x}"  # noqa: B023, E731
+        p = lambda x: (
+            f"CASE WHEN c.all_{x} > 0 THEN (coalesce(s.n_{x}, 0) + c.kinds_{x} * {low(x)})"
+            f" / (c.all_{x} + c.kinds_{x})::DOUBLE ELSE {low(x)} END AS {x}"
+        )
+        levels.append(
+            f"""s{k} AS (SELECT cell % {size * 32} AS cell, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b
+  FROM counts GROUP BY 1),
+c{k} AS (SELECT cell // 32 AS context, sum(n_a)::BIGINT AS all_a, sum(n_b)::BIGINT AS all_b,
+  count_if(n_a > 0)::BIGINT AS kinds_a, count_if(n_b > 0)::BIGINT AS kinds_b FROM s{k} GROUP BY 1),
+p{k} AS MATERIALIZED (SELECT g.cell, {p("a")}, {p("b")}
+  FROM (SELECT range AS cell FROM range({size * 32})) g LEFT JOIN s{k} s ON s.cell = g.cell
+  LEFT JOIN c{k} c ON c.context = g.cell // 32 {below})"""
+        )
+        size *= 32
+    fits = lambda rule: (
+        f"(host = '{rule.split('/')[0]}' OR ends_with(host, '.{rule.split('/')[0]}'))"
+        f" AND starts_with(path, '/{rule.split('/', 1)[1]}')"
+    )
+    rules = {
+        "www.example.com/en/": "allow",
+        "example.com/en/": "block",
+        "net/es/": "block",
+        "net/fr/": "block",
+        "com/": "allow",
+    }
+    return (
+        rf"""WITH raw AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS r
+  FROM pages),
+ruled AS (
+  SELECT *, CASE {" ".join(f"WHEN {fits(r)} THEN '{r}'" for r in rules)} END AS rule,
+    substr(md5(host || path), 1, 1) IN ('0', '1', '2') AS held
+  FROM raw),
+u AS (
+  SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in rules.items())} END AS ruled,
+    regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^a-z0./_-]', '_', 'g') AS s
+  FROM ruled),
+code AS (
+  SELECT r, ruled, held, i, instr('{alphabet}', s[i]) AS x FROM (
+    SELECT r, ruled, held, s, unnest(range(1, length(s) + 1)) AS i FROM u)),
+win AS (
+  SELECT r, ruled, held,
+    ((coalesce(lag(x, 3) OVER w, 0) * 32 + coalesce(lag(x, 2) OVER w, 0)) * 32 + coalesce(lag(x) OVER w, 0)) * 32 + x
+      AS cell
+  FROM code WINDOW w AS (PARTITION BY r ORDER BY i)),
+counts AS (
+  SELECT cell, count_if(ruled = 'allow')::BIGINT AS n_a, count_if(ruled = 'block')::BIGINT AS n_b
+  FROM win WHERE ruled IS NOT NULL AND NOT held GROUP BY 1),
+"""
+        + ",\n".join(levels)
+        + """,
+ratio AS (SELECT cell, round(ln(a / b) * 1e6)::INT AS ratio FROM p3),
+scored AS (
+  SELECT r, greatest(least(floor(sum(ratio)::DOUBLE / count(*) / 10000), 1000), -1000)::INT AS score_bin
+  FROM win JOIN ratio USING (cell) GROUP BY r),
+judged AS (SELECT u.*, coalesce(score_bin, 0) AS score_bin FROM u LEFT JOIN scored USING (r)),
+bins AS (
+  SELECT score_bin, count_if(ruled = 'allow') AS good, count_if(ruled = 'block') AS bad
+  FROM judged WHERE ruled IS NOT NULL AND held GROUP BY 1),
+risk AS (
+  SELECT score_bin, coalesce(sum(good) OVER w, 0) * (SELECT sum(bad) FROM bins)
+    - coalesce(sum(bad) OVER w, 0) * (SELECT sum(good) FROM bins) AS risk
+  FROM bins WINDOW w AS (ORDER BY score_bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+  SELECT min(score_bin) AS cut FROM risk
+  WHERE risk = (SELECT min(risk) FROM risk) AND (SELECT sum(good) > 0 AND sum(bad) > 0 FROM bins))
+SELECT page_id, host, path, rule, score_bin,
+  coalesce(ruled, CASE WHEN score_bin < coalesce((SELECT cut FROM cut), -1000) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged"""
+    )
+
+
+URL = _url()
