@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import chat_examples, quality_rules, twins, url_filter
+from folium.llm import bpe, chat_examples, quality_rules, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -32,10 +32,18 @@ def op6_chat_formatting(spark, sf_dir):
     return chat_examples.digests(stored(chat_examples.expand(own.unionByName(trap))))
 
 
+def op7_bpe(spark, sf_dir):
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE = {
