@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, quality_rules, twins, url_filter
+from folium.llm import bpe, chat_examples, html_text, quality_rules, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -39,11 +39,17 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe": op7_bpe,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE = {
