@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, html_text, quality_rules, twins, url_filter
+from folium.llm import bpe, chat_examples, decontaminate, html_text, quality_rules, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -44,12 +44,18 @@ def op9_html_extraction(spark, sf_dir):
     return html_text.extracted(read(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark, sf_dir):
+    """Every document and benchmark item of which a stretch lies in it."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe": op7_bpe,
     "op9_html_extraction": op9_html_extraction,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE = {
