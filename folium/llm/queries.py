@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, decontaminate, html_text, quality_rules, twins, url_filter
+from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -20,6 +20,11 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.apply_policy(book)
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Shingle count and class of every document."""
+    return jaccard_join.joined(read(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     """Digests of all conversations, and of one full of marks, from the written examples."""
     own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -52,6 +57,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe": op7_bpe,
     "op9_html_extraction": op9_html_extraction,
@@ -61,5 +67,6 @@ QUERIES = {
 ORACLE = {
     "op1_url_filter": twins.URL,
     "op4_quality_rules": twins.QUALITY,
+    "op5_ngram_jaccard_join": twins.NEAR,
     "op6_chat_formatting": twins.CHAT,
 }
