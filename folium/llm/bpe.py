@@ -36,7 +36,7 @@ NO_RANK = 1 << 60
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary.
 
     Bytes that print as themselves keep their letter; the rest take the letters from
@@ -64,7 +64,7 @@ class WordBpe:
         #: (left id, right id) -> (rank, id of the merged part)
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = [ids.get(x) for x in letters]
         self.last = [ids.get(x + self.end) for x in letters]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, twins, url_filter
+from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, token_grammar, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -14,6 +14,14 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_token_grammar(spark, sf_dir):
+    """Place, length and checksum of every document's ids, from the written shards."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_grammar.digests(read(spark, sf_dir, "documents"), path, end_id=2)
+
+
 def op4_quality_rules(spark, sf_dir):
     """Ledger of every document under the current policy, from the stored bits."""
     book = stored(quality_rules.ledger(read(spark, sf_dir, "documents")))
@@ -56,6 +64,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_token_grammar": op3_token_grammar,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_chat_formatting": op6_chat_formatting,
