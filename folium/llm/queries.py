@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, token_grammar, twins, url_filter
+from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, token_grammar, toxicity, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -14,6 +14,11 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark, sf_dir):
+    """Score of every document."""
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_grammar(spark, sf_dir):
     """Place, length and checksum of every document's ids, from the written shards."""
     import public_tokenizers
@@ -64,6 +69,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_token_grammar": op3_token_grammar,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
