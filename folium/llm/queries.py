@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, quality_rules, token_grammar, toxicity, twins, url_filter
+from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, language_id, quality_rules, token_grammar, toxicity, twins, url_filter
 from folium.llm.common import read
 from folium.session import stored
 
@@ -57,6 +57,11 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    return language_id.predicted(read(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_text.extracted(read(spark, sf_dir, "pages"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe": op7_bpe,
+    "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
 }
