@@ -1,10 +1,14 @@
-"""The pipeline over ``documents``: each stage works on what the one before it kept."""
+"""The pipeline over ``documents``: each stage works on what the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a frame that is written and read again
+as the next one's docs.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import quality_rules
+from folium.llm import bpe, decontaminate, jaccard_join, quality_rules, toxicity
 from folium.llm.common import read
 from folium.session import stored
 
@@ -14,11 +18,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic; learned from the labels of what came in."""
+    return toxicity.keep(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    return jaccard_join.first_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no stretch of a benchmark item."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, as digests of the ids and of their decoded text."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("bpe encoding and decoding", encoding_stage),
 ]
 
-#: The toxicity model and the tokenizer's merges can't be expressed in SQL.
+#: Boosted trees and the merges of a vocabulary can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that parts words: space and the controls from tab to carriage return.
-SPACE_CHARS = "\\x20\\x09-\\x0D"
-SPACES = f"[{SPACE_CHARS}]+"
+SPACES = "[\\x20\\x09-\\x0D]+"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it, if they don't by themselves."""
+    known = spark.sparkContext.environment
+    folders = [f for f in known.get("PYTHONPATH", "").split(os.pathsep) if f]
+    if ROOT not in folders:
+        known["PYTHONPATH"] = os.pathsep.join([*folders, ROOT])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
