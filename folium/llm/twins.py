@@ -122,11 +122,11 @@ bins AS (
   SELECT score_bin, count_if(ruled = 'allow') AS good, count_if(ruled = 'block') AS bad
   FROM judged WHERE ruled IS NOT NULL AND held GROUP BY 1),
 risk AS (
-  SELECT score_bin, coalesce(sum(good) OVER w, 0) * (SELECT sum(bad) FROM bins)
+  SELECT score_bin, coalesce(lag(score_bin) OVER (ORDER BY score_bin), score_bin) AS before, coalesce(sum(good) OVER w, 0) * (SELECT sum(bad) FROM bins)
     - coalesce(sum(bad) OVER w, 0) * (SELECT sum(good) FROM bins) AS risk
   FROM bins WINDOW w AS (ORDER BY score_bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (
-  SELECT min(score_bin) AS cut FROM risk
+  SELECT ceil(min_by(score_bin + before, score_bin) / 2.0)::INT AS cut FROM risk
   WHERE risk = (SELECT min(risk) FROM risk) AND (SELECT sum(good) > 0 AND sum(bad) > 0 FROM bins))
 SELECT page_id, host, path, rule, score_bin,
   coalesce(ruled, CASE WHEN score_bin < coalesce((SELECT cut FROM cut), -1000) THEN 'block' ELSE 'allow' END) AS verdict

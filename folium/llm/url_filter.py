@@ -190,10 +190,13 @@ def threshold(urls: DataFrame, model: DataFrame) -> DataFrame:
         F.sum("bad").over(lower), F.lit(0)
     ) * F.sum("good").over(every)
     both = (F.sum("bad").over(every) > 0) & (F.sum("good").over(every) > 0)
+    # Halfway to the next lower score that occurs.
+    before = F.coalesce(F.lag("cut").over(Window.orderBy("cut")), F.col("cut"))
     return (
-        bins.select("cut", risk.alias("risk"), both.alias("both"))
+        bins.select("cut", before.alias("before"), risk.alias("risk"), both.alias("both"))
         .where("both")
-        .agg(F.min(F.struct("risk", "cut"))["cut"].alias("cut"))
+        .agg(F.min(F.struct("risk", "cut", "before")).alias("best"))
+        .select(F.ceil((F.col("best.cut") + F.col("best.before")) / 2).cast("int").alias("cut"))
     )
 
 
