@@ -11,11 +11,12 @@ within ``1 - 0.8`` without comparing all pairs:
     document is replicated to those regions.  Shingles of no other document fill places
     of the window without making a region, so a text with more than a fifth of its own
     leaves here: passages that many texts share make no pairs.
-3.  *Inner pivots*: in a region the smallest document is compared with all others.  Those
-    within the distance are linked.  The rest, and those linked ones whose distance is
-    within the window of the rest, form the next, smaller region, and so on recursively.
-    Documents that are already connected need no further comparison.  Small regions are
-    compared pair by pair.
+3.  *Inner pivots*: in a region one document is compared with all others.  Those within
+    the distance are linked.  The rest, and those linked ones whose distance is within the
+    window of the rest, form the next, smaller region, whose pivots are the document
+    nearest to the last one and one of the rest; and so on recursively.  Documents that
+    are already connected need no further comparison.  The smallest regions, and any left
+    after the last round, are compared pair by pair within the windows.
 4.  Connected components over the links give each document's class.
 
 The first pass (step 2 on the quarter of the hashes that sort first) sheds most
@@ -46,9 +47,9 @@ SHINGLE = 5
 #: Hashes are 63 bits; those below this bound stand first and are shuffled in the first pass.
 FIRST = 1 << 61
 #: Regions of at most so many documents are compared pair by pair.
-SMALL = 16
-#: Inner pivots of a region, one a round, before its remaining pairs are compared directly.
-ROUNDS = 8
+SMALL = 4
+#: Rounds of inner pivots, before the remaining pairs of a region are compared directly.
+ROUNDS = 12
 #: Ids that may be sent to all tasks; more are joined by a shuffle.
 SENT_IDS = 4_000_000
 
@@ -155,15 +156,26 @@ def _regions(sets: DataFrame) -> DataFrame:
         .withColumn("left", window_of(F.col("n")) - (F.col("n") - F.size("met")))
         .where("left > 0")
     )
-    starts = F.explode(F.slice("met", F.lit(1), F.col("left").cast("int")))
+    own = F.col("n") - F.size("met")
+    starts = F.posexplode(F.slice("met", F.lit(1), F.col("left").cast("int"))).alias("i", "x")
+    placed = met.select("rep", "n", own.alias("own"), starts)
     return _distinct_regions(
-        met.select("rep", "n", starts.alias("x")).select(F.col("x.hash").alias("region"), "rep", "n")
+        placed.select(F.col("x.hash").alias("region"), "rep", "n", (F.col("own") + F.col("i") + 1).alias("place"))
     )
 
 
 def _distinct_regions(members: DataFrame) -> DataFrame:
-    """Regions of two documents or more; of regions with the same documents one stays."""
+    """Regions of two documents or more; of regions with the same documents one stays.
+
+    A pair of sizes n and m has at least 4/9 (n + m) shingles in common, so it also meets
+    at one of the first n - ceil(4/9 (n + m)) + 1 of n: with the smallest size m of a
+    region, places beyond that can't matter there.
+    """
     members = stored(members)
+    least = members.groupBy("region").agg(F.min("n").alias("m"))
+    partner = F.greatest(F.col("m"), F.floor((4 * F.col("n") + 4) / 5))
+    within = F.col("place") <= F.col("n") - F.floor((4 * (F.col("n") + partner) + 8) / 9) + 1
+    members = stored(members.join(least, "region").where(within).drop("m", "place"))
     kept = (
         members.groupBy("region")
         .agg(
@@ -193,43 +205,39 @@ LINKED = "100 * common >= 80 * united"
 MARGIN = 0.2 + 1e-9
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, turns: int | None = None) -> DataFrame:
     """(id, component): the smallest id connected with each, by stars that grow and merge.
 
-    Every round links each node's larger neighbours, then its smaller ones, to the
-    smallest of them; rounds go on until nothing changes.  All rows are edges, so a node
-    of many links is summed before the shuffle.
+    Every turn links each node's larger neighbours, then its smaller ones, to the smallest
+    of them, until nothing changes.  After a given number of turns the ids are of the same
+    component, but perhaps not its smallest.  All rows are edges, so a node of many links
+    is summed before the shuffle.
     """
 
     def least(edges: DataFrame, both: bool) -> DataFrame:
         arcs = edges.select("a", "b")
         if both:
             arcs = arcs.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = arcs.groupBy("a").agg(F.min("b").alias("low"))
-        low = low.withColumn("low", F.least("a", "low"))
+        low = arcs.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         joined = arcs.join(low, "a")
         if both:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        own = low.where("low < a").select("a", F.col("low").alias("b"))
         rest = joined.where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        return own.unionByName(rest).distinct()
+        return low.select("a", F.col("low").alias("b")).unionByName(rest).distinct()
 
-    edges = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    state, done = None, 0
     while True:
         edges = stored(least(least(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        done += 1
+        now = None if turns else edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if done == turns or now is not None and now == state:
+            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
         state = now
 
 
-def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
+def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members with the class their document is in so far; regions of one class are done."""
-    if classes is None:
-        return members.withColumn("class", F.col("rep"))
     return (
         members.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
         .withColumn("class", F.coalesce("component", "rep"))
@@ -239,37 +247,42 @@ def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(id, component) of the linked documents; None without any region."""
-    links = classes = None
+    links = None
     share = F.col("common") / F.col("united")
     for turn in range(ROUNDS + 1):
+        # The document nearest to the last pivot lies towards the middle of its neighbours;
+        # the smallest of those not linked to it opens up the rest.
+        nearest = F.min("rep") if turn == 0 else F.max_by("rep", F.struct(share, -F.col("rep")))
+        rest = F.lit(None).cast("long") if turn == 0 else F.min(F.when(~F.expr(LINKED), F.col("rep")))
         regions = members.groupBy("region").agg(
             F.count("*").alias("docs"),
             F.min("class").alias("low"),
             F.max("class").alias("high"),
-            # The smallest document that isn't linked to the region's last pivot.
-            F.min("rep" if turn == 0 else F.when(~F.expr(LINKED), F.col("rep"))).alias("pivot"),
+            nearest.alias("pivot"),
+            rest.alias("other"),
         )
-        open_regions = regions.where("low < high AND pivot IS NOT NULL").select("region", "docs", "pivot")
-        active = stored(members.join(open_regions, "region"))
+        still = regions.where("low < high").drop("low", "high")
+        active = stored(members.join(still, "region"))
         if active.isEmpty():
             break
         by_pivot = F.lit(True) if turn == 0 else (F.col("docs") > SMALL) & F.lit(turn < ROUNDS)
-        stars = active.where(by_pivot & (F.col("rep") != F.col("pivot"))).drop("class", "docs")
-        starred = _close(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets)
-        starred = stored(starred)
+        stars = active.where(by_pivot)
+        pairs = stars.select(F.explode(F.array("pivot", "other")).alias("a"), F.col("rep").alias("b"))
+        starred = stored(_close(pairs.where("a <> b").distinct(), sets))
         found = starred.where(LINKED).select("a", "b")
         if turn:
             found = found.unionByName(_direct(active.where(~by_pivot), sets))
         links = stored(found if links is None else links.unionByName(found).distinct())
-        classes = components(links)
         # The next region: what isn't linked to the pivot, and what is and may link to that.
-        seen = stars.drop("common", "united").join(
-            starred.withColumnsRenamed({"a": "pivot", "b": "rep"}), ["pivot", "rep"]
+        seen = (
+            stars.where((F.col("rep") != F.col("pivot")) & ~F.col("rep").eqNullSafe(F.col("other")))
+            .select("region", "rep", "n", "pivot")
+            .join(starred.withColumnsRenamed({"a": "pivot", "b": "rep"}), ["pivot", "rep"])
         )
         edge = seen.groupBy("region").agg(F.max(F.when(~F.expr(LINKED), share)).alias("edge"))
-        rest = seen.join(edge, "region").where(share <= F.col("edge") + MARGIN).drop("pivot", "edge")
-        members = stored(_named(rest, classes))
-    return classes
+        left = seen.join(edge, "region").where(share <= F.col("edge") + MARGIN).drop("pivot", "edge")
+        members = stored(_named(left, components(links, turns=2)))
+    return None if links is None else components(links)
 
 
 def _direct(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,7 +311,7 @@ def joined(docs: DataFrame) -> DataFrame:
     copies = stored(own.where("doc_id <> rep").select("doc_id").distinct())
     survivors = stored(_survivors(sketches, copies))
     sets = stored(_whole_sets(_among(docs.select("doc_id", "text"), survivors, "left_semi")))
-    classes = _classes(_named(_regions(sets), None), sets)
+    classes = _classes(_regions(sets).withColumn("class", F.col("rep")), sets)
     named = F.coalesce("rep", "doc_id")
     if classes is not None:
         own = own.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
