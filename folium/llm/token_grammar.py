@@ -39,7 +39,7 @@ from folium.session import stored
 
 #: Ids of a shard, from which on it is closed; a longer document is a shard of its own.
 SHARD = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 #: A pair is replaced if it occurs at least so often, and this share of the most frequent one.
 LEAST, SHARE = 12, 1 / 40
 #: Pairs are counted in 2^20 buckets.
@@ -47,7 +47,7 @@ BUCKET_BITS = 20
 _ODD = np.random.default_rng(3).integers(1, 2**31, ROUNDS + 1, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Symbols of two bytes.
 NARROW = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
