@@ -77,6 +77,7 @@ def remap_bridge(
         record_map.select(c.RECORD, c.PUB),
         [c.RECORD],
         "bridge holds records without a publication",
+        needed=c.PUB,
     )
     first = store(keep_first(mapped, [c.PUB, c.CATEGORY], [F.col(order)]))
     numbered = group_ordinal(first, [c.PUB], order, c.CATEGORY_ORDER, width)

@@ -55,6 +55,16 @@ def unique_by(df: DataFrame, keys: list[str], message: str) -> DataFrame:
     return df.filter(fine)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys meet null keys; the key columns stay once.
+
+    Planned as a hash or sort join like any other equality.
+    """
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_right_{k}`")) for k in keys]
+    return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str, message: str) -> DataFrame:
     return unique_by(left, keys, message).join(unique_by(right, keys, message), keys, how)
 
@@ -63,9 +73,15 @@ def join_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: st
     return left.join(unique_by(right, keys, message), keys, how)
 
 
-def join_no_orphans(left: DataFrame, right: DataFrame, keys: list[str], message: str) -> DataFrame:
-    """Many-to-one left join that fails when a left row finds no partner."""
-    marked = unique_by(right, keys, message).withColumn("_found", F.lit(True))
+def join_no_orphans(
+    left: DataFrame, right: DataFrame, keys: list[str], message: str, needed: str | None = None
+) -> DataFrame:
+    """Many-to-one left join that fails when a left row finds no partner.
+
+    With ``needed`` it also fails when the partner's value in that column is null.
+    """
+    found = F.lit(True) if needed is None else F.col(f"`{needed}`").isNotNull()
+    marked = unique_by(right, keys, message).withColumn("_found", F.when(found, F.lit(True)))
     joined = left.join(marked, keys, "left")
     return raise_when(joined, F.col("_found").isNull(), message).drop("_found")
 

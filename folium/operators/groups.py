@@ -1,7 +1,7 @@
 """Order-dependent group operators that stay bounded when one group is huge.
 
 A group may hold a third of all rows, so nothing here lets one task take a whole
-group.  The input ordinal is a unique whole number (the loader's row number), so
+group; rows without a group form one.  The input ordinal is a unique whole number (the loader's row number), so
 ``(group, ordinal // width)`` holds at most ``width`` rows whatever the skew;
 per-group totals are put together from one small row per such slice.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium import columns as c
+from folium.operators.checks import join_null_safe
 
 SLICE_ROWS = 1_000_000
 
@@ -57,7 +58,7 @@ def group_ordinal(
     )
     inner = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(order))
     return (
-        sliced.join(before, [*group, "_slice"])
+        join_null_safe(sliced, before, [*group, "_slice"])
         .withColumn(out, (F.col("_before") + inner).cast("int"))
         .select(*[F.col(f"`{x}`") for x in df.columns if x != out], out)
     )
@@ -84,7 +85,7 @@ def attach_group_head(
     if size:
         values[size] = F.sum("_rows").over(whole)
     totals = per_slice.withColumns(values).drop("_min", "_rows")
-    return sliced.join(totals, [*group, "_slice"]).drop("_slice")
+    return join_null_safe(sliced, totals, [*group, "_slice"]).drop("_slice")
 
 
 def joined_first_seen(

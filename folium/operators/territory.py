@@ -67,15 +67,15 @@ def territorial_detail(territory: DataFrame, scope: DataFrame) -> DataFrame:
     )
 
 
-def region_lookup(keys: list[str], regions: DataFrame, order: str | None = None) -> DataFrame:
-    """Map keys to the first category that normalises to each of them.
+def region_lookup(keys: list[str], regions: DataFrame, order: str) -> DataFrame:
+    """Map keys to the category that normalises to each of them and comes first by ``order``.
 
     ``posicion`` keeps the order of the asked keys; keys without a category are
     left out.  Only asked keys reach the aggregate.
     """
     folded = t.fold_upper(F.col(c.CATEGORY))
     category = t.unicode_trim(F.col(c.CATEGORY))
-    first = F.min(category) if order is None else F.min_by(category, F.col(order))
+    first = F.min_by(category, F.col(order))
     found = (
         regions.filter(F.col(c.CATEGORY).isNotNull())
         .withColumn(c.DEP_KEY, folded)

@@ -6,8 +6,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from folium import columns as c
 from folium.operators import checks as K
 from folium.operators import groups as G
+from folium.operators.bridges import remap_bridge
 
 
 def skewed(n=3000, seed=3):
@@ -39,6 +41,21 @@ def test_group_head_equals_brute_force(spark, width):
         assert (r["first"], r["size"]) == (min(group), len(group))
 
 
+def test_rows_without_a_group_form_one(spark):
+    frame = spark.createDataFrame([(None, 5), ("a", 3), (None, 2)], "g string, o long")
+    heads = G.attach_group_head(frame, ["g"], "o", "first", "size").collect()
+    assert sorted((r["o"], r["first"], r["size"]) for r in heads) == [(2, 2, 2), (3, 3, 1), (5, 2, 2)]
+    numbers = G.group_ordinal(frame, ["g"], "o", "n").collect()
+    assert sorted((r["o"], r["n"]) for r in numbers) == [(2, 1), (3, 1), (5, 2)]
+
+
+def test_a_record_whose_publication_is_null_stops_the_bridge(spark):
+    bridge = spark.createDataFrame([("r1", "x", 1), ("r2", "y", 2)], f"{c.RECORD} string, {c.CATEGORY} string, {c.ORD} long")
+    known = spark.createDataFrame([("r1", "p"), ("r2", None)], f"{c.RECORD} string, {c.PUB} string")
+    with pytest.raises(PySparkException, match="without a publication"):
+        remap_bridge(bridge, known).collect()
+
+
 def test_keep_first_and_null_keys(spark):
     rows = [("a", 5), ("a", 2), (None, 9), (None, 7), ("b", 1)]
     got = G.keep_first(spark.createDataFrame(rows, "k string, o int"), ["k"], ["o"]).collect()
