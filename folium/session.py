@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,23 +34,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle: int = 8) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for cut lineage.
+    """The folder the cluster names for cut lineage; where none is named, one in the warehouse.
 
-    A temporary one is made only where none is set and everything runs in one
-    process, as in tests.
+    Both are folders that the driver and every executor reach.
     """
     known = (
         spark.conf.get("spark.checkpoint.dir", None)
         or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stored"
     )
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="folium-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return known.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,9 +52,12 @@ def stored(df: DataFrame) -> DataFrame:
 
     For results that several branches read and that are dear to recompute.  Unlike
     a cache it survives lost executors; unlike an RDD checkpoint it is computed
-    once and stays columnar, so readers keep column pruning and filter pushdown.
+    once and stays columnar, so readers keep column pruning and filter pushdown.  The
+    table is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,5 +10,7 @@ from folium.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(cores=8, memory="8g", shuffle=8)
+def spark(tmp_path_factory):
+    session = local_session(cores=8, memory="8g", shuffle=8)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("stored")))
+    return session
