@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from folium import columns as c
+
 TEMPORARY_PREFIX = "~$"
 
 
@@ -65,7 +67,19 @@ def latest_directory(spark: SparkSession, root: str, prefix: str) -> str:
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> str:
-    return latest_directory(spark, root, "snapshot=")
+    """The newest complete snapshot: one whose summary, written last, has been committed.
+
+    Only the small files of one summary a snapshot are listed.
+    """
+    path = F.regexp_extract("path", rf"^(.*/snapshot=[^/]*)/{c.T_SUMMARY}/", 1)
+    try:
+        summaries = list_files(spark, f"{root.rstrip('/')}/snapshot=*/{c.T_SUMMARY}", "*.parquet")
+        found = _newest(summaries.withColumn("dir", path), "dir", F.col("dir"))
+    except AnalysisException:
+        found = None
+    if not found:
+        raise FileNotFoundError(f"no complete snapshot under {root}")
+    return found
 
 
 def table_names(spark: SparkSession, snapshot: str) -> list[str]:

@@ -51,20 +51,28 @@ def as_text(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; every column is text and a byte-order mark is ignored."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; every column is text and a byte-order mark is ignored.
+
+    ``multi_line`` is for cells that hold line ends; a file is then read by one task.
+    """
     return strip_headers(
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One table; the suffix decides the format (Parquet unless it says CSV or JSON)."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """One table; the suffix decides the format (Parquet unless it says CSV or JSON).
+
+    JSON lines need the names of their columns; their types are the contract's.
+    """
     lower = path.lower().rstrip("/")
     if lower.endswith(".csv"):
         return read_csv(spark, path)
     if lower.endswith((".json", ".jsonl")):
-        return strip_headers(as_text(spark.read.option("primitivesAsString", True).json(path)))
+        if columns is None:
+            raise ValueError("name the columns of a JSON table")
+        return spark.read.schema(text_schema(columns)).json(path)
     return strip_headers(as_text(spark.read.parquet(path)))
 
 
@@ -105,13 +113,13 @@ def write_snapshot(
     timestamp: str | None = None,
     by_publication: bool = False,
 ) -> str:
-    """Write every table under ``snapshot=<timestamp>/<table>`` as Parquet.
+    """Write every table under ``snapshot=<timestamp>/<table>`` as Parquet, the summary last.
 
-    ``by_publication`` clusters tables that hold publication ids on them, so later
+    A snapshot counts as complete once its summary is there.  ``by_publication`` clusters tables that hold publication ids on them, so later
     joins on the id read ranges that line up.
     """
     snapshot = f"{root.rstrip('/')}/snapshot={timestamp or new_timestamp()}"
-    for name, df in tables.items():
+    for name, df in sorted(tables.items(), key=lambda x: x[0] == c.T_SUMMARY):
         if by_publication and c.PUB in df.columns:
             df = df.repartitionByRange(c.PUB).sortWithinPartitions(c.PUB)
         df.write.mode("errorifexists").parquet(f"{snapshot}/{name}")

@@ -304,6 +304,9 @@ def test_audit_tables(spark, found):
 def test_snapshots_and_sources(spark, found, snapshot, tmp_path):
     root = snapshot.rsplit("/", 1)[0]
     assert snapshots.latest_snapshot(spark, root).endswith("snapshot=20260702_000000")
+    # A newer one that was never finished has no summary and doesn't count.
+    tables.write_snapshot({c.T_PUBLICATIONS: found[c.T_PUBLICATIONS]}, root, "20990101_000000")
+    assert snapshots.latest_snapshot(spark, root).endswith("snapshot=20260702_000000")
     assert set(snapshots.table_names(spark, snapshot)) == set(found)
     assert tables.read_optional(spark, snapshot, "NO_EXISTE", [c.PUB, c.ON_MAP]).columns == [c.PUB, c.ON_MAP]
     import os
