@@ -789,20 +789,25 @@ def unicode_trim(spark, folder):
 
 @query(
     "otros_test",
-    """SELECT doc_id, source IN ('src1', 'src2') AS es_otros, source IN ('src1', 'src2', 'src3', 'src4') AS vacio
-    FROM documents""",
+    """SELECT doc_id, source IN ('src1', 'src2') AS es_otros, source IN ('src1', 'src2', 'src3', 'src4') AS vacio,
+    lower(trim(text)) = 'otros' AS texto_otros,
+    coalesce(lower(trim(text)) IN ('', 'otros', 'no aplica'), true) AS texto_vacio FROM documents""",
 )
 def otros_test(spark, folder):
-    source = F.col("source")
+    source, text = F.col("source"), F.col("text")
     value = (
         F.when(source == "src1", "Otros")
-        .when(source == "src2", " OTROS\t")
+        .when(source == "src2", "\u00a0 OTROS\t")
         .when(source == "src3", " No aplica ")
         .when(source == "src4", "")
-        .otherwise(F.col("text"))
+        .otherwise(source)
     )
     return read(spark, folder, "documents").select(
-        "doc_id", t.is_others(value).alias("es_otros"), t.is_empty_category(value).alias("vacio")
+        "doc_id",
+        t.is_others(value).alias("es_otros"),
+        t.is_empty_category(value).alias("vacio"),
+        t.is_others(text).alias("texto_otros"),
+        t.is_empty_category(text).alias("texto_vacio"),
     )
 
 
@@ -1335,11 +1340,12 @@ def build_decisions(spark, folder):
 
 def _document_type(text: Column) -> Column:
     lang = F.col("lang")
-    return F.when(lang == "es", "TÉSIS de maestría").when(lang == "de", "Artículo").otherwise(text)
+    word = F.when(lang == "es", "TÉSIS de maestría ").when(lang == "de", "Artículo ").otherwise("")
+    return F.concat(word, text)
 
 
-_BINARY = """b AS (SELECT doc_id, CASE WHEN contains(strip_accents(lower(CASE lang WHEN 'es' THEN 'TÉSIS de maestría'
-    WHEN 'de' THEN 'Artículo' ELSE text END)), 'tesis') THEN 'Tesis' ELSE 'Artículo científico' END AS k FROM documents)"""
+_BINARY = """b AS (SELECT doc_id, CASE WHEN contains(strip_accents(lower(CASE lang WHEN 'es' THEN 'TÉSIS de maestría '
+    WHEN 'de' THEN 'Artículo ' ELSE '' END || text)), 'tesis') THEN 'Tesis' ELSE 'Artículo científico' END AS k FROM documents)"""
 
 
 @query("binary_type", f"WITH {_BINARY} SELECT doc_id, k AS {q(c.BINARY_TYPE)} FROM b")
