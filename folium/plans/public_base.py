@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
+from folium.operators.checks import require_columns
 from folium.operators.facets import unique_only
 from folium.operators.groups import keep_first
 from folium.operators.profile import union_all
@@ -14,24 +15,17 @@ from folium.operators.summaries import indicator_rows
 from folium.operators.territory import complete_with_zero, off_map, on_map, territory_counts
 
 
-def with_ordinal(df: DataFrame, order: str = c.ORD) -> DataFrame:
-    """The table with its row ordinal.
+def unique_public_base(df: DataFrame, order: str = c.ORD) -> DataFrame:
+    """First flagged row per master key; rows without a key collapse into one.
 
-    Loaders persist the row number of the source sheet.  Without it, ids that grow
-    with the read order stand in; they are stable only for a single-file read, so
-    persist the result before using it twice.
+    The row ordinal is the loader's (``tables.read_ordered``).
     """
-    return df if order in df.columns else df.withColumn(order, F.monotonically_increasing_id())
-
-
-def unique_public_base(df: DataFrame, order: str = c.ORD) -> DataFrame:
-    """First flagged row per master key; rows without a key collapse into one."""
-    work = unique_only(with_ordinal(df, order))
+    work = unique_only(require_columns(df, [order], "public base"))
     if c.MASTER_KEY in work.columns:
         work = keep_first(work, [c.MASTER_KEY], [F.col(order)])
     if c.UNIQUE_FLAG in work.columns:
         work = work.withColumn(c.UNIQUE_FLAG, F.lit("SI"))
-    return work.drop(order) if order not in df.columns else work
+    return work
 
 
 def recode_empties(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,5 +130,4 @@ __all__ = [
     "public_territory",
     "recode_empties",
     "unique_public_base",
-    "with_ordinal",
 ]

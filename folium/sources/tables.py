@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium import columns as c
 from folium.functions import text as t
 from folium.operators.checks import strip_headers
+from folium.session import stored
 from folium.sources import snapshots
 
 # Columns that are not text.
@@ -76,6 +77,34 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return strip_headers(as_text(spark.read.parquet(path)))
 
 
+def with_row_ordinal(df: DataFrame, order: str = c.ORD) -> DataFrame:
+    """A table just read from files, with the number of each row: files by path, rows as they stand.
+
+    The rows are stored once with their place in their file part, so the numbers don't
+    depend on how a later job reads them.  Only one row a part takes part in the running
+    sum; the rows themselves are joined, never sorted as a whole.
+    """
+    placed = stored(
+        df.select(
+            *[F.col(f"`{x}`") for x in df.columns if x != order],
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
+    )
+    parts = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(order)
+    kept = [F.col(f"`{x}`") for x in placed.columns if x not in ("_file", "_block", "_at")]
+    return placed.join(before, ["_file", "_block"]).select(*kept, number)
+
+
+def read_ordered(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """:func:`read_table` with the row ordinal that consolidation and the public base need."""
+    return with_row_ordinal(read_table(spark, path, columns))
+
+
 def read_snapshot(spark: SparkSession, snapshot: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Every table of a snapshot, or the named ones that exist."""
     present = snapshots.table_names(spark, snapshot)

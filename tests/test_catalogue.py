@@ -331,3 +331,25 @@ def test_snapshots_and_sources(spark, found, snapshot, tmp_path):
     tables.append_trace(spark.createDataFrame([("a", "b")], "indicador string, valor string"), str(tmp_path / "traza"))
     tables.append_trace(spark.createDataFrame([("c", "d")], "indicador string, valor string"), str(tmp_path / "traza"))
     assert tables.read_table(spark, str(tmp_path / "traza")).count() == 2
+
+
+@pytest.mark.parametrize("suffix", ["csv", "parquet"])
+def test_loader_numbers_rows_by_file_and_place(spark, tmp_path, suffix):
+    """Files of several sizes, read with tiny splits: the numbers are those of the rows as they stand."""
+    want, number = {}, 0
+    for f, n in enumerate([300, 1, 0, 700]):
+        rows = [(f"{f}-{i}",) for i in range(n)]
+        folder = tmp_path / f"part{f}"
+        writer = spark.createDataFrame(rows, "v string").coalesce(1).write.option("header", True)
+        getattr(writer, suffix)(str(folder))
+        for v, in rows:
+            number += 1
+            want[v] = number
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        folders = [str(tmp_path / f"part{f}") for f in (0, 1, 3)]
+        read = spark.read.format(suffix).option("header", True).load(folders)
+        got = {r["v"]: r[c.ORD] for r in tables.with_row_ordinal(read).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
