@@ -26,7 +26,8 @@ execution can split, and counts are summed before shuffles.
 
 Defined cases: a text without words has no set, links with nothing and is its own class;
 under five words the whole sequence is one element; rows that share an id are one
-document; a null id stays null and links with nothing.
+document, whose set is the union of theirs, and each of them is returned; a null id stays
+null and links with nothing.
 """
 
 from __future__ import annotations
@@ -80,28 +81,33 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
+def _sketch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    size, keys, first, lists = [], [], [], []
+    for found in sets:
+        below = int(np.searchsorted(found, FIRST))
+        size.append(len(found))
+        keys.append(hashlib.md5(found.tobytes()).digest())
+        first.append(below)
+        lists.append(found[: max(below, window(len(found)))])
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.int64()), _lists(lists)],
+        names=["doc_id", "n", "set_key", "n_first", "first"],
+    )
+
+
+_SKETCH = "doc_id long, n long, set_key binary, n_first long, first array<long>"
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_key, n_first and the hashes of the first pass, of every document."""
+    """doc_id, n, set_key, n_first and the hashes of the first pass, of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
-            size, keys, first, lists = [], [], [], []
-            for text in pc.cast(batch["text"], pa.binary()).to_pylist():
-                found = shingle_set(codes.of(text))
-                below = int(np.searchsorted(found, FIRST))
-                size.append(len(found))
-                keys.append(hashlib.md5(found.tobytes()).digest())
-                first.append(below)
-                lists.append(found[: max(below, window(len(found)))])
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(size, pa.int64()), pa.array(keys), pa.array(first, pa.int64()), _lists(lists)],
-                names=["doc_id", "n", "set_key", "n_first", "first"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, "doc_id long, n long, set_key binary, n_first long, first array<long>"
-    )
+            texts = pc.cast(batch["text"], pa.binary()).to_pylist()
+            yield _sketch(batch["doc_id"], [shingle_set(codes.of(t)) for t in texts])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, _SKETCH)
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
@@ -114,6 +120,22 @@ def _whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "rep long, shingles array<long>")
 
 
+def _united(docs: DataFrame) -> DataFrame:
+    """(rep, shingles): the sorted union of the sets of the rows of each id."""
+    hashes = _whole_sets(docs).select("rep", F.explode_outer("shingles").alias("hash")).distinct()
+    return hashes.groupBy("rep").agg(F.sort_array(F.collect_list("hash")).alias("shingles"))
+
+
+def _sketches_of_sets(sets: DataFrame) -> DataFrame:
+    """What _sketches gives, of (rep, shingles)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _sketch(batch["rep"], [np.array(x, dtype=np.int64) for x in batch["shingles"].to_pylist()])
+
+    return sets.mapInArrow(rows, _SKETCH)
+
+
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows whose doc_id is (left_semi) or isn't (left_anti) among stored ids.
 
@@ -303,22 +325,36 @@ def _direct(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    sketches = stored(_sketches(docs))
+    """doc_id, n_shingles, component_id of every row."""
+    docs = docs.select("doc_id", "text")
+    by_row = sketches = stored(_sketches(docs))
+    # From here on an id has one row, with the union of the sets of its rows.
+    repeated = stored(sketches.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    united = None
+    if not repeated.isEmpty():
+        united = stored(_united(_among(docs, repeated, "left_semi")))
+        sketches = stored(_among(sketches, repeated, "left_anti").unionByName(_sketches_of_sets(united)))
+        docs = _among(docs, repeated, "left_anti")
     equal = sketches.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     own = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(equal, "set_key", "left")
     own = stored(own.drop("set_key"))
     copies = stored(own.where("doc_id <> rep").select("doc_id").distinct())
     survivors = stored(_survivors(sketches, copies))
-    sets = stored(_whole_sets(_among(docs.select("doc_id", "text"), survivors, "left_semi")))
+    sets = _whole_sets(_among(docs, survivors, "left_semi"))
+    if united is not None:
+        sets = sets.unionByName(united.join(survivors.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
+    sets = stored(sets)
     classes = _classes(_regions(sets).withColumn("class", F.col("rep")), sets)
     named = F.coalesce("rep", "doc_id")
     if classes is not None:
         own = own.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
         named = F.coalesce("component", "rep", "doc_id")
-    return own.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), named).alias("component_id")
-    )
+    own = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), named).alias("component_id"))
+    if united is None:
+        return own
+    own = stored(own)
+    again = _among(by_row, repeated, "left_semi").select("doc_id").join(own, "doc_id")
+    return _among(own, repeated, "left_anti").unionByName(again)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -79,6 +79,25 @@ def test_null_and_repeated_ids(spark):
     assert sorted(r["doc_id"] or -1 for r in J.first_of_each(docs).collect()) == [-1, 4, 4, 7, 8]
 
 
+def test_repeated_rows_lose_no_links(spark):
+    rng, rows = random.Random(7), []
+    for k in range(8):
+        base = prose(700 + k, 119)
+        rows += [(10 * k, base), (10 * k + 1, edited(base, rng, 0.01))] * 2
+    got = J.joined(documents(spark, rows)).collect()
+    want = brute(rows)
+    assert sorted(map(tuple, got)) == sorted((i, *want[i]) for i, _ in rows)
+    assert sum(i != c for i, _, c in got) > 4
+
+
+def test_an_id_with_several_texts_has_their_union(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    # 5 and 6 hold a and b; 7 holds b alone, 8 a passage of neither; 9 has no words in one row.
+    rows = [(5, a), (5, b), (6, b), (6, a), (6, a), (7, b), (8, c), (9, ""), (9, c), (3, ""), (3, None)]
+    got = sorted(map(tuple, J.joined(documents(spark, rows)).collect()))
+    assert got == sorted([(5, 152, 5)] * 2 + [(6, 152, 5)] * 3 + [(7, 76, 7), (8, 76, 8)] + [(9, 76, 8)] * 2 + [(3, 0, 3)] * 2)
+
+
 def test_keeps_clashing_columns(spark):
     docs = frame(spark, [(1, "a b", 5, 6), (2, "a b", 7, 8)], "doc_id long, text string, rep int, component_id int")
     assert [tuple(r) for r in J.first_of_each(docs).collect()] == [(1, "a b", 5, 6)]
