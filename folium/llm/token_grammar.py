@@ -1,9 +1,10 @@
 """Token ids in grammar-compressed binary shards (Re-Pair).
 
 Documents are dealt out by ranges of doc_id, tokenized, and cut into shards of whole
-documents.  In each shard the most frequent pairs of neighbouring symbols are replaced by
-nonterminals, again and again; pairs never cross the end of a document.  Where chosen
-pairs overlap, the more frequent one is replaced.  A shard's row holds
+documents.  In each shard the frequent pairs of neighbouring symbols are replaced by
+nonterminals, again and again, until no pair occurs ``LEAST`` times without overlap; pairs
+never cross the end of a document.  Where chosen pairs overlap, the more frequent one is
+replaced.  A shard's row holds
 
 - ``symbols``: the compressed sequence, ``width`` bytes a symbol, little-endian;
 - ``rules``: for each nonterminal, from ``base`` on, its two symbols (32 bits each);
@@ -39,14 +40,13 @@ from folium.session import stored
 
 #: Ids of a shard, from which on it is closed; a longer document is a shard of its own.
 SHARD = 1 << 20
-ROUNDS = 3
-#: A pair is replaced if it occurs at least so often, and this share of the most frequent one.
-LEAST, SHARE = 12, 1 / 40
+#: A pair is replaced if it occurs at least so often.
+LEAST = 12
 #: Pairs are counted in 2^20 buckets.
 BUCKET_BITS = 20
-_ODD = np.random.default_rng(3).integers(1, 2**31, ROUNDS + 1, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: Symbols of two bytes.
-NARROW = 1 << 16
+_ODD = np.random.default_rng(3).integers(1, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Symbols of two bytes, and of three.
+NARROW, MIDDLE = 1 << 16, 1 << 24
 REMEMBERED = 500_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -136,53 +136,73 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
+def _second_of_runs(left: np.ndarray, right: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Places of a run of equal symbols whose pair overlaps the one before that counts."""
+    at = np.flatnonzero((left == right) & inside)
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = np.diff(at) != 1
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    return at[(at - start) % 2 == 1]
+
+
+def _counted(pairs: np.ndarray, bucket: np.ndarray, exact: bool):
+    """Which places take part, the number of the pair of each of those, and the pairs by number."""
+    if exact:
+        shown, number = np.unique(pairs, return_inverse=True)
+        return np.ones(len(pairs), dtype=bool), number, shown
+    shown = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
+    shown[bucket] = pairs
+    same = shown[bucket] == pairs
+    return same, bucket[same], shown
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     """Re-Pair of a shard: (symbols, ends, rules, lengths).
 
     ids: all ids of the shard; ends: True at the last id of each document.  Pairs are
     counted in hashed buckets; a busy bucket stands for the pair seen last in it, whose
     places are then counted exactly.  Another pair of the same bucket waits for a later
-    round, in which the hash is another one.
+    round, in which the hash is another one.  A round that finds none is repeated with
+    all pairs of the busy buckets counted, so nothing stays hidden when the rounds end.
     """
     symbols, last = ids.astype(np.uint32), ends.copy()
     rules, sizes = [], np.empty(0, dtype=np.int64)
-    room = NARROW - base if base < NARROW else 1 << 24
-    for turn in range(ROUNDS):
+    turn, exact = 0, False
+    while len(symbols) > 1:
         top = base + len(rules)
-        if len(symbols) < 2 or top - base >= room:
-            break
         left, right = symbols[:-1], symbols[1:]
-        hashed = ((left * _ODD[turn] + right) * _ODD[-1]) >> np.uint32(32 - BUCKET_BITS)
-        busy = np.bincount(hashed, minlength=1 << BUCKET_BITS)
-        least = max(LEAST, int(busy.max() * SHARE))
-        at = np.flatnonzero((busy >= least)[hashed] & ~last[:-1])
-        bucket = hashed[at]
+        inside = ~last[:-1]
+        inside[_second_of_runs(left, right, inside)] = False
+        hashed = ((left * _ODD[turn % 7] + right) * _ODD[-1]) >> np.uint32(32 - BUCKET_BITS)
+        busy = np.bincount(hashed[inside], minlength=1 << BUCKET_BITS)
+        at = np.flatnonzero((busy >= LEAST)[hashed] & inside)
         pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        shown = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
-        shown[bucket] = pairs
-        same = shown[bucket] == pairs
-        at, bucket = at[same], bucket[same]
-        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-        often = np.flatnonzero(counts >= least)
-        # The most frequent first, equal ones by their symbols.
-        often = often[np.lexsort((shown[often], -counts[often]))][: room - (top - base)]
+        same, number, shown = _counted(pairs, hashed[at], exact)
+        at = at[same]
+        counts = np.bincount(number, minlength=len(shown))
+        often = np.flatnonzero(counts >= LEAST)
+        turn += 1
         if not len(often):
-            break
+            if exact:
+                break
+            exact = True
+            continue
+        exact = False
+        # The most frequent first, equal ones by their symbols.
+        often = often[np.lexsort((shown[often], -counts[often]))]
         none = len(often)
-        rank_of = np.full(1 << BUCKET_BITS, none, dtype=np.int32)
+        rank_of = np.full(len(shown), none, dtype=np.int32)
         rank_of[often] = np.arange(none, dtype=np.int32)
         rank = np.full(len(symbols) + 1, none, dtype=np.int32)
-        rank[at + 1] = rank_of[bucket]
-        # Of overlapping pairs the more frequent is replaced, of equal ones the first.
+        rank[at + 1] = rank_of[number]
+        # Of overlapping pairs the more frequent is replaced; the first one wins everywhere.
         here = rank[at + 1]
         wins = (here < none) & (here < rank[at]) & (here <= rank[np.minimum(at + 2, len(symbols))])
         used = np.bincount(here[wins], minlength=none)
-        wins[wins] = used[here[wins]] > 1
+        wins[wins] = used[here[wins]] >= LEAST
         places = at[wins]
-        if not len(places):
-            break
-        name = np.cumsum(used > 1) - 1 + top
-        made = shown[often[used > 1]]
+        name = np.cumsum(used >= LEAST) - 1 + top
+        made = shown[often[used >= LEAST]]
         made = np.stack((made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
         known = np.concatenate((sizes, [1]))
         size = lambda x: np.where(x < base, 1, known[np.where(x < base, -1, x - base)])  # noqa: B023, E731
@@ -196,6 +216,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     return symbols, last, np.array(rules, dtype="<u4").reshape(-1, 2), sizes.astype("<u4")
 
 
+def packed(symbols: np.ndarray, width: int) -> bytes:
+    """Little-endian, so many bytes a symbol."""
+    return np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 4), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return wide.view("<u4").reshape(-1)
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for, level by level."""
     symbols = symbols.astype(np.int64)
@@ -225,9 +256,9 @@ def _row(part: int, shard: int, docs: list[tuple[int | None, np.ndarray]], base:
     ends[np.cumsum(sizes) - 1] = True
     symbols, last, rules, lengths = compress(np.concatenate([ids for _, ids in docs]), ends, base)
     per_doc = np.diff(np.concatenate(([0], np.flatnonzero(last) + 1))).astype("<i8")
-    width = 2 if base + len(rules) <= NARROW else 4
+    width = 2 if base + len(rules) <= NARROW else 3 if base + len(rules) <= MIDDLE else 4
     values = [
-        part, shard, base, width, int(sizes.sum()), symbols.astype(f"<u{width}").tobytes(), rules.tobytes(),
+        part, shard, base, width, int(sizes.sum()), packed(symbols, width), rules.tobytes(),
         lengths.tobytes(), np.array([i or 0 for i, _ in docs], dtype="<i8").tobytes(),
         np.array([i is None for i, _ in docs], dtype=np.uint8).tobytes(), per_doc.tobytes(), sizes.tobytes(),
     ]
@@ -261,7 +292,7 @@ class Shard:
     def __init__(self, row: dict):
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
         self.base = row["base"]
-        self.symbols = read("symbols", f"<u{row['width']}")
+        self.symbols = unpacked(row["symbols"], row["width"])
         self.rules, self.lengths = read("rules", "<u4").reshape(-1, 2), read("lengths", "<u4")
         missing = read("null_ids", np.uint8)
         self.doc_ids = [None if m else int(i) for i, m in zip(read("doc_ids", "<i8"), missing)]

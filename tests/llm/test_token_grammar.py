@@ -37,6 +37,36 @@ def test_compression_round_trip_and_random_access():
         assert shard.lengths[k] == len(G.expand(np.array([left, right]), shard.rules, shard.base))
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    passage, pairs = rng.integers(0, 50000, 400), [(60000 + i, 60500 + i) for i in range(50)]
+    docs = [np.append(passage, 2).astype("<u4")] * 600 + [np.append(np.full(4096, 7), 2).astype("<u4")]
+    docs += [np.append(np.tile(p, (20, 1)) + np.array([[0, 0]] * 20), 2).astype("<u4") for p in pairs]
+    docs.append(np.append(np.tile((9, 11), 40000), 2).astype("<u4"))
+    shard = G.Shard(G._row(0, 0, list(enumerate(docs)), 70000).to_pylist()[0])
+    for i, doc in enumerate(docs):
+        assert (shard.document(i) == doc).all()
+    # Whole documents become a few symbols, not an eighth of their ids.
+    assert len(shard.symbols) < 4000
+    starts = shard.starts
+    seen = {}
+    for i in range(len(docs)):
+        part, k = shard.symbols[starts[i] : starts[i + 1]].tolist(), 0
+        while k < len(part) - 1:
+            pair = (part[k], part[k + 1])
+            seen[pair] = seen.get(pair, 0) + 1
+            # Of three equal symbols only one pair counts.
+            k += 2 if part[k] == part[k + 1] and part[k + 1 : k + 3] == [part[k]] * 2 else 1
+    assert max(seen.values()) < G.LEAST
+
+
+def test_symbols_of_every_width():
+    for width in (2, 3, 4):
+        values = np.array([0, 1, 255, 256, (1 << 8 * width) - 1], dtype=np.uint32)
+        assert len(G.packed(values, width)) == 5 * width
+        assert (G.unpacked(G.packed(values, width), width) == values).all()
+
+
 def test_frames_equal_brute_force(spark, monkeypatch):
     texts = [*ODD, *[prose(i, 300) for i in range(40)], (5, "same id"), (None, "no id")]
     docs = documents(spark, texts)
