@@ -5,7 +5,7 @@ its subtree give a density of characters a tag, lowered by the share of links.
 density sum adds those of its children; the node with the largest sum is the core of the
 page.  The least density on the path from that node up to the body is the page's
 threshold: subtrees elsewhere that reach it add their own node of largest sum.  Where
-the core lies in an article or main element, that whole element is taken.
+the core lies in an article or main element, that whole element is taken in its place.
 
 Elements that are never content (menus, page headers and footers, sidebars, forms,
 scripts, styles) and blocks whose class, id or role names an advert, notice, comment
@@ -15,8 +15,9 @@ what remains is dropped or shortened.
 A block is the text between the borders of block elements; ``br`` is white space.
 
 Defined cases: null or empty html gives an empty text; text without any tag is one
-block; unclosed, crossing and unmatched tags are repaired as browsers do; repeated pages
-each keep their row.
+block; unclosed, crossing and unmatched tags are repaired as browsers do, but an element
+without content that is never closed ends at once, scripts and styles excepted; a form
+around most of the page's text is no form; repeated pages each keep their row.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 # Element names and the words that name parts of a page that aren't its article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title xmp".split())
+#: Of these, elements that hold markup: they may nest, close themselves or stay open.
+NESTING = frozenset("noscript template object svg math canvas".split())
 LEFT_OUT = frozenset("head nav footer aside form button select dialog menu audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure "
@@ -59,6 +62,8 @@ NAMES_OTHER = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
     "widgets pagination pager paywall teaser hidden".split()
 )
+#: Before such a word these say what the page around it is like.
+STATES = frozenset("no has with without".split())
 ROLES_OTHER = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
 )
@@ -93,7 +98,8 @@ def _other(tag: str, attributes: str) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if not NAMES_OTHER.isdisjoint(w.lower() for w in WORDS.findall(value)):
+            words = [w.lower() for w in WORDS.findall(value)]
+            if any(w in NAMES_OTHER and before not in STATES for before, w in zip(["", *words], words)):
                 return True
         elif name == "role":
             if value.lower() in ROLES_OTHER:
@@ -106,9 +112,23 @@ def _other(tag: str, attributes: str) -> bool:
     return False
 
 
+def _closes(html: str, tag: str) -> dict[int, int]:
+    """Where each opening tag of a nesting element ends: the end of its own closing tag."""
+    found, still = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![^\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+>|<(/?){tag}(?![^\s/>])[^>]*+>", html, re.I):
+        if m[1] or m[2]:
+            if still:
+                found[still.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            still.append(m.end())
+    return found
+
+
 def tree(html: str) -> Node:
     """The page's elements; those that are never content are marked."""
     top = node = Node("html", None)
+    closes: dict[str, dict[int, int]] = {}
+    open_to_end: set[str] = set()
     opened: dict[str, int] = {}
     at, end = 0, len(html)
 
@@ -142,9 +162,23 @@ def tree(html: str) -> Node:
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
             node.tags += 1
+            if tag in NESTING:
+                if not attributes.endswith("/"):
+                    if tag not in closes:
+                        closes[tag] = _closes(html, tag)
+                    # One that stays open holds nothing.
+                    at = closes[tag].get(at, at)
+                continue
+            close = None
+            if tag not in open_to_end:
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                at = end
+            else:
+                open_to_end.add(tag)
             continue
         if tag in ("html", "body"):
             # One node stands for the page's own frame.
@@ -186,9 +220,21 @@ def _in_order(top: Node) -> list[Node]:
     return found
 
 
+def _unwrap_forms(top: Node, order: list[Node]) -> None:
+    """A form that holds most of the page's text is the page's frame, not a form."""
+    chars: dict[int, int] = {}
+    for node in reversed(order):
+        inside = (len(p.strip()) if isinstance(p, str) else chars[id(p)] for p in node.parts)
+        chars[id(node)] = sum(inside) if node.tag == "form" or not node.other else 0
+    for node in order:
+        if node.tag == "form" and 2 * chars[id(node)] > chars[id(top)]:
+            node.other = False
+
+
 def _prune(top: Node) -> None:
     """Takes marked nodes out, and page headers; a marked block around the main heading stays."""
     order = _in_order(top)
+    _unwrap_forms(top, order)
     holds: set[int] = set()
     for node in reversed(order):
         if node.tag in ("h1", "main") or id(node) in holds:
@@ -261,7 +307,7 @@ def chosen(top: Node) -> list[Node]:
             lifted = here
         here = here.parent
     if lifted is not None:
-        return [lifted]
+        best = lifted
     threshold = min(threshold, top.density)
     found, skip = [], set()
     for node in order:

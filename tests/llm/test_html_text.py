@@ -40,6 +40,25 @@ def test_everything_around_the_article_goes(frame):
     assert H.main_text(page) == "Title\n\n" + WANT
 
 
+@pytest.mark.parametrize(
+    "odd", ["<svg class=i />", "<math/>", "<canvas>", "<object data=x>", "<noscript>", "<svg><svg></svg><text>no</text></svg>", "<canvas><canvas></canvas>"]
+)
+def test_elements_without_content_end_where_they_do(odd):
+    assert H.main_text(f"<article><p>{PARAGRAPHS[0]}</p>{odd}<p>{PARAGRAPHS[1]}</p></article>") == WANT
+    assert H.main_text(f"<article>{odd}{BODY}<svg>no</svg></article>") == WANT
+
+
+def test_article_in_a_form_or_in_two_elements():
+    page = f"<form id=aspnet action=/><div>{BODY}</div></form><form>mail <select><option>a</select></form>"
+    assert H.main_text(page.replace("action=/>", "action='/'>")) == WANT
+    assert H.main_text("".join(f"<article><p>{p}</p></article>" for p in PARAGRAPHS)) == WANT
+    assert H.main_text(f"<div class='content no-sidebar'>{BODY}</div>") == WANT
+
+
+def test_many_open_elements_take_linear_time():
+    assert H.main_text("<canvas>" * 30000 + "<title>" * 30000 + "x") == "x"
+
+
 def test_unclosed_and_deep_pages():
     assert H.main_text("<article><h1>T</h1><p><b>One.<br><p>Two  words.</article><footer>f") == "T\n\nOne.\n\nTwo words."
     assert H.main_text("<div>" * 20000 + "x") == "x"
