@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.session import shared_folder
+
 #: White space that parts words: space and the controls from tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -56,3 +59,29 @@ def fresh(df: DataFrame, name: str) -> str:
 def bucket(key: Column, buckets: int) -> Column:
     """crc32 of the key as text, modulo; null stays null."""
     return F.crc32(key.cast("string").cast("binary")) % buckets
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for tables that an operator writes; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    where, system = _at(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The frame read again from the table it is written to."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    where, system = _at(spark, path)
+    system.delete(where, True)

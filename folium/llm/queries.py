@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, chat_examples, decontaminate, html_text, jaccard_join, language_id, quality_rules, token_grammar, toxicity, twins, url_filter
+from folium.llm import (
+    bpe,
+    chat_examples,
+    decontaminate,
+    heap_kmeans,
+    html_text,
+    jaccard_join,
+    language_id,
+    lexical_search,
+    quality_rules,
+    rendezvous,
+    token_grammar,
+    toxicity,
+    twins,
+    url_filter,
+)
 from folium.llm.common import read
 from folium.session import stored
 
@@ -72,6 +87,21 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    """Cluster and distance of every kept vector."""
+    return heap_kmeans.clustered(read(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark, sf_dir):
+    """Shard and slot of every document, from the written shards."""
+    return rendezvous.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +113,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
@@ -90,4 +123,7 @@ ORACLE = {
     "op4_quality_rules": twins.QUALITY,
     "op5_ngram_jaccard_join": twins.NEAR,
     "op6_chat_formatting": twins.CHAT,
+    "op11_centroid_clustering": twins.MEANS,
+    "op12_sharding": twins.SHARDS,
+    "op13_lexical_search": twins.SEARCH,
 }

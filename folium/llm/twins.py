@@ -149,3 +149,77 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(other), w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id"""
+
+
+def _means(k: int, rounds: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} AS (SELECT v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance
+  FROM v JOIN c{r} c USING (i) GROUP BY v.r, c.cluster),
+a{r} AS MATERIALIZED (SELECT r, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM d{r} GROUP BY r)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.i, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT cluster, i, floor(sum(x)::BIGINT / count(*))::BIGINT AS x FROM v JOIN a{r} USING (r) GROUP BY cluster, i) n
+  USING (cluster, i))"""
+            )
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, unnest(range(64)) AS i,
+  unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x FROM kept),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, embedding) - 1 AS cluster FROM kept),
+c0 AS MATERIALIZED (SELECT cluster::INTEGER AS cluster, i, x FROM v JOIN s USING (r) WHERE cluster < {k}),
+{", ".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN h USING (cluster)"""
+
+
+MEANS = _means(40, 5)
+
+SHARDS = r"""WITH tab AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS c
+    FROM range(256) r(b))),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+c AS (
+  SELECT r, doc_id, size, xor(list_reduce(bytes, lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]),
+    4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, tab),
+o AS (
+  SELECT r, s, 1.0::DOUBLE / -ln((('0x' || md5(coalesce(doc_id::VARCHAR, '') || '|' || s)[1:13])::BIGINT + 0.5)
+    / 4503599627370496.0::DOUBLE) AS offer
+  FROM d, range(41) t(s)),
+w AS (
+  SELECT r, arg_max(s, (offer, -s)) FILTER (s < 40)::INTEGER AS shard, arg_max(s, (offer, -s))::INTEGER AS grown_shard
+  FROM o GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, r) - 1 AS slot, grown_shard
+FROM c JOIN w USING (r)"""
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+SEARCH = f"""WITH t AS (
+  SELECT r, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+i AS (SELECT DISTINCT item_id, text, unnest({_TERMS}) AS term FROM benchmark),
+n AS (SELECT r, doc_id, count(*)::BIGINT AS n FROM t GROUP BY r, doc_id),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT r, doc_id, 10 + (90 * n * docs) // terms AS m FROM n, c),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), c),
+s AS (SELECT item_id, text, m.doc_id, f.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN m ON m.r = f.r GROUP BY item_id, text, m.doc_id, f.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER
+  AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""

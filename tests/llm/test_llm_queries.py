@@ -24,13 +24,13 @@ def test_entry_lists_the_queries():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "labels", "pages", "benchmark", "conversations"):
+    for table in ("documents", "labels", "pages", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{FOLDER}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     rows = QUERIES[name](spark, str(tmp_path)).collect()
     assert [r["conv_id"] for r in rows] == ([-7] if name.startswith("op6") else [])
