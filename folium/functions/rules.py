@@ -5,8 +5,8 @@ classifier runs inside the scan stage: no join, no shuffle, no Python worker.
 Exact lists become hash-set ``IN`` tests.
 
 A folded key is read by dozens of tests.  :func:`bind` computes such values once
-per row: it emits them from a one-row ``inline``, which the optimizer neither
-merges into its consumers nor pushes filters through.
+per row: the optimizer may not look into them (:func:`opaque`), so it neither copies them
+into their consumers nor pushes filters through, but it drops those that nobody reads.
 """
 
 from __future__ import annotations
@@ -21,9 +21,13 @@ from folium import fixed_values as fv
 
 
 def bind(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed exactly once per row, however often they are read."""
-    row = F.struct(*[value.alias(name) for name, value in values.items()])
-    return df.select("*", F.inline(F.array(row)))
+    """Add columns that are computed once per row however often they are read, and not at all if never."""
+    return df.select("*", *[opaque(value).alias(name) for name, value in values.items()])
+
+
+def opaque(value: Column) -> Column:
+    """The value, which the optimizer must compute where it stands: not folded, copied or moved."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def quoted(value: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
-from folium.operators.checks import join_no_orphans
+from folium.operators.checks import Keyed, join_no_orphans, plain
 from folium.operators.groups import SLICE_ROWS, group_ordinal, joined_sorted, keep_first
 
 
@@ -61,7 +61,7 @@ def as_is(df: DataFrame) -> DataFrame:
 
 def remap_bridge(
     bridge: DataFrame,
-    record_map: DataFrame,
+    record_map: DataFrame | Keyed,
     order: str = c.ORD,
     width: int = SLICE_ROWS,
     store: Callable[[DataFrame], DataFrame] = as_is,
@@ -86,15 +86,16 @@ def remap_bridge(
 
 
 def bridge_from_records(
-    records: DataFrame,
-    record_map: DataFrame,
+    records: DataFrame | Keyed,
+    record_map: DataFrame | Keyed,
     column: str,
     order: str = c.ORD,
     store: Callable[[DataFrame], DataFrame] = as_is,
 ) -> DataFrame:
     """Publication bridge of a single-valued record column."""
-    extra = [c.MASTER_KEY] if c.MASTER_KEY in records.columns else []
-    source = records.select(
+    rows = plain(records)
+    extra = [c.MASTER_KEY] if c.MASTER_KEY in rows.columns else []
+    source = rows.select(
         c.RECORD, *extra, F.col(f"`{column}`"), F.col(f"`{column}`").alias(c.CATEGORY), order
     )
     return remap_bridge(source, record_map, order, store=store)

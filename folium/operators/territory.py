@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
-from folium.operators.checks import join_many_to_one, require_columns
+from folium.operators.bridges import as_is
+from folium.operators.checks import Keyed, join_many_to_one, plain, require_columns
 from folium.operators.groups import joined_sorted, keep_first
 from folium.operators.summaries import indicator_rows
 
@@ -97,9 +100,16 @@ def territory_counts(territory: DataFrame, distinct_of: str = c.PUB, record: str
 
 
 def consolidate_territory(
-    territory: DataFrame, base: DataFrame, record_map: DataFrame, order: str = c.ORD
+    territory: DataFrame,
+    base: DataFrame,
+    record_map: DataFrame | Keyed,
+    order: str = c.ORD,
+    store: Callable[[DataFrame], DataFrame] = as_is,
 ) -> dict[str, DataFrame]:
-    """Territory at publication grain, its map counts and its coverage."""
+    """Territory at publication grain, its map counts and its coverage.
+
+    The relations are read by all three tables; ``store`` may write them down.
+    """
     mapped = join_many_to_one(
         territory.drop(c.PUB),
         record_map.select(c.RECORD, c.PUB),
@@ -107,7 +117,7 @@ def consolidate_territory(
         "inner",
         "the record map repeats a record",
     )
-    expanded = keep_first(mapped, [c.PUB, c.DEP_KEY], [F.col(order)])
+    expanded = store(keep_first(mapped, [c.PUB, c.DEP_KEY], [F.col(order)]))
     crossed = on_map(expanded)
     counts = territory_counts(crossed).filter(F.col(c.DEP_KEY).isNotNull())
     departments = complete_with_zero(base.select(*_BASE), counts, c.TERRITORY_COUNTS)
@@ -119,7 +129,7 @@ def consolidate_territory(
         ),
     )
     coverage = (
-        indicator_rows(record_map.agg(F.count_distinct(c.PUB).alias("publicaciones_consolidadas")))
+        indicator_rows(plain(record_map).agg(F.count_distinct(c.PUB).alias("publicaciones_consolidadas")))
         .unionByName(indicator_rows(relations))
         .unionByName(
             indicator_rows(

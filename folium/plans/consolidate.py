@@ -15,11 +15,14 @@ from folium.functions import text as t
 from folium.functions.rules import bind, class_lookup
 from folium.operators.bridges import as_is, bridge_from_records, remap_bridge
 from folium.operators.checks import (
+    Keyed,
     join_covering,
     join_many_to_one,
     join_one_to_one,
+    plain,
     raise_when,
     require_columns,
+    store_keyed,
     unique_by,
 )
 from folium.operators.classify import (
@@ -48,21 +51,29 @@ def clean_database_names(records: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # Publications
 # --------------------------------------------------------------------------
-def build_publications(records: DataFrame, record_map: DataFrame, order: str = c.ORD) -> DataFrame:
+def build_publications(
+    records: DataFrame | Keyed, record_map: DataFrame | Keyed, order: str = c.ORD
+) -> DataFrame:
     """One row per publication: the representative record plus consolidated databases.
 
     The map must list every record exactly once.  That is checked inside the join
-    that brings records and map together, so it costs no extra shuffle.
+    that brings records and map together: each of them is scanned once for it, and dealt
+    once by record.  Groups and details are read and dealt on their own.
     """
-    narrow = records.select(c.RECORD, F.col(c.DATABASE), order)
     mapped = join_covering(
-        narrow, record_map.select(c.RECORD, c.PUB), [c.RECORD], "the record map does not cover the records"
+        records.select(c.RECORD, F.col(c.DATABASE), order),
+        record_map.select(c.RECORD, c.PUB),
+        [c.RECORD],
+        "the record map does not cover the records",
     )
     databases = joined_first_seen(mapped, [c.PUB], t.unicode_trim(F.col(c.DATABASE)), order, c.DATABASE)
 
-    order_of = [F.col(order)] if order in record_map.columns else [F.col(c.RECORD)]
-    groups = keep_first(record_map, [c.PUB], order_of).select(*_FRONT)
-    details = records.drop(c.DATABASE, order).withColumn(c.REPRESENTATIVE, F.col(c.RECORD))
+    rows, groups = plain(records), plain(record_map)
+    order_of = [F.col(order)] if order in groups.columns else [F.col(c.RECORD)]
+    groups = keep_first(groups, [c.PUB], order_of).select(*_FRONT)
+    details = rows.drop(c.DATABASE, order).withColumn(c.REPRESENTATIVE, F.col(c.RECORD))
+    if isinstance(records, Keyed):  # the representative is the record, whose key was checked
+        details = Keyed(details, (c.REPRESENTATIVE,))
     publications = join_one_to_one(
         groups, details, [c.REPRESENTATIVE], "left", "a record represents several publications"
     )
@@ -175,7 +186,9 @@ def academic_conflicts(levels: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def derive_academic_fields(records: DataFrame, record_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+def derive_academic_fields(
+    records: DataFrame | Keyed, record_map: DataFrame | Keyed
+) -> tuple[DataFrame, DataFrame]:
     """Grade and level of every publication with a thesis record, and the conflicts."""
     theses = records.filter(F.col(c.TYPE_NORM) == fv.THESIS).select(c.RECORD, F.col(c.RAW_LEVEL))
     work = join_one_to_one(
@@ -444,7 +457,8 @@ def consolidate(
     """Every table of the consolidated catalogue.
 
     Lazy unless ``store`` writes down the frames that several tables read: the
-    cleaned records and the kept rows of each bridge.
+    cleaned records and the record map, whose keys are checked in that write and by no
+    join after it, and the kept rows of each bridge and of the territory.
 
     Order of work: clean records, move misplaced journals, remap and classify the
     bridges, apply requests, build publications with ids, academic fields and
@@ -452,8 +466,8 @@ def consolidate(
     """
     records = clean_database_names(inputs.records)
     records, institution_audit = migrate_misplaced_journals(records)
-    records = store(records)
-    record_map = inputs.record_map
+    records = store_keyed(records, [c.RECORD], "a record repeats", store)
+    record_map = store_keyed(inputs.record_map, [c.RECORD], "the record map repeats a record", store)
 
     bridges = {
         name: remap_bridge(bridge, record_map, store=store)
@@ -483,12 +497,12 @@ def consolidate(
 
     territory = {
         **inputs.other_territory,
-        **consolidate_territory(inputs.territory, inputs.departments, record_map),
+        **consolidate_territory(inputs.territory, inputs.departments, record_map, store=store),
     }
     tables: dict[str, DataFrame] = {
         c.T_PUBLICATIONS: publications,
-        c.T_RECORDS: records,
-        c.T_RECORD_MAP: record_map,
+        c.T_RECORDS: records.table,
+        c.T_RECORD_MAP: record_map.table,
         c.T_REVIEWED: inputs.reviewed,
         c.T_ACADEMIC_AUDIT: conflicts,
         c.T_ID_REGISTRY: inputs.id_registry,
@@ -500,7 +514,7 @@ def consolidate(
         tables[c.T_REPOSITORY_AUDIT] = union_all(audits)
     tables.update(bridges)
     tables.update(territory)
-    tables[c.T_CONTRACT] = data_contract(records.sparkSession, list(bridges), list(territory))
+    tables[c.T_CONTRACT] = data_contract(records.table.sparkSession, list(bridges), list(territory))
     return tables
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -52,7 +54,8 @@ def test_rows_without_a_group_form_one(spark):
 def test_a_record_whose_publication_is_null_stops_the_bridge(spark):
     bridge = spark.createDataFrame([("r1", "x", 1), ("r2", "y", 2)], f"{c.RECORD} string, {c.CATEGORY} string, {c.ORD} long")
     known = spark.createDataFrame([("r1", "p"), ("r2", None)], f"{c.RECORD} string, {c.PUB} string")
-    with pytest.raises(PySparkException, match="without a publication"):
+    # Two stages read the checked rows; Spark names both failures if they come at once.
+    with pytest.raises(Exception, match="without a publication"):
         remap_bridge(bridge, known).collect()
 
 
@@ -98,6 +101,66 @@ def test_checks_pass_and_raise(spark):
                 use.collect()
 
 
+def test_a_check_reads_only_the_columns_it_needs(spark, tmp_path):
+    wide = spark.range(20).selectExpr("id AS k", *[f"id * {i} AS c{i}" for i in range(12)])
+    wide.write.parquet(f"{tmp_path}/wide")
+    stored = spark.read.parquet(f"{tmp_path}/wide")
+    checks = [
+        K.unique_by(stored, ["k"], "m"),
+        K.raise_when(stored, F.col("k").isNull(), "m"),
+        K.raise_when_any(stored, F.col("k").isNull(), "m"),
+        K.join_covering(stored, spark.range(20).withColumnRenamed("id", "k"), ["k"], "m"),
+    ]
+    for checked in checks:
+        plan = checked.select("c3")._jdf.queryExecution().executedPlan().toString()
+        schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan)
+        assert set(schemas) <= {"k:bigint,c3:bigint", "k:bigint", "c3:bigint"} and schemas
+        assert checked.select("c3").count() == 20
+    # Beside the data path, a later filter still reaches the scan.
+    plan = K.raise_when_any(stored, F.col("k").isNull(), "m").filter("c3 = 6").select("c5")
+    assert "EqualTo(c3,6)" in plan._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(PySparkException, match="broken"):
+        K.raise_when_any(stored, F.col("k") > 18, "broken").filter("c3 = 6").collect()
+
+
+def test_a_verified_key_is_checked_once(spark, tmp_path):
+    kept = []
+
+    def store(df):
+        df.write.parquet(f"{tmp_path}/{len(kept)}")
+        kept.append(df)
+        return spark.read.parquet(f"{tmp_path}/{len(kept) - 1}")
+
+    left = spark.createDataFrame([(1, "a"), (2, None)], "k int, x string")
+    right = spark.createDataFrame([(1, "p"), (2, "q")], "k int, y string")
+    known = K.store_keyed(right, ["k"], "repeats", store, needed=["y"], covers=left)
+    joins = [
+        K.join_many_to_one(left, known, ["k"], "left", "m"),
+        K.join_no_orphans(left, known, ["k"], "m", needed="y"),
+        K.join_one_to_one(K.store_keyed(left, ["k"], "repeats", store), known, ["k"], "inner", "m"),
+        K.join_covering(K.store_keyed(left, ["k"], "repeats", store), known.select("k", "y"), ["k"], "m"),
+    ]
+    for joined in joins:
+        assert "Window" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, joined.collect())) == [(1, "a", "p"), (2, None, "q")]
+    # A key that is checked holds for further key columns too, but not for fewer.
+    both = K.store_keyed(left.withColumn("j", F.lit(1)), ["k", "j"], "m", store)
+    assert "Window" in K.one_row_a_key(both, ["k"], "m")._jdf.queryExecution().executedPlan().toString()
+    assert known.filter(F.col("k") == 1).table.count() == 1
+    with pytest.raises(K.SchemaError):
+        known.select("y")
+    broken = [
+        lambda: K.store_keyed(right.union(right), ["k"], "repeats", store),
+        lambda: K.store_keyed(left, ["k"], "empty", store, needed=["x"]),
+        lambda: K.store_keyed(right.filter("k = 1"), ["k"], "uncovered", store, covers=left),
+        lambda: K.store_keyed(right, ["k"], "uncovered", store, covers=left.filter("k = 1")),
+        lambda: K.store_keyed(spark.createDataFrame([(None,), (None,)], "k int"), ["k"], "nulls", store),
+    ]
+    for write in broken:
+        with pytest.raises(PySparkException):
+            write()
+
+
 def test_report_shapes(spark):
     child = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k int")
     parent = spark.createDataFrame([(1,), (2,)], "k int")

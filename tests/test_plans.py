@@ -46,3 +46,21 @@ def test_ordinals_and_heads_are_sliced(spark):
     plan = plan_of(spark, "remap_bridge")
     assert "WindowGroupLimit" in plan
     assert re.search(r"row_number\(\) windowspecdefinition\(ID_PUBLICACION_PROPUESTA#\d+L?, _slice", plan)
+
+
+# Scans, exchanges and pattern searches of plans whose checks share the exchange of their join.
+LIMITS = {
+    "build_decisions": (1, 1, 3),
+    "covering_decisions": (2, 2, 3),
+    "consolidate_publications": (4, 8, 0),
+    "precedence_level": (2, 3, 0),
+    "checked_inner_join": (2, 2, 0),
+    "audit_current": (1, 2, 0),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_checks_read_nothing_twice(spark, name):
+    plan = plan_of(spark, name)
+    counts = (len(re.findall(x, plan)) for x in (r"FileScan", r"(?<!Reused)\bExchange ", r"RLIKE"))
+    assert all(n <= most for n, most in zip(counts, LIMITS[name]))
