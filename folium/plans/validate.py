@@ -1,7 +1,8 @@
 """Data-quality job over a catalogue: one control row per constraint.
 
-Predicates over one table are counted in a single pass per table; keys are one
-aggregate each; references are anti joins on distinct keys.  Nothing is collected.
+Everything that shows in a row is counted in one scan a table, all keys in one aggregate and
+all references to publications in another (:mod:`folium.operators.controls`).  Nothing is
+collected.
 """
 
 from __future__ import annotations
@@ -15,11 +16,8 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
-from folium.operators.checks import duplicate_keys, key_differences, orphans, outside_domain
-from folium.operators.profile import control_row, group_size_mismatches, inconsistent_representatives, union_all
-from folium.plans.types import unexpected_distribution
-
-ERROR = "ERROR"
+from folium.operators.controls import ERROR, Controls
+from folium.operators.profile import group_size_mismatches, inconsistent_representatives
 
 REQUIRED_TABLES = [
     c.T_PUBLICATIONS,
@@ -112,16 +110,6 @@ def row_controls(df: DataFrame, predicates: Mapping[str, Column]) -> DataFrame:
     )
 
 
-def count_control(name: str, df: DataFrame, expected: int, condition: Column | None = None) -> DataFrame:
-    number = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    return df.agg(number.alias("n")).select(
-        F.lit(name).alias("control"),
-        F.when(F.col("n") == expected, "OK").otherwise(ERROR).alias("resultado"),
-        F.abs(F.col("n") - F.lit(expected)).alias("cantidad"),
-        F.concat(F.lit(f"Esperado {expected}, obtenido "), F.col("n").cast("string")).alias("detalle"),
-    )
-
-
 def missing_values(df: DataFrame, column: str, required: list[str]) -> DataFrame:
     """Required values that never occur; one pass, one flag per value."""
     flags = df.agg(
@@ -131,147 +119,103 @@ def missing_values(df: DataFrame, column: str, required: list[str]) -> DataFrame
     return flags.select(F.inline(F.array(*pairs))).filter(~F.col("found")).select(column)
 
 
-def _domain(name: str, df: DataFrame, column: str, allowed: list[str], exact: bool = False) -> list[DataFrame]:
-    parts = [control_row(name, ERROR, "Valores fuera del dominio", outside_domain(df, column, allowed))]
-    if exact:
-        parts.append(
-            control_row(f"{name} (completo)", ERROR, "Valores requeridos ausentes", missing_values(df, column, allowed))
-        )
-    return parts
-
-
-def _key(name: str, df: DataFrame, keys: list[str], nulls: bool = True) -> list[DataFrame]:
-    out = [control_row(name, ERROR, "Claves repetidas", duplicate_keys(df, keys))]
-    if nulls:
-        empty = df.filter(F.col(f"`{keys[0]}`").isNull())
-        out.append(control_row(f"{name} (nulos)", ERROR, "Claves nulas", empty))
-    return out
-
-
-def publication_controls(df: DataFrame, expected: Expectations) -> list[DataFrame]:
+def publication_controls(out: Controls, df: DataFrame, expected: Expectations) -> None:
     subtype, detail = F.col(c.PUBLIC_SUBTYPE), F.col(c.POSTGRAD_DETAIL)
     postgraduate = F.coalesce(subtype == fv.POSTGRAD_THESIS, F.lit(False))
     thesis = F.col(c.TYPE_NORM) == fv.THESIS
-    predicates = {
-        "Subtipo ausente": subtype.isNull(),
-        "Detalle fuera de posgrado": ~postgraduate & detail.isNotNull(),
-        "Grado o nivel fuera de tesis": ~F.coalesce(thesis, F.lit(False))
-        & (F.col(c.GRADE).isNotNull() | F.col(c.LEVEL).isNotNull()),
-        "Grado de tesis": thesis & F.col(c.GRADE).isNotNull() & ~F.col(c.GRADE).isin(fv.PUBLIC_GRADES),
-        "Nivel de tesis": thesis & F.col(c.LEVEL).isNotNull() & ~F.col(c.LEVEL).isin(fv.PUBLIC_LEVELS),
-    }
+    out.key_without_nulls(f"Clave {c.PUB}", df, c.PUB)
+    out.key_without_nulls(f"Clave {c.FINGERPRINT}", df, c.FINGERPRINT)
+    out.domain("Tipo público", df, c.PUBLIC_TYPE, fv.PUBLIC_TYPES, exact=True)
+    out.domain("Subtipo público", df, c.PUBLIC_SUBTYPE, fv.PUBLIC_SUBTYPES)
+    out.domain(
+        "Detalle de posgrado", df, c.POSTGRAD_DETAIL, fv.EXPECTED_POSTGRAD, exact=True, within=postgraduate
+    )
+    out.none("Subtipo ausente", df, subtype.isNull())
+    out.none("Detalle fuera de posgrado", df, ~postgraduate & detail.isNotNull())
+    not_thesis = ~F.coalesce(thesis, F.lit(False))
+    out.none(
+        "Grado o nivel fuera de tesis", df, not_thesis & (F.col(c.GRADE).isNotNull() | F.col(c.LEVEL).isNotNull())
+    )
+    out.none("Grado de tesis", df, thesis & ~F.col(c.GRADE).isin(fv.PUBLIC_GRADES))
+    out.none("Nivel de tesis", df, thesis & ~F.col(c.LEVEL).isin(fv.PUBLIC_LEVELS))
     if c.DATABASE in df.columns:
-        predicates["Prefijo numérico en base"] = t.has_numeric_prefix(F.col(c.DATABASE))
-    parts = [
-        *_key(f"Clave {c.PUB}", df, [c.PUB]),
-        *_key(f"Clave {c.FINGERPRINT}", df, [c.FINGERPRINT]),
-        *_domain("Tipo público", df, c.PUBLIC_TYPE, fv.PUBLIC_TYPES, exact=True),
-        *_domain("Subtipo público", df, c.PUBLIC_SUBTYPE, fv.PUBLIC_SUBTYPES),
-        *_domain(
-            "Detalle de posgrado", df.filter(postgraduate), c.POSTGRAD_DETAIL, list(fv.EXPECTED_POSTGRAD), exact=True
-        ),
-        row_controls(df, predicates),
-    ]
+        out.none("Prefijo numérico en base", df, t.has_numeric_prefix(F.col(c.DATABASE)))
     if expected.publications is not None:
-        parts.append(count_control("Total de publicaciones", df, expected.publications))
+        out.total("Total de publicaciones", df, expected.publications)
     if expected.postgraduate is not None:
-        parts.append(
-            control_row(
-                "Distribución de posgrado",
-                ERROR,
-                "Detalles con conteo inesperado",
-                unexpected_distribution(df.filter(postgraduate), c.POSTGRAD_DETAIL, dict(expected.postgraduate)),
-            )
+        out.distribution(
+            "Distribución de posgrado",
+            df,
+            c.POSTGRAD_DETAIL,
+            expected.postgraduate,
+            "Detalles con conteo inesperado",
+            within=postgraduate,
         )
     if expected.events is not None:
-        parts.append(
-            count_control("Publicaciones de evento", df, expected.events, subtype == fv.EVENT_PUBLICATION)
-        )
-    return parts
+        out.total("Publicaciones de evento", df, expected.events, subtype == fv.EVENT_PUBLICATION)
 
 
-def record_controls(tables: Mapping[str, DataFrame], expected: Expectations) -> list[DataFrame]:
-    publications, parts = tables[c.T_PUBLICATIONS], []
+def record_controls(out: Controls, tables: Mapping[str, DataFrame], expected: Expectations) -> None:
+    publications = tables[c.T_PUBLICATIONS]
     if c.T_ID_REGISTRY in tables:
         registry = tables[c.T_ID_REGISTRY]
-        parts += _key("Clave de identidad", registry, [c.IDENTITY_KEY], nulls=False)
-        parts.append(
-            control_row(
-                "Registro maestro cubre publicaciones", ERROR, "Publicaciones sin clave",
-                orphans(publications, registry, c.PUB),
-            )
+        out.key("Clave de identidad", registry, [c.IDENTITY_KEY])
+        out.reference(
+            "Registro maestro cubre publicaciones", publications, registry, c.PUB, "Publicaciones sin clave"
         )
     if c.T_RECORDS in tables:
-        parts += _key("Clave de registros", tables[c.T_RECORDS], [c.RECORD], nulls=False)
+        out.key("Clave de registros", tables[c.T_RECORDS], [c.RECORD])
         if expected.records is not None:
-            parts.append(count_control("Total de registros", tables[c.T_RECORDS], expected.records))
+            out.total("Total de registros", tables[c.T_RECORDS], expected.records)
     if c.T_RECORD_MAP in tables:
         record_map = tables[c.T_RECORD_MAP]
-        parts += _key("Clave de la relación", record_map, [c.RECORD], nulls=False)
-        parts.append(
-            control_row(
-                "Relación cubre publicaciones", ERROR, "Claves en un solo lado",
-                key_differences(record_map, publications, c.PUB),
-            )
-        )
+        out.key("Clave de la relación", record_map, [c.RECORD])
+        out.same_keys("Relación cubre publicaciones", record_map, publications, c.PUB, "Claves en un solo lado")
         if expected.records is not None:
-            parts.append(count_control("Total de la relación", record_map, expected.records))
+            out.total("Total de la relación", record_map, expected.records)
         if c.GROUP_SIZE in publications.columns:
-            parts.append(
-                control_row(
-                    "Tamaño de grupo", ERROR, "No coincide con la relación",
-                    group_size_mismatches(publications, record_map),
-                )
-            )
+            out.no_row("Tamaño de grupo", group_size_mismatches(publications, record_map), "No coincide con la relación")
         if c.REPRESENTATIVE in record_map.columns:
-            parts.append(
-                control_row(
-                    "Representante", ERROR, "Representante inconsistente",
-                    inconsistent_representatives(record_map),
-                )
-            )
-    return parts
+            out.no_row("Representante", inconsistent_representatives(record_map), "Representante inconsistente")
 
 
-def bridge_controls(name: str, bridge: DataFrame, publications: DataFrame) -> list[DataFrame]:
-    parts = [
-        control_row(f"{name} sin duplicados", ERROR, "Relaciones repetidas", duplicate_keys(bridge, [c.PUB, c.CATEGORY])),
-        control_row(f"{name} sin huérfanos", ERROR, "Publicaciones inexistentes", orphans(bridge, publications, c.PUB)),
-    ]
+def bridge_controls(out: Controls, name: str, bridge: DataFrame, publications: DataFrame) -> None:
+    out.key(f"{name} sin duplicados", bridge, [c.PUB, c.CATEGORY], "Relaciones repetidas")
+    out.reference(f"{name} sin huérfanos", bridge, publications, c.PUB, "Publicaciones inexistentes")
     if name == c.DIM_REPOSITORIES:
-        pending = F.col(c.REPO_PUBLIC_REVIEW) == "Si"
-        parts += [
-            *_domain("Clase técnica de repositorio", bridge, c.REPO_CLASS, fv.REPOSITORY_CLASSES),
-            *_domain("Repositorio universitario", bridge, c.REPO_IS_UNIVERSITY, fv.UNIVERSITY_FLAGS),
-            *_domain("Clase pública de repositorio", bridge, c.REPO_PUBLIC_CLASS, fv.PUBLIC_REPOSITORY_CLASSES, exact=True),
-            *_domain("Revisión de repositorio", bridge, c.REPO_PUBLIC_REVIEW, fv.REVIEW_FLAGS),
-            row_controls(
-                bridge,
-                {
-                    "Pendientes permanecen en Otros": pending
-                    & ~F.coalesce(F.col(c.REPO_PUBLIC_CLASS) == fv.OTHERS, F.lit(False))
-                },
-            ),
-            control_row(
-                "Solo Otros queda en la clase Otros", ERROR, "Fuentes identificables en Otros",
-                bridge.filter(
-                    (F.col(c.REPO_PUBLIC_CLASS) == fv.OTHERS) & (t.unicode_trim(F.col(c.CATEGORY)) != fv.OTHERS)
-                ).select(t.unicode_trim(F.col(c.CATEGORY)).alias("v")).distinct(),
-            ),
-        ]
+        public = F.col(c.REPO_PUBLIC_CLASS)
+        out.domain("Clase técnica de repositorio", bridge, c.REPO_CLASS, fv.REPOSITORY_CLASSES)
+        out.domain("Repositorio universitario", bridge, c.REPO_IS_UNIVERSITY, fv.UNIVERSITY_FLAGS)
+        out.domain(
+            "Clase pública de repositorio", bridge, c.REPO_PUBLIC_CLASS, fv.PUBLIC_REPOSITORY_CLASSES, exact=True
+        )
+        out.domain("Revisión de repositorio", bridge, c.REPO_PUBLIC_REVIEW, fv.REVIEW_FLAGS)
+        out.none(
+            "Pendientes permanecen en Otros",
+            bridge,
+            (F.col(c.REPO_PUBLIC_REVIEW) == "Si") & ~F.coalesce(public == fv.OTHERS, F.lit(False)),
+        )
+        category = t.unicode_trim(F.col(c.CATEGORY))
+        out.no_value(
+            "Solo Otros queda en la clase Otros",
+            bridge,
+            category,
+            (public == fv.OTHERS) & (category != fv.OTHERS),
+            "Fuentes identificables en Otros",
+        )
     if name == c.DIM_INSTITUTIONS:
-        parts += [
-            *_domain("Clase técnica de institución", bridge, c.INST_CLASS, fv.INSTITUTION_CLASSES),
-            *_domain("Es universidad", bridge, c.INST_IS_UNIVERSITY, fv.UNIVERSITY_FLAGS),
-            *_domain("Clase pública de institución", bridge, c.INST_PUBLIC_CLASS, fv.PUBLIC_INSTITUTION_CLASSES),
-            *_domain("Subclase universitaria", bridge, c.INST_PUBLIC_SUBCLASS, fv.UNIVERSITY_SUBCLASSES),
-            control_row(
-                "Clases públicas principales", ERROR, "Clases requeridas ausentes",
-                missing_values(bridge, c.INST_PUBLIC_CLASS, fv.REQUIRED_PUBLIC_INSTITUTION_CLASSES),
-            ),
-            row_controls(bridge, {"Sin revistas mal ubicadas": F.col(c.INST_CLASS) == fv.INST_JOURNAL}),
-        ]
-    return parts
+        out.domain("Clase técnica de institución", bridge, c.INST_CLASS, fv.INSTITUTION_CLASSES)
+        out.domain("Es universidad", bridge, c.INST_IS_UNIVERSITY, fv.UNIVERSITY_FLAGS)
+        out.domain("Clase pública de institución", bridge, c.INST_PUBLIC_CLASS, fv.PUBLIC_INSTITUTION_CLASSES)
+        out.domain("Subclase universitaria", bridge, c.INST_PUBLIC_SUBCLASS, fv.UNIVERSITY_SUBCLASSES)
+        out.required(
+            "Clases públicas principales",
+            bridge,
+            c.INST_PUBLIC_CLASS,
+            fv.REQUIRED_PUBLIC_INSTITUTION_CLASSES,
+            "Clases requeridas ausentes",
+        )
+        out.none("Sin revistas mal ubicadas", bridge, F.col(c.INST_CLASS) == fv.INST_JOURNAL)
 
 
 def requests_not_reflected(audit: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -284,22 +228,20 @@ def requests_not_reflected(audit: DataFrame, bridge: DataFrame) -> DataFrame:
     )
 
 
-def repository_audit_controls(tables: Mapping[str, DataFrame], expected: Expectations) -> list[DataFrame]:
+def repository_audit_controls(out: Controls, tables: Mapping[str, DataFrame], expected: Expectations) -> None:
     audit = tables[c.T_REPOSITORY_AUDIT]
-    parts = _key("Clave de decisiones de repositorio", audit, [c.PUB], nulls=False)
-    parts.append(row_controls(audit, {"Otros no se reclasifica": t.is_others(F.col(c.REQUEST_OLD))}))
+    out.key("Clave de decisiones de repositorio", audit, [c.PUB])
+    out.none("Otros no se reclasifica", audit, t.is_others(F.col(c.REQUEST_OLD)))
     if expected.repository_decisions is not None:
-        parts.append(count_control("Total de decisiones de repositorio", audit, expected.repository_decisions))
+        out.total("Total de decisiones de repositorio", audit, expected.repository_decisions)
     if expected.repository_rules is not None:
-        parts += _domain("Regla de repositorio", audit, c.RULE, expected.repository_rules)
+        out.domain("Regla de repositorio", audit, c.RULE, expected.repository_rules)
     if c.DIM_REPOSITORIES in tables:
-        parts.append(
-            control_row(
-                "Solicitudes reflejadas", ERROR, "Nombre o clase no coincide",
-                requests_not_reflected(audit, tables[c.DIM_REPOSITORIES]),
-            )
+        out.no_row(
+            "Solicitudes reflejadas",
+            requests_not_reflected(audit, tables[c.DIM_REPOSITORIES]),
+            "Nombre o clase no coincide",
         )
-    return parts
 
 
 def validate(
@@ -308,31 +250,30 @@ def validate(
     """Control table ``(control, resultado, cantidad, detalle)`` of a catalogue.
 
     Tables with missing columns are reported by the structure rows and skipped by
-    the rest, so one broken table does not hide the state of the others.
+    the rest, so one broken table does not hide the state of the others.  Publications are
+    scanned five times at most (marks, two keys, references, group sizes), each time for
+    the columns concerned; every other table twice to four times.
     """
     expected = expected or Expectations()
 
     def usable(name: str) -> bool:
         return name in tables and all(x in tables[name].columns for x in REQUIRED_COLUMNS.get(name, []))
 
-    parts = [structure_controls(spark, tables)]
+    out = Controls(spark)
     if usable(c.T_PUBLICATIONS):
         publications = tables[c.T_PUBLICATIONS]
-        parts += publication_controls(publications, expected)
-        parts += record_controls(tables, expected)
+        publication_controls(out, publications, expected)
+        record_controls(out, tables, expected)
         for name in c.DIMENSIONS:
             if usable(name):
-                parts += bridge_controls(name, tables[name], publications)
+                bridge_controls(out, name, tables[name], publications)
         if usable(c.T_REPOSITORY_AUDIT):
-            parts += repository_audit_controls(tables, expected)
+            repository_audit_controls(out, tables, expected)
         if c.T_TERRITORY in tables:
-            parts.append(
-                control_row(
-                    f"{c.T_TERRITORY} sin huérfanos", ERROR, "Publicaciones inexistentes",
-                    orphans(tables[c.T_TERRITORY], publications, c.PUB),
-                )
+            out.reference(
+                f"{c.T_TERRITORY} sin huérfanos", tables[c.T_TERRITORY], publications, c.PUB, "Publicaciones inexistentes"
             )
-    return union_all(parts)
+    return structure_controls(spark, tables).unionByName(out.rows())
 
 
 class ValidationError(AssertionError):

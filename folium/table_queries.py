@@ -26,6 +26,7 @@ from folium.operators import groups as G
 from folium.operators import profile as P
 from folium.operators import summaries as S
 from folium.operators import territory as R
+from folium.operators.controls import Controls
 from folium.plans import consolidate as L
 from folium.plans import dashboard as D
 from folium.plans import public_base as U
@@ -1791,3 +1792,138 @@ def checked_inner_join(spark, folder):
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return K.join_many_to_one(orders, customers, ["o_custkey"], "inner", "customer key repeats")
+
+
+# ==========================================================================
+# Compiled controls
+# ==========================================================================
+def _control(name: str, number: str, detail: str) -> str:
+    return f"SELECT {s(name)} AS control, {number} AS cantidad, {detail} AS detalle"
+
+
+def _controls_sql(rows: list[str]) -> str:
+    return f"""SELECT control, CASE WHEN cantidad = 0 THEN 'OK' ELSE 'ERROR' END AS resultado, cantidad, detalle
+    FROM ({" UNION ALL ".join(rows)})"""
+
+
+def _count_sql(table: str, condition: str = "true") -> str:
+    return f"(SELECT count(*) FILTER ({condition}) FROM {table})"
+
+
+def _total_sql(name: str, expected: int, table: str, condition: str = "true") -> str:
+    found = _count_sql(table, condition)
+    return _control(name, f"abs({found} - {expected})", f"'Esperado {expected}, obtenido ' || {found}")
+
+
+@query(
+    "control_marks",
+    _controls_sql(
+        [
+            _total_sql("total de pedidos", 10, "orders"),
+            _total_sql("pedidos pendientes", 0, "orders", "o_orderstatus = 'Z'"),
+            _control("tipo ausente", _count_sql("orders", "o_orderstatus = 'P'"), "'Filas que incumplen'"),
+            _control(
+                "detalle solo en terminados",
+                _count_sql("orders", "o_orderstatus NOT IN ('F', 'P')"),
+                "'Filas que incumplen'",
+            ),
+            _control(
+                "prefijo numérico", _count_sql("orders", "o_orderpriority LIKE '1-%'"), "'Filas que incumplen'"
+            ),
+            _control(
+                "valor prohibido", _count_sql("orders", "o_orderpriority = '5-LOW'"), "'Filas que incumplen'"
+            ),
+            _control(
+                "estado permitido",
+                "(SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'X'))",
+                "'Valores fuera del dominio'",
+            ),
+            _control(
+                "estado permitido (completo)",
+                "2 - (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus IN ('F', 'X'))",
+                "'Valores requeridos ausentes'",
+            ),
+            _control(
+                "distribución",
+                """(SELECT count(*) FROM (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1)
+                  FULL JOIN (VALUES ('F', 1), ('X', 2)) w(v, m) USING (v) WHERE n IS DISTINCT FROM m)""",
+                "'Conteos inesperados'",
+            ),
+            _control(
+                "solo marcas grandes",
+                """(SELECT count(DISTINCT p_brand) FROM part WHERE p_size > 40 AND p_brand <> 'Brand#11')""",
+                "'Valores fuera de la clase'",
+            ),
+            _control(
+                "tamaño conocido", _count_sql("part", "p_size IS NULL"), "'Filas que incumplen'"
+            ),
+        ]
+    ),
+)
+def control_marks(spark, folder):
+    """Totals, completeness, conditional nulls, formats, forbidden values, domains and counts of two tables."""
+    orders, parts = read(spark, folder, "orders"), read(spark, folder, "part")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    out = Controls(spark)
+    out.total("total de pedidos", orders, 10)
+    out.total("pedidos pendientes", orders, 0, status == "Z")
+    out.none("tipo ausente", orders, F.when(status != "P", priority).isNull())
+    out.none("detalle solo en terminados", orders, (status != "F") & F.when(status != "P", priority).isNotNull())
+    out.none("prefijo numérico", orders, t.has_numeric_prefix(F.regexp_replace(priority, "^1-", "1. ")))
+    out.none("valor prohibido", orders, priority == "5-LOW")
+    out.domain("estado permitido", orders, "o_orderstatus", ["F", "X"], exact=True)
+    out.distribution("distribución", orders, "o_orderstatus", {"F": 1, "X": 2}, "Conteos inesperados")
+    out.no_value(
+        "solo marcas grandes",
+        parts,
+        F.col("p_brand"),
+        (F.col("p_size") > 40) & (F.col("p_brand") != "Brand#11"),
+        "Valores fuera de la clase",
+    )
+    out.none("tamaño conocido", parts, F.col("p_size").isNull())
+    return out.rows()
+
+
+@query(
+    "control_keys",
+    _controls_sql(
+        [
+            _control("clave de pedidos", "0", "'Claves repetidas'"),
+            _control(
+                "clave de clientes",
+                "(SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1))",
+                "'Claves repetidas'",
+            ),
+            _control(
+                "relación sin duplicados",
+                """(SELECT count(*) FROM (SELECT l_orderkey, l_returnflag FROM lineitem GROUP BY 1, 2
+                  HAVING count(*) > 1))""",
+                "'Relaciones repetidas'",
+            ),
+            _control(
+                "líneas sin pedido",
+                """(SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (
+                  SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))""",
+                "'Claves inexistentes'",
+            ),
+            _control(
+                "pedidos y líneas",
+                """(SELECT count(*) FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P') a
+                  FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) b USING (k)
+                  WHERE a.k IS NULL OR b.k IS NULL)""",
+                "'Claves en un solo lado'",
+            ),
+        ]
+    ),
+)
+def control_keys(spark, folder):
+    """Keys of three tables in one aggregate, and references between two of them in another."""
+    orders = read(spark, folder, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    known, lines = orders.filter("o_orderstatus <> 'P'"), read(spark, folder, "lineitem")
+    out = Controls(spark)
+    out.key("clave de pedidos", orders, ["l_orderkey"])
+    out.key("clave de clientes", orders, ["o_custkey"])
+    out.key("relación sin duplicados", lines, ["l_orderkey", "l_returnflag"], "Relaciones repetidas")
+    out.reference("líneas sin pedido", lines, known, "l_orderkey", "Claves inexistentes")
+    out.same_keys("pedidos y líneas", known, lines, "l_orderkey", "Claves en un solo lado")
+    return out.rows()
