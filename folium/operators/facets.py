@@ -8,7 +8,7 @@ shuffled once for the whole chain).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
-from folium.operators.bridges import clean_bridge, visible_bridge
+from folium.operators.bridges import as_is, clean_bridge
 from folium.operators.summaries import year_bounds
 
 # Order matters: every facet lists the options left by the ones before it.
@@ -135,44 +135,96 @@ def faceted(publications: DataFrame, bridges: Mapping[str, DataFrame], selection
     return bridge_filters(detail_filter(df, selection.detail), bridges, selection)
 
 
+@dataclass(frozen=True)
+class _Step:
+    """A facet and the number of active choices before it."""
+
+    facet: str
+    needed: int
+
+
+def _steps(df: DataFrame, bridges: Mapping[str, DataFrame], selection: Selection):
+    """The facets shown, scalar and by bridge, and the conditions of the active choices, all in order.
+
+    A condition is a column of the publication, or the key of a bridge facet.
+    """
+    scalar: list[_Step] = []
+    tagged: list[_Step] = []
+    active: list[Column | str] = []
+    for column in _scalar_steps(df, selection):
+        scalar.append(_Step(column, len(active)))
+        if selection.chosen(column):
+            active.append(in_values(column, selection.chosen(column)))
+    if selection.detail:
+        active.append(F.col(c.POSTGRAD_DETAIL) == selection.detail)
+    for key in BRIDGE_FACETS:
+        if key in bridges:
+            tagged.append(_Step(key, len(active)))
+            if selection.bridges.get(key):
+                active.append(key)
+    # A choice that no facet stands behind narrows no option.
+    return scalar, tagged, active[: max((x.needed for x in [*scalar, *tagged]), default=0)]
+
+
+def _hits(bridges: Mapping[str, DataFrame], selection: Selection, keys: list[str]) -> DataFrame:
+    """For each publication that any chosen category meets: which of these facets do."""
+    every = None
+    for key in keys:
+        chosen = t.unicode_trim(F.col(c.CATEGORY)).isin(*selection.bridges[key])
+        part = bridges[key].filter(chosen).select(c.PUB, F.lit(key).alias("_facet"))
+        every = part if every is None else every.unionAll(part)
+    met = [F.bool_or(F.col("_facet") == key).alias(f"_met_{key}") for key in keys]
+    return every.groupBy(c.PUB).agg(*met)
+
+
 def facet_options(
-    publications: DataFrame, bridges: Mapping[str, DataFrame], selection: Selection
+    publications: DataFrame,
+    bridges: Mapping[str, DataFrame],
+    selection: Selection,
+    store: Callable[[DataFrame], DataFrame] = as_is,
 ) -> DataFrame:
     """``(facet, value)`` options of every facet, each under the narrowing before it.
 
-    Scalar facets that see the same narrowed frame are listed by one unpivot and
-    one aggregate; only facets behind an active choice need a frame of their own.
+    The active choices form a chain.  Each publication gets its *reach*, the number of choices
+    at the chain's start that it meets, from one aggregate over the relations with a chosen
+    category; a facet with n choices before it lists the values of publications that
+    reach n.  So every bridge is read once for its values, and all of them are joined with the
+    publications in one go.  Scalar and bridge facets both read the reaches, which ``store`` may
+    write down.
     """
     df = in_years(unique_only(publications), selection.years)
-    parts: list[DataFrame] = []
-    waiting: list[str] = []
-
-    def flush(frame: DataFrame) -> None:
-        if waiting:
-            pairs = [
-                F.struct(F.lit(x).alias("facet"), t.unicode_trim(F.col(f"`{x}`")).alias("value"))
-                for x in waiting
-            ]
-            rows = frame.select(F.inline(F.array(*pairs)))
-            parts.append(rows.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct())
-            waiting.clear()
-
-    for column in _scalar_steps(df, selection):
-        waiting.append(column)
-        if selection.chosen(column):
-            flush(df)
-            df = df.filter(in_values(column, selection.chosen(column)))
-    flush(df)
-    df = detail_filter(df, selection.detail)
-    for key in BRIDGE_FACETS:
-        if key not in bridges:
-            continue
-        values = visible_bridge(bridges[key], df).select(
-            F.lit(key).alias("facet"), F.col(c.CATEGORY).alias("value")
+    scalar, tagged, active = _steps(df, bridges, selection)
+    by_bridge = [x for x in active if isinstance(x, str)]
+    if by_bridge:
+        df = df.join(_hits(bridges, selection, by_bridge), c.PUB, "left")
+    reach = F.lit(len(active))
+    for i, condition in reversed(list(enumerate(active))):
+        met = F.col(f"_met_{condition}") if isinstance(condition, str) else condition
+        reach = F.when(F.coalesce(met, F.lit(False)), reach).otherwise(i)
+    reached = store(df.select(c.PUB, *[F.col(f"`{x.facet}`") for x in scalar], reach.alias("_reach")))
+
+    pairs = [
+        F.when(
+            F.col("_reach") >= x.needed,
+            F.struct(F.lit(x.facet).alias("facet"), t.unicode_trim(F.col(f"`{x.facet}`").cast("string")).alias("value")),
+        )
+        for x in scalar
+    ]
+    parts = []
+    if pairs:
+        rows = reached.select(F.inline(F.array_compact(F.array(*pairs))))
+        parts.append(rows.filter(F.col("value").isNotNull() & (F.col("value") != "")))
+    relations = None
+    for x in tagged:
+        part = clean_bridge(bridges[x.facet]).select(
+            c.PUB, F.lit(x.facet).alias("facet"), F.col(c.CATEGORY).alias("value"), F.lit(x.needed).alias("_needed")
         )
-        parts.append(values.distinct())
-        df = bridge_filter(df, clean_bridge(bridges[key]), list(selection.bridges.get(key, [])))
+        relations = part if relations is None else relations.unionAll(part)
+    if relations is not None:
+        known = reached.select(F.col(c.PUB).alias("_pub"), "_reach")
+        near = (F.col(c.PUB) == F.col("_pub")) & (F.col("_reach") >= F.col("_needed"))
+        parts.append(relations.join(known, near, "left_semi").select("facet", "value"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.orderBy("facet", "value")
+    return out.distinct().orderBy("facet", "value")

@@ -9,45 +9,66 @@ from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
+from folium.functions.rules import opaque
+from folium.operators.checks import duplicate_keys
 from folium.operators.groups import joined_sorted
 
 
+#: Characters of a value by which equally frequent ones are ordered, before their digest.
+PREFIX = 64
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
     """Per column: rows, non-empty, empty, % empty, distinct values, most frequent values.
 
-    One unpivot and one aggregate on (column, value) serve every statistic; a value
-    that fills a third of the table is folded map-side.
+    One unpivot and one aggregate on (column, digest of the value) serve every statistic; a
+    value that fills a third of the table is folded map-side, and a long one moves as its
+    16-byte digest and first characters.  Only the ``top`` values of each column are then
+    read again, by digest.  Equally frequent values come in order of their first 64
+    characters, and of their digest if those are equal too.
     """
     columns = columns or df.columns
-    pairs = [
-        F.struct(
-            F.lit(i).alias("orden"),
-            F.lit(x).alias("campo"),
-            F.when(t.non_empty(F.col(f"`{x}`")), F.col(f"`{x}`").cast("string")).alias("valor"),
-        )
-        for i, x in enumerate(columns, 1)
-    ]
+
+    def unpivoted(*fields: str) -> DataFrame:
+        pairs = []
+        for i, x in enumerate(columns, 1):
+            value = F.when(t.non_empty(F.col(f"`{x}`")), F.col(f"`{x}`").cast("string"))
+            parts = {
+                "orden": F.lit(i),
+                "campo": F.lit(x),
+                "_digest": F.unhex(F.md5(value.cast("binary"))),
+                "_prefix": F.substring(value, 1, PREFIX),
+                "valor": value,
+            }
+            pairs.append(F.struct(*[parts[name].alias(name) for name in fields]))
+        return df.select(F.inline(F.array(*pairs)))
+
     values = (
-        df.select(F.inline(F.array(*pairs)))
-        .groupBy("orden", "campo", "valor")
+        unpivoted("orden", "campo", "_digest", "_prefix")
+        .groupBy("orden", "campo", "_digest", "_prefix")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    filled = F.col("valor").isNotNull()
+    filled = F.col("_digest").isNotNull()
     totals = values.groupBy("orden", "campo").agg(
         F.sum("n").alias("filas"),
         F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("no_vacios"),
         F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).alias("vacios"),
         F.count_if(filled).alias("valores_unicos"),
     )
-    rank = F.row_number().over(Window.partitionBy("campo").orderBy(F.desc("n"), F.asc("valor")))
+    rank = F.row_number().over(Window.partitionBy("orden").orderBy(F.desc("n"), "_prefix", "_digest"))
+    # Opaque, so that totals and ranks go on from one exchange.
+    chosen = values.filter(opaque(filled)).withColumn("_rank", rank).filter(F.col("_rank") <= top)
+    # At most ``top`` rows a column, so sending them to every task is bounded.
+    chosen = F.broadcast(chosen.select("orden", "_digest", "_rank", "n"))
     frequent = (
-        values.filter(filled)
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= top)
-        .groupBy("campo")
+        unpivoted("orden", "_digest", "valor")
+        .join(chosen, ["orden", "_digest"])
+        .groupBy("orden", "_rank", "n")
+        .agg(F.any_value("valor").alias("valor"))
+        .groupBy("orden")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "valor", "n"))).alias("_top"))
         .select(
-            "campo",
+            "orden",
             F.array_join(
                 F.transform(
                     "_top",
@@ -58,7 +79,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, top: int = 5
         )
     )
     share = F.round(F.lit(100.0) * F.col("vacios") / F.col("filas"), 2)
-    return totals.join(frequent, "campo", "left").select(
+    return totals.join(frequent, "orden", "left").select(
         "orden",
         "campo",
         "filas",
@@ -113,24 +134,21 @@ def scalar_outside_bridge(
     the joined parts, which clears scalars that merely hold several categories.
     """
     value = F.col(f"`{scalar}`")
-    parts = publications.filter(t.non_empty(value)).select(
-        c.PUB, value.alias("_whole"), F.explode(F.array_distinct(F.split(value, separator))).alias("_part")
-    )
-    marked = bridge.select(c.PUB, F.col(c.CATEGORY).alias("_category")).distinct().withColumn(
-        "_hit", F.lit(True)
+    parts = F.split(value, separator)
+    # The whole text and its parts, each told apart by what it is, meet the bridge in one join.
+    asked = F.transform(
+        F.array_distinct(F.concat(F.array(value), parts)),
+        lambda x: F.struct(x.alias("_asked"), (x == value).alias("_is_whole"), F.array_contains(parts, x).alias("_is_part")),
     )
-    by_part = parts.join(
-        marked, (parts[c.PUB] == marked[c.PUB]) & (parts["_part"] == marked["_category"]), "left"
-    ).groupBy(parts[c.PUB], "_whole").agg(F.count_if(F.col("_hit").isNull()).alias("_missing"))
-    whole = by_part.join(
-        marked, (by_part[c.PUB] == marked[c.PUB]) & (by_part["_whole"] == marked["_category"]), "left"
-    ).select(by_part[c.PUB], F.col("_whole").alias(scalar), "_hit", "_missing")
-    return whole.filter(F.col("_hit").isNull() | (F.col("_missing") > 0)).select(
-        c.PUB,
-        F.col(f"`{scalar}`"),
-        F.col("_hit").isNull().alias("fuera_completo"),
-        (F.col("_missing") > 0).alias("fuera_partes"),
+    rows = publications.filter(t.non_empty(value)).select(c.PUB, value.alias("_whole"), F.inline(asked))
+    known = bridge.select(F.col(c.PUB).alias("_pub"), F.col(c.CATEGORY).alias("_known"))
+    same = (F.col(c.PUB) == F.col("_pub")) & (F.col("_asked") == F.col("_known"))
+    missing = F.col("_pub").isNull()
+    found = rows.join(known, same, "left").groupBy(c.PUB, F.col("_whole").alias(scalar)).agg(
+        F.bool_or(F.col("_is_whole") & missing).alias("fuera_completo"),
+        F.bool_or(F.col("_is_part") & missing).alias("fuera_partes"),
     )
+    return found.filter(F.col("fuera_completo") | F.col("fuera_partes"))
 
 
 def control_row(control: str, severity: str, detail: str, violations: DataFrame, count: Column | None = None) -> DataFrame:
@@ -144,6 +162,20 @@ def control_row(control: str, severity: str, detail: str, violations: DataFrame,
     )
 
 
+def control_rows(named: list[tuple[str, str, str]], violations: DataFrame) -> DataFrame:
+    """Several controls (name, severity, detail) over one count."""
+    rows = [
+        F.struct(
+            F.lit(control).alias("control"),
+            F.when(F.col("cantidad") == 0, "OK").otherwise(F.lit(severity)).alias("resultado"),
+            F.col("cantidad"),
+            F.lit(detail).alias("detalle"),
+        )
+        for control, severity, detail in named
+    ]
+    return violations.agg(F.count(F.lit(1)).alias("cantidad")).select(F.inline(F.array(*rows)))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -173,16 +205,21 @@ def inconsistent_representatives(record_map: DataFrame) -> DataFrame:
     )
 
 
+def several_categories(bridge: DataFrame) -> DataFrame:
+    """Publications with more than one category: minimum and maximum differ, so no set is held."""
+    ends = bridge.groupBy(c.PUB).agg(F.min(c.CATEGORY).alias("_a"), F.max(c.CATEGORY).alias("_b"))
+    return ends.filter(F.col("_a") != F.col("_b")).select(c.PUB)
+
+
 def catalogue_audit(
     publications: DataFrame, record_map: DataFrame, regions: DataFrame, scalar: str = c.REGION
 ) -> DataFrame:
     """The published control table of the catalogue."""
-    duplicates = publications.groupBy(c.PUB).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    several = regions.groupBy(c.PUB).agg(F.count_distinct(c.CATEGORY).alias("n")).filter(F.col("n") > 1)
+    several = several_categories(regions)
     outside = scalar_outside_bridge(publications, regions, scalar)
     return union_all(
         [
-            control_row("Unicidad ID_PUBLICACION_PROPUESTA", "ERROR", "Duplicados en BD_APP", duplicates),
+            control_row("Unicidad ID_PUBLICACION_PROPUESTA", "ERROR", "Duplicados en BD_APP", duplicate_keys(publications, [c.PUB])),
             control_row(
                 "Consistencia REGISTROS_EN_GRUPO",
                 "ERROR",
@@ -195,22 +232,26 @@ def catalogue_audit(
                 "Representante inconsistente dentro del mapeo",
                 inconsistent_representatives(record_map),
             ),
-            control_row(
-                "Publicaciones con múltiples regiones",
-                "ADVERTENCIA",
-                "DIM_REGIONES_NORMALIZADAS conserva más de una categoría",
-                several,
-            ),
             control_row(
                 "Región principal no contenida en dimensión",
                 "ERROR",
                 "REGION_NORM_SUGERIDA no aparece en DIM_REGIONES_NORMALIZADAS",
                 outside.filter("fuera_completo"),
             ),
-            control_row(
-                "Pérdida potencial al exportar región escalar",
-                "ALTO",
-                "Publicaciones multirregionales reducidas a REGION_NORM_SUGERIDA en BD_APP",
+            # One count serves two controls.
+            control_rows(
+                [
+                    (
+                        "Publicaciones con múltiples regiones",
+                        "ADVERTENCIA",
+                        "DIM_REGIONES_NORMALIZADAS conserva más de una categoría",
+                    ),
+                    (
+                        "Pérdida potencial al exportar región escalar",
+                        "ALTO",
+                        "Publicaciones multirregionales reducidas a REGION_NORM_SUGERIDA en BD_APP",
+                    ),
+                ],
                 several,
             ),
         ]

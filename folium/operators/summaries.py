@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folium import columns as c
 from folium.functions import text as t
-from folium.operators.bridges import bridge_of_class, visible_bridge
+from folium.operators.bridges import bridge_of_class, clean_bridge, visible_bridge
 
 
 def by_count(df: DataFrame, *keys: str, count: str = c.COUNT) -> DataFrame:
@@ -126,16 +126,24 @@ def kpis(
 
     The area count never includes ``otros``; the class count follows the switch.
     """
-    area_rows = visible_bridge(areas, scope, include_others=False)
-    class_rows = visible_bridge(repository_classes, scope, include_others)
+    sources = [
+        ("areas_tematicas", clean_bridge(areas, include_others=False)),
+        ("clases_repositorio", clean_bridge(repository_classes, include_others)),
+    ]
+    tagged = None
+    for name, bridge in sources:
+        part = bridge.select(c.PUB, F.lit(name).alias("indicador"), c.CATEGORY)
+        tagged = part if tagged is None else tagged.unionAll(part)
+    # Both bridges meet the scope in one semi join; their categories are told apart by the indicator.
+    seen = tagged.join(scope.select(c.PUB), c.PUB, "left_semi").select("indicador", c.CATEGORY).distinct()
+    of = lambda name: F.count_if(F.col("indicador") == name).alias(name)
+    counted = seen.agg(*[of(name) for name, _ in sources])
     parts = [
         ("publicaciones", scope.agg(F.count_distinct(c.PUB).alias("valor"))),
         ("departamentos", departments.agg(F.count_if(F.col(c.COUNT) > 0).alias("valor"))),
-        ("areas_tematicas", area_rows.agg(F.count_distinct(c.CATEGORY).alias("valor"))),
-        ("clases_repositorio", class_rows.agg(F.count_distinct(c.CATEGORY).alias("valor"))),
     ]
     out = None
     for name, df in parts:
         row = df.select(F.lit(name).alias("indicador"), "valor")
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.unionByName(indicator_rows(counted, "indicador", "valor"))

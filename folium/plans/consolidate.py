@@ -249,11 +249,14 @@ _REQUEST = [c.PUB, c.REQUEST_OLD, c.REQUEST_NEW, c.REQUEST_CLASS]
 
 def checked_requests(requests: DataFrame) -> DataFrame:
     """Trimmed requests; the job fails on repeated ids, ``otros`` or a class outside the list."""
+    return unique_by(_allowed_requests(requests), [c.PUB], "repository requests repeat a publication")
+
+
+def _allowed_requests(requests: DataFrame) -> DataFrame:
     require_columns(requests, _REQUEST, "repository requests")
     # Ids of another type than text have nothing to trim, and a cast would spoil the join key.
     texts = [x for x in _REQUEST if dict(requests.dtypes)[x] == "string"]
     trimmed = requests.withColumns({x: t.unicode_trim(F.col(x)) for x in texts})
-    trimmed = unique_by(trimmed, [c.PUB], "repository requests repeat a publication")
     trimmed = raise_when(
         trimmed,
         F.coalesce(F.lower(F.col(c.REQUEST_OLD)) == fv.OTHERS_LOWER, F.lit(False)),
@@ -263,103 +266,169 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     return raise_when(trimmed, bad_class, "repository requests hold a class that is not allowed")
 
 
-def request_match_counts(bridge: DataFrame, requests: DataFrame) -> DataFrame:
-    """How many bridge rows each request meets."""
-    names = bridge.select(c.PUB, t.unicode_trim(F.col(c.CATEGORY)).alias(c.REQUEST_OLD))
-    hits = names.join(requests.select(c.PUB, c.REQUEST_OLD), [c.PUB, c.REQUEST_OLD], "left_semi")
-    counts = hits.groupBy(c.PUB, c.REQUEST_OLD).agg(F.count(F.lit(1)).alias("_matches"))
-    return requests.join(counts, [c.PUB, c.REQUEST_OLD], "left").withColumn(
-        "_matches", F.coalesce("_matches", F.lit(0))
+#: What a relation carries through the batches: field and column of the bridge.
+_STATE = {
+    "name": c.CATEGORY,
+    "technical": c.REPO_CLASS,
+    "university": c.REPO_IS_UNIVERSITY,
+    "public": c.REPO_PUBLIC_CLASS,
+    "rule": c.REPO_PUBLIC_RULE,
+    "review": c.REPO_PUBLIC_REVIEW,
+}
+
+
+def _folded_requests(batches: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """One row a publication with its request of each batch, ``_b0``, ``_b1``, ..., null where it has none."""
+    every = None
+    for i, (requests, rule, source) in enumerate(batches):
+        part = _allowed_requests(requests)
+        whole = F.struct(*_all(part)).alias(f"_r{i}")
+        technical = class_lookup(
+            F.col(c.REQUEST_CLASS), fv.REQUESTED_REPOSITORY, (c.REPO_CLASS, c.REPO_IS_UNIVERSITY)
+        )
+        wanted = F.struct(
+            F.col(c.REQUEST_OLD).alias("old"),
+            F.col(c.REQUEST_NEW).alias("name"),
+            technical[c.REPO_CLASS].alias("technical"),
+            technical[c.REPO_IS_UNIVERSITY].alias("university"),
+            F.col(c.REQUEST_CLASS).alias("public"),
+            F.lit(rule).alias("rule"),
+            F.lit("No").alias("review"),
+        ).alias(f"_b{i}")
+        part = part.select(c.PUB, whole, wanted)
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    numbers = range(len(batches))
+    folded = every.groupBy(c.PUB).agg(
+        *[F.first(f"_r{i}", ignorenulls=True).alias(f"_r{i}") for i in numbers],
+        *[F.first(f"_b{i}", ignorenulls=True).alias(f"_b{i}") for i in numbers],
+        *[F.count(f"_b{i}").alias(f"_n{i}") for i in numbers],
     )
+    twice = F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in numbers]) > 1
+    return raise_when(folded, twice, "repository requests repeat a publication").drop(*[f"_n{i}" for i in numbers])
 
 
-def apply_repository_requests(
-    bridge: DataFrame,
-    requests: DataFrame,
-    rule: str,
-    source: str = "",
-    order: str = c.ORD,
-    width: int = SLICE_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """Rename and reclassify the requested relations; audit what they replaced.
+def _followed(relations: DataFrame, batches: int) -> DataFrame:
+    """Relations beside the requests of their publication, followed through all batches in order.
 
-    Each request must meet exactly one relation.  The bridge is joined once, on the
-    publication id (a publication has at most one request), which also shows every
-    relation the new name could collide with; other publications cannot get
-    duplicates.  Rows are neither added nor moved, so category numbers stay valid
-    and are only computed for bridges that have none.
+    Adds, for each batch, whether its request meets the relation (``_hit<i>``) and the state
+    of the relation before it (``_s<i>``); the last state is ``_s<batches>``.
     """
-    requests = checked_requests(requests)
-    counted = raise_when(
-        request_match_counts(bridge, requests),
-        F.col("_matches") != 1,
-        F.concat(
+    texts = lambda column: F.col(f"`{column}`").cast("string")
+    out = bind(relations, {"_s0": F.struct(*[texts(column).alias(x) for x, column in _STATE.items()])})
+    for i in range(batches):
+        now, wanted = F.col(f"_s{i}"), F.col(f"_b{i}")
+        met = F.coalesce(t.unicode_trim(now["name"]) == wanted["old"], F.lit(False))
+        out = bind(out, {f"_hit{i}": met})
+        out = raise_when(
+            out,
+            ~F.col(f"_hit{i}") & F.coalesce(now["name"] == wanted["name"], F.lit(False)),
+            "the update repeats a publication-repository relation",
+        )
+        after = F.struct(*[F.when(F.col(f"_hit{i}"), wanted[x]).otherwise(now[x]).alias(x) for x in _STATE])
+        out = bind(out, {f"_s{i + 1}": after})
+    return out
+
+
+def _matched_requests(bridge: DataFrame, folded: DataFrame, batches: int) -> DataFrame:
+    """The folded requests with the state that each met (``_s<i>``); each must meet one relation."""
+    followed = _followed(folded.join(bridge.select(c.PUB, *_STATE.values()), c.PUB, "left"), batches)
+    hit = lambda i: F.col(f"_hit{i}")
+    found = followed.groupBy(c.PUB).agg(
+        *[F.first(f"_{kind}{i}").alias(f"_{kind}{i}") for i in range(batches) for kind in "rb"],
+        *[F.count_if(hit(i)).alias(f"_n{i}") for i in range(batches)],
+        *[F.first(F.when(hit(i), F.col(f"_s{i}")), ignorenulls=True).alias(f"_s{i}") for i in range(batches)],
+    )
+    for i in range(batches):
+        told = F.concat(
             F.lit("expected one match for "),
             F.col(c.PUB).cast("string"),
             F.lit(" / "),
-            F.coalesce(F.col(c.REQUEST_OLD), F.lit("")),
+            F.coalesce(F.col(f"_b{i}")["old"], F.lit("")),
             F.lit(", found "),
-            F.col("_matches").cast("string"),
-        ),
-    ).drop("_matches")
-    technical = class_lookup(
-        F.col(c.REQUEST_CLASS), fv.REQUESTED_REPOSITORY, (c.REPO_CLASS, c.REPO_IS_UNIVERSITY)
-    )
-    wanted = counted.select(
-        c.PUB,
-        F.struct(
-            F.col(c.REQUEST_OLD).alias("old"),
-            F.col(c.REQUEST_NEW).alias("name"),
-            F.col(c.REQUEST_CLASS).alias("public"),
-            technical[c.REPO_CLASS].alias("technical"),
-            technical[c.REPO_IS_UNIVERSITY].alias("university"),
-        ).alias("_new"),
-    )
-    joined = bridge.join(wanted, c.PUB, "left").withColumn(
-        "_hit", F.coalesce(t.unicode_trim(F.col(c.CATEGORY)) == F.col("_new.old"), F.lit(False))
-    )
-    joined = raise_when(
-        joined,
-        ~F.col("_hit") & F.coalesce(F.col(c.CATEGORY) == F.col("_new.name"), F.lit(False)),
-        "the update repeats a publication-repository relation",
-    )
-    hit = F.col("_hit")
-
-    def replaced(column: str, value: Column) -> Column:
-        return F.when(hit, value).otherwise(F.col(f"`{column}`"))
-
+            F.col(f"_n{i}").cast("string"),
+        )
+        found = raise_when(found, F.col(f"_b{i}").isNotNull() & (F.col(f"_n{i}") != 1), told)
+    return found
+
+
+def _request_audit(matched: DataFrame, batches: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """A row for each request: itself, what it replaced and what it made."""
+    rows = []
+    for i, (requests, rule, source) in enumerate(batches):
+        request, wanted, before = (F.col(f"_{kind}{i}") for kind in "rbs")
+        rows.append(
+            F.when(
+                wanted.isNotNull(),
+                F.struct(
+                    F.lit(i).alias("_batch"),
+                    *[F.col(f"_r{j}") for j in range(len(batches))],
+                    before["technical"].alias("CLASE_TECNICA_ANTERIOR"),
+                    before["public"].alias("CLASE_PUBLICA_ANTERIOR"),
+                    before["review"].alias("REQUIERE_REVISION_ANTERIOR"),
+                    wanted["technical"].alias("CLASE_TECNICA_FINAL"),
+                    wanted["public"].alias("CLASE_PUBLICA_FINAL"),
+                    F.lit(rule).alias(c.RULE),
+                    F.lit(source).alias("ARCHIVO_DECISION"),
+                ),
+            )
+        )
+    audit = matched.select(F.inline(F.array_compact(F.array(*rows))))
+    names = list(dict.fromkeys(x for requests, _, _ in batches for x in requests.columns))
+    own = []
+    for name in names:
+        value = F.lit(None)
+        for i, (requests, _, _) in enumerate(batches):
+            if name in requests.columns:
+                value = F.when(F.col("_batch") == i, F.col(f"_r{i}")[name]).otherwise(value)
+        own.append(value.alias(name))
+    ends = [x for x in audit.columns if x != "_batch" and not x.startswith("_r")]
+    return audit.select(*own, *ends)
+
+
+def apply_request_log(
+    bridge: DataFrame,
+    batches: list[tuple[DataFrame, str, str]],
+    order: str = c.ORD,
+    width: int = SLICE_ROWS,
+    store: Callable[[DataFrame], DataFrame] = as_is,
+) -> tuple[DataFrame, DataFrame]:
+    """Apply batches of ``(requests, rule, source)`` in order; the bridge and the audit of what was replaced.
+
+    The batches are folded into one row a publication, so however many there are the bridge
+    meets them once: a relation is followed through all of them row by row, and a later
+    batch sees the names an earlier one gave.  Each request must meet exactly one relation,
+    and no new name may repeat another relation of its publication.  Requests are matched
+    against the relations of their own publications alone; ``store`` may write the matched ones
+    down, which both results read.  Rows are neither added nor moved, so category numbers stay
+    valid and are only computed for bridges that have none.
+    """
+    matched = store(_matched_requests(bridge, _folded_requests(batches), len(batches)))
+    wanted = matched.select(c.PUB, *[f"_b{i}" for i in range(len(batches))])
+    joined = _followed(bridge.join(wanted, c.PUB, "left"), len(batches))
+    last, kinds = F.col(f"_s{len(batches)}"), dict(bridge.dtypes)
+    touched = F.greatest(F.lit(False), *[F.col(f"_hit{i}") for i in range(len(batches))])
     changes = {
-        c.CATEGORY: replaced(c.CATEGORY, F.col("_new.name")),
-        c.REPO_CLASS: replaced(c.REPO_CLASS, F.col("_new.technical")),
-        c.REPO_IS_UNIVERSITY: replaced(c.REPO_IS_UNIVERSITY, F.col("_new.university")),
-        c.REPO_PUBLIC_CLASS: replaced(c.REPO_PUBLIC_CLASS, F.col("_new.public")),
-        c.REPO_PUBLIC_RULE: replaced(c.REPO_PUBLIC_RULE, F.lit(rule)),
-        c.REPO_PUBLIC_REVIEW: replaced(c.REPO_PUBLIC_REVIEW, F.lit("No")),
+        column: F.when(touched, last[x].cast(kinds[column])).otherwise(F.col(f"`{column}`"))
+        for x, column in _STATE.items()
     }
     if c.REPOSITORY in bridge.columns:
-        changes[c.REPOSITORY] = replaced(c.REPOSITORY, F.col("_new.name"))
+        changes[c.REPOSITORY] = F.when(touched, last["name"]).otherwise(F.col(f"`{c.REPOSITORY}`"))
     updated = joined.withColumns(changes).select(*_all(bridge))
     if c.CATEGORY_ORDER not in updated.columns:
         updated = group_ordinal(updated, [c.PUB], order, c.CATEGORY_ORDER, width)
+    return updated, _request_audit(matched, batches)
 
-    previous = bridge.select(
-        c.PUB,
-        t.unicode_trim(F.col(c.CATEGORY)).alias(c.REQUEST_OLD),
-        F.col(c.REPO_CLASS).alias("CLASE_TECNICA_ANTERIOR"),
-        F.col(c.REPO_PUBLIC_CLASS).alias("CLASE_PUBLICA_ANTERIOR"),
-        F.col(c.REPO_PUBLIC_REVIEW).alias("REQUIERE_REVISION_ANTERIOR"),
-    )
-    audit = counted.join(previous, [c.PUB, c.REQUEST_OLD], "left").select(
-        *_all(requests),
-        "CLASE_TECNICA_ANTERIOR",
-        "CLASE_PUBLICA_ANTERIOR",
-        "REQUIERE_REVISION_ANTERIOR",
-        technical[c.REPO_CLASS].alias("CLASE_TECNICA_FINAL"),
-        F.col(c.REQUEST_CLASS).alias("CLASE_PUBLICA_FINAL"),
-        F.lit(rule).alias(c.RULE),
-        F.lit(source).alias("ARCHIVO_DECISION"),
-    )
-    return updated, audit
+
+def apply_repository_requests(
+    bridge: DataFrame,
+    requests: DataFrame,
+    rule: str,
+    source: str = "",
+    order: str = c.ORD,
+    width: int = SLICE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """One batch of :func:`apply_request_log`."""
+    return apply_request_log(bridge, [(requests, rule, source)], order, width)
 
 
 # --------------------------------------------------------------------------
@@ -477,8 +546,8 @@ def consolidate(
     audits: list[DataFrame] = []
     if c.DIM_REPOSITORIES in bridges:
         repositories = classify_repositories(bridges[c.DIM_REPOSITORIES])
-        for requests, rule, source in inputs.requests:
-            repositories, audit = apply_repository_requests(repositories, requests, rule, source)
+        if inputs.requests:
+            repositories, audit = apply_request_log(repositories, inputs.requests, store=store)
             audits.append(audit)
         bridges[c.DIM_REPOSITORIES] = repositories
     bridges[c.DIM_INSTITUTIONS] = classify_institutions(

@@ -324,7 +324,7 @@ _SELECTED = f"""{PUBS}, {TYPES}, {SUPPLY}, flagged AS (SELECT * FROM pubs WHERE
     yr AS anio FROM a""",
 )
 def faceted_publications(spark, folder):
-    found = X.faceted(orders_as_publications(spark, folder), facet_bridges(spark, folder), selection())
+    found = X.faceted(orders_as_publications(spark, folder), facet_bridges(spark, folder), selection(), stored)
     return found.select(c.PUB, c.PUBLIC_TYPE, c.PUBLIC_SUBTYPE, t.to_year(F.col(c.YEAR)).alias("anio"))
 
 
@@ -338,7 +338,7 @@ def faceted_publications(spark, folder):
     UNION ALL SELECT DISTINCT 'area', cat FROM types WHERE pub IN (SELECT pub FROM r)""",
 )
 def facet_options(spark, folder):
-    return X.facet_options(orders_as_publications(spark, folder), facet_bridges(spark, folder), selection())
+    return X.facet_options(orders_as_publications(spark, folder), facet_bridges(spark, folder), selection(), stored)
 
 
 @query(
@@ -1626,16 +1626,37 @@ def union_audits(spark, folder):
       ON t.campo = c.campo GROUP BY 1, 2""",
 )
 def column_profile(spark, folder):
-    frame = orders_with_blanks(spark, folder)
-    customers = read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias(c.PUB), F.col("o_custkey").cast("string").alias("cliente")
-    )
-    frame = frame.join(customers, c.PUB).select(
-        F.col(c.LANGUAGE).alias("idioma"), F.col(c.JOURNAL).alias("revista"), "cliente"
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    frame = read(spark, folder, "orders").select(
+        F.when(status == "O", F.concat(F.lit(" "), priority)).when(status == "F", " ").alias("idioma"),
+        F.when(priority != "5-LOW", priority).alias("revista"),
+        F.col("o_custkey").cast("string").alias("cliente"),
     )
     return P.column_profile(frame)
 
 
+@query(
+    "text_profile",
+    """WITH v AS (SELECT 1 AS orden, 'url' AS campo, url AS val FROM pages UNION ALL SELECT 2, 'html', html FROM pages
+      UNION ALL SELECT 1, 'text', text FROM documents UNION ALL SELECT 2, 'source', source FROM documents),
+    f AS (SELECT orden, campo, CASE WHEN trim(val) <> '' THEN val END AS val FROM v),
+    c AS (SELECT orden, campo, val, count(*) AS n FROM f GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY campo ORDER BY n DESC, val[1:64], md5(val)) AS rk
+      FROM c WHERE val IS NOT NULL)
+    SELECT CAST(c.orden AS INTEGER) AS orden, c.campo AS campo, CAST(sum(c.n) AS BIGINT) AS filas,
+      CAST(coalesce(sum(c.n) FILTER (c.val IS NOT NULL), 0) AS BIGINT) AS no_vacios,
+      CAST(coalesce(sum(c.n) FILTER (c.val IS NULL), 0) AS BIGINT) AS vacios,
+      round(100.0::DOUBLE * coalesce(sum(c.n) FILTER (c.val IS NULL), 0) / sum(c.n), 2) AS porcentaje_vacios,
+      count(c.val) AS valores_unicos, any_value(t.txt) AS valores_frecuentes
+    FROM c JOIN (SELECT campo, string_agg(val || ' [' || n || ']', ' || ' ORDER BY rk) AS txt FROM r WHERE rk <= 5 GROUP BY 1) t
+      ON t.campo = c.campo GROUP BY 1, 2""",
+)
+def text_profile(spark, folder):
+    """Profile of whole pages and documents; texts move as digests."""
+    pages = P.column_profile(read(spark, folder, "pages"), ["url", "html"])
+    return pages.unionByName(P.column_profile(read(spark, folder, "documents"), ["text", "source"]))
+
+
 @query(
     "bridge_cardinality",
     f"""WITH {TYPES}, {BRANDS}, n AS (SELECT 'tipos' AS dimension, pub, count(*) AS n FROM types GROUP BY 1, 2

@@ -246,6 +246,34 @@ def test_request_cannot_repeat_or_match_twice(spark, found):
         L.apply_repository_requests(padded, one, "r")[0].collect()
 
 
+def test_a_log_of_batches_equals_one_by_one(spark, found):
+    columns = [c.PUB, c.REQUEST_OLD, c.REQUEST_NEW, c.REQUEST_CLASS]
+    one = catalogue.table(spark, [*columns, "NOTA"], [("P1", "Scopus", "Nuevo", "Revistas", "n1"), ("P2", "UNALM", "Portal", "Buscadores académicos", "n2")])
+    two = catalogue.table(spark, columns, [("P1", " Nuevo", "Otro nuevo", "Buscadores académicos"), ("P4", "SERFOR", "Sitio", "Revistas")])
+    three = catalogue.table(spark, columns, [("P1", "Alicia", "Scopus", "Revistas")])  # a name that the first batch freed
+    bridge = found[c.DIM_REPOSITORIES]
+    batches = [(one, "regla 1", "uno.csv"), (two, "regla 2", "dos.csv"), (three, "regla 3", "tres.csv")]
+    updated, audit = L.apply_request_log(bridge, batches)
+    step, audits = bridge, []
+    for requests, rule, source in batches:
+        step, part = L.apply_repository_requests(step, requests, rule, source)
+        audits.append(part)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(updated) == rows(step) and updated.columns == bridge.columns
+    whole = audits[0]
+    for part in audits[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    assert rows(audit) == rows(whole)
+    chain = audit.filter((F.col(c.PUB) == "P1") & (F.col(c.RULE) == "regla 2")).first()
+    assert chain["CLASE_PUBLICA_ANTERIOR"] == "Revistas" and chain["NOTA"] is None
+    # What one by one refuses, the log refuses.
+    for later in [("P1", "Scopus", "x", "Revistas"), ("P1", "Alicia", "Nuevo", "Revistas"), ("P99", "a", "x", "Revistas")]:
+        bad = catalogue.table(spark, columns, [later])
+        for result in L.apply_request_log(bridge, [batches[0], (bad, "r", "")]):
+            with pytest.raises(Exception, match="expected one match|repeats a publication"):
+                result.collect()
+
+
 def test_decisions_and_hierarchy(spark, found):
     pubs = found[c.T_PUBLICATIONS]
     updated = Y.apply_postgraduate_hierarchy(pubs)

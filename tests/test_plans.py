@@ -64,3 +64,39 @@ def test_checks_read_nothing_twice(spark, name):
     plan = plan_of(spark, name)
     counts = (len(re.findall(x, plan)) for x in (r"FileScan", r"(?<!Reused)\bExchange ", r"RLIKE"))
     assert all(n <= most for n, most in zip(counts, LIMITS[name]))
+
+
+def test_facet_options_read_each_bridge_once(spark, tmp_path):
+    from folium import table_queries as T
+    from folium.operators.facets import facet_options
+
+    def kept(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    pubs = kept("pubs", T.orders_as_publications(spark, FOLDER))
+    bridges = {k: kept(k, b) for k, b in T.facet_bridges(spark, FOLDER).items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        options = facet_options(pubs, bridges, T.selection(), lambda df: kept("reached", df))
+        plan = options._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # The reaches for the scalar facets, and, with the bridges, for those behind 2 and 3 choices.
+    assert len(re.findall("FileScan", plan)) <= 6 and len(re.findall(r"(?<!Reused)\bExchange ", plan)) <= 12
+    assert options.count() == QUERIES["facet_options"](spark, FOLDER).count()
+
+
+def test_profiles_move_digests(spark):
+    plan = plan_of(spark, "text_profile")
+    assert len(re.findall("FileScan", plan)) <= 4
+    assert not re.search(r"Exchange hashpartitioning\([^)]*valor", plan)
+    partial = [line for line in plan.splitlines() if "partial_any_value" in line or "partial_first" in line]
+    assert partial and all("keys=[orden" in line and "_rank" in line for line in partial)
+
+
+def test_parts_and_whole_meet_the_bridge_in_one_join(spark):
+    # The roles join lineitem with part, and orders with what they bring; the operator adds one join.
+    assert len(re.findall("Join ", plan_of(spark, "scalar_vs_bridge"))) <= 4
