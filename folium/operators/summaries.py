@@ -6,7 +6,9 @@ so a category that holds a third of all rows is spread over the ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium import columns as c
@@ -49,6 +51,33 @@ def class_summary(
     return relation_summary(bridge_of_class(bridge, class_column, value), scope, include_others)
 
 
+def rankings(
+    sources: Mapping[str, tuple[DataFrame, Column | None]], scope: DataFrame, include_others: bool = True
+) -> DataFrame:
+    """``(tabla, categoria, count)`` of many relation and class summaries in one aggregate.
+
+    A source is a bridge and the condition its rows must meet, or none.  A bridge that serves
+    several rankings is read once; all of them meet the scope in one semi join.
+    """
+    shared: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, (bridge, condition) in sources.items():
+        tag = F.lit(name) if condition is None else F.when(condition, F.lit(name))
+        shared.setdefault(id(bridge), (bridge, []))[1].append(tag)
+    every = None
+    for bridge, tags in shared.values():
+        part = clean_bridge(bridge, include_others).select(
+            c.PUB, F.explode(F.array_compact(F.array(*tags))).alias("tabla"), c.CATEGORY
+        )
+        every = part if every is None else every.unionAll(part)
+    seen = every.join(scope.select(c.PUB), c.PUB, "left_semi")
+    return seen.groupBy("tabla", c.CATEGORY).agg(F.count_distinct(c.PUB).alias(c.COUNT))
+
+
+def one_ranking(ranked: DataFrame, name: str) -> DataFrame:
+    """One table out of :func:`rankings`, largest first."""
+    return by_count(ranked.filter(F.col("tabla") == name).drop("tabla"), c.CATEGORY)
+
+
 def drilldown_summary(
     filtered: DataFrame,
     full: DataFrame,

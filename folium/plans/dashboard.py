@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folium import columns as c
 from folium import fixed_values as fv
 from folium.functions import text as t
-from folium.operators.bridges import bridge_from_column, clean_bridge, consolidated_column
+from folium.operators.bridges import as_is, bridge_from_column, clean_bridge, consolidated_column
 from folium.operators.checks import require_columns, strip_headers
 from folium.operators.classify import (
     normalize_hierarchy,
@@ -19,11 +19,12 @@ from folium.operators.classify import (
 )
 from folium.operators.facets import Selection, faceted, unique_only
 from folium.operators.summaries import (
-    class_summary,
     drilldown_summary,
     kpis,
-    relation_summary,
+    one_ranking,
+    rankings,
     simple_summary,
+    top_k,
     year_series,
 )
 from folium.operators.territory import (
@@ -31,6 +32,7 @@ from folium.operators.territory import (
     department_summary,
     territorial_detail,
 )
+from folium.session import stored
 
 # Bridge key -> table it comes from.
 BRIDGE_TABLES = {
@@ -62,6 +64,36 @@ def load_bridges(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return bridges
 
 
+#: Rankings of institutions: class column and class.
+INSTITUTION_RANKINGS = {
+    "universidades_publicas": (c.INST_CLASS, fv.INST_PUBLIC_UNIVERSITY),
+    "universidades_privadas": (c.INST_CLASS, fv.INST_PRIVATE_UNIVERSITY),
+    "universidades_extranjeras": (c.INST_CLASS, fv.INST_FOREIGN_UNIVERSITY),
+    "entidades_publicas": (c.INST_CLASS, fv.INST_STATE),
+    "centros_investigacion": (c.INST_PUBLIC_CLASS, "Centro de investigación / cooperación"),
+    "revistas_mal_ubicadas": (c.INST_CLASS, fv.INST_JOURNAL),
+}
+PLAIN_RANKINGS = ("base", "repositorio_clase", "institucion_clase", "area", "eje")
+#: Column of a drill-down table that names the whole path of a category.
+PATH = "Jerarquía"
+
+
+def _ranking_sources(bridges: Mapping[str, DataFrame], repository_class: str | None):
+    """The bridge and the condition of every ranking that these bridges allow."""
+
+    def of_class(bridge: DataFrame, column: str, value: str):
+        known = F.col(f"`{column}`") if column in bridge.columns else F.lit(None).cast("string")
+        return bridge, t.unicode_trim(known) == value
+
+    sources = {key: (bridges[key], None) for key in PLAIN_RANKINGS if key in bridges}
+    if repository_class and "repositorio" in bridges:
+        sources["repositorio"] = of_class(bridges["repositorio"], c.REPO_PUBLIC_CLASS, repository_class)
+    if "institucion" in bridges:
+        for name, (column, value) in INSTITUTION_RANKINGS.items():
+            sources[name] = of_class(bridges["institucion"], column, value)
+    return sources
+
+
 def dashboard(
     publications: DataFrame,
     bridges: Mapping[str, DataFrame],
@@ -71,13 +103,16 @@ def dashboard(
     chart_type: str | None = None,
     repository_class: str | None = None,
     persist: bool = True,
+    top: int = 12,
 ) -> dict[str, DataFrame]:
     """Every summary of one interaction, over one filtered frame.
 
-    ``publications`` and ``bridges`` come from the loaders above.  The filtered
-    frame is cut to the columns the summaries read and persisted, because each
-    summary scans it; unpersist ``filtradas`` when done.
+    ``publications`` and ``bridges`` come from the loaders above.  The filtered frame, cut to
+    the columns the summaries read, the department counts and the one aggregate behind all
+    rankings are each written down once (``persist``) as stored tables, which nobody has to
+    release.  Drill-down tables name the path of each category in ``Jerarquía``.
     """
+    store = stored if persist else as_is
     wanted = [
         c.PUB,
         c.YEAR,
@@ -86,40 +121,32 @@ def dashboard(
         c.POSTGRAD_DETAIL,
     ]
     scope = faceted(publications, bridges, selection)
-    scope = scope.select(*[x for x in wanted if x in scope.columns])
-    if persist:
-        scope = scope.persist()
+    scope = store(scope.select(*[x for x in wanted if x in scope.columns]))
     others = selection.include_others
-    regions = department_summary(scope, territory, departments)
+    regions = store(department_summary(scope, territory, departments))
     out = {
         "filtradas": scope,
         "tipo": simple_summary(scope, c.PUBLIC_TYPE),
         "subtipo": drilldown_summary(scope, publications, chart_type, c.PUBLIC_SUBTYPE),
         "serie": year_series(scope),
         "departamentos": regions,
+        "departamentos_principales": top_k(regions, c.DEP_NAME, top),
+        "mapa": publications_on_map(territory, scope),
     }
+    if chart_type:
+        out["subtipo"] = out["subtipo"].withColumn(PATH, t.path_label(chart_type, F.col(c.PUBLIC_SUBTYPE)))
     if c.POSTGRAD_DETAIL in scope.columns:
-        out["detalle_posgrado"] = drilldown_summary(
-            scope, publications, chart_type, c.POSTGRAD_DETAIL, fv.POSTGRAD_THESIS
-        )
-    for key in ("base", "repositorio_clase", "institucion_clase", "area", "eje"):
-        if key in bridges:
-            out[key] = relation_summary(bridges[key], scope, others)
-    if repository_class and "repositorio" in bridges:
-        out["repositorio"] = class_summary(
-            bridges["repositorio"], scope, c.REPO_PUBLIC_CLASS, repository_class, others
+        details = drilldown_summary(scope, publications, chart_type, c.POSTGRAD_DETAIL, fv.POSTGRAD_THESIS)
+        path = t.path_label(fv.THESIS, fv.POSTGRAD_THESIS, F.col(c.POSTGRAD_DETAIL))
+        out["detalle_posgrado"] = details.withColumn(PATH, path)
+    sources = _ranking_sources(bridges, repository_class)
+    if sources:
+        ranked = store(rankings(sources, scope, others))
+        out |= {name: one_ranking(ranked, name) for name in sources}
+    if "repositorio" in out:
+        out["repositorio"] = out["repositorio"].withColumn(
+            PATH, t.path_label(repository_class, F.col(c.CATEGORY))
         )
-    if "institucion" in bridges:
-        rankings = {
-            "universidades_publicas": (c.INST_CLASS, fv.INST_PUBLIC_UNIVERSITY),
-            "universidades_privadas": (c.INST_CLASS, fv.INST_PRIVATE_UNIVERSITY),
-            "universidades_extranjeras": (c.INST_CLASS, fv.INST_FOREIGN_UNIVERSITY),
-            "entidades_publicas": (c.INST_CLASS, fv.INST_STATE),
-            "centros_investigacion": (c.INST_PUBLIC_CLASS, "Centro de investigación / cooperación"),
-            "revistas_mal_ubicadas": (c.INST_CLASS, fv.INST_JOURNAL),
-        }
-        for name, (column, value) in rankings.items():
-            out[name] = class_summary(bridges["institucion"], scope, column, value, others)
     if "area" in bridges and "repositorio_clase" in bridges:
         out["indicadores"] = kpis(scope, regions, bridges["area"], bridges["repositorio_clase"], others)
     return out

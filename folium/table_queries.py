@@ -1948,3 +1948,177 @@ def control_keys(spark, folder):
     out.reference("líneas sin pedido", lines, known, "l_orderkey", "Claves inexistentes")
     out.same_keys("pedidos y líneas", known, lines, "l_orderkey", "Claves en un solo lado")
     return out.rows()
+
+
+# ==========================================================================
+# The whole result set of a dashboard
+# ==========================================================================
+_BRAND_CLASS = {
+    "Brand#11": fv.INST_PUBLIC_UNIVERSITY,
+    "Brand#12": fv.INST_PRIVATE_UNIVERSITY,
+    "Brand#13": fv.INST_FOREIGN_UNIVERSITY,
+    "Brand#21": fv.INST_STATE,
+    "Brand#22": fv.INST_JOURNAL,
+}
+_CENTRE = "Centro de investigación / cooperación"
+
+
+def theses(spark: SparkSession, folder: str) -> DataFrame:
+    """Urgent orders are theses, high ones postgraduate theses; the status is the grade."""
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    thesis = priority.isin("1-URGENT", "2-HIGH")
+    return read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(c.PUB),
+        F.year("o_orderdate").cast("string").alias(c.YEAR),
+        F.when(thesis, fv.THESIS).otherwise(fv.ARTICLE).alias(c.PUBLIC_TYPE),
+        F.when(priority == "2-HIGH", fv.POSTGRAD_THESIS).otherwise(priority).alias(c.PUBLIC_SUBTYPE),
+        status.alias(c.GRADE),
+        F.concat(F.lit(" "), F.year("o_orderdate").cast("string")).alias(c.LEVEL),
+        F.when(priority == "2-HIGH", F.when(status == "F", fv.MASTER_THESIS).otherwise(fv.NOT_IDENTIFIED)).alias(
+            c.POSTGRAD_DETAIL
+        ),
+    )
+
+
+THESES = f"""theses AS (
+  SELECT o_orderkey AS pub, CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus AS grade,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Tesis' ELSE 'Artículo' END AS kind,
+    CASE WHEN o_orderpriority = '2-HIGH' THEN 'Tesis de posgrado' ELSE o_orderpriority END AS sub,
+    CASE WHEN o_orderpriority = '2-HIGH' THEN
+      CASE WHEN o_orderstatus = 'F' THEN {s(fv.MASTER_THESIS)} ELSE {s(fv.NOT_IDENTIFIED)} END END AS det
+  FROM orders)"""
+
+
+def dashboard_bridges(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    brands = brand_bridge(spark, folder)
+    kind = F.lit("Otra")
+    for brand, value in _BRAND_CLASS.items():
+        kind = F.when(F.col(c.CATEGORY) == brand, value).otherwise(kind)
+    centre = F.when(F.col(c.CATEGORY) == "Brand#31", _CENTRE).otherwise("Otra")
+    institutions = brands.withColumns({c.INST_CLASS: kind, c.INST_PUBLIC_CLASS: centre})
+    types = type_bridge(spark, folder)
+    repositories = types.withColumn(c.REPO_PUBLIC_CLASS, F.substring(c.CATEGORY, 1, 1))
+    return {
+        "area": types,
+        "base": brands,
+        "institucion": institutions,
+        "repositorio": repositories,
+        "repositorio_clase": B.bridge_from_column(repositories, c.REPO_PUBLIC_CLASS),
+    }
+
+
+def _ranked(name: str, source: str, condition: str = "true", label: str = "NULL") -> str:
+    return f"""SELECT {s(name)} AS tabla, CAST(cat AS VARCHAR) AS clave, {label} AS ruta, count(DISTINCT pub) AS valor
+    FROM {source} JOIN x USING (pub) WHERE {condition} GROUP BY 2, 3"""
+
+
+@query(
+    "dashboard_set",
+    f"""WITH {THESES}, {TYPES}, {BRANDS}, {SUPPLY}, x AS (SELECT * FROM theses WHERE kind = 'Tesis' AND grade IN ('F', 'O')),
+    d AS (SELECT n_name AS cat, count(DISTINCT l_orderkey) AS n FROM nation LEFT JOIN (
+      SELECT dep, l_orderkey FROM supply JOIN x ON pub = l_orderkey WHERE on_map) ON dep = n_nationkey GROUP BY 1)
+    SELECT 'tipo' AS tabla, kind AS clave, NULL AS ruta, count(*) AS valor FROM x GROUP BY 2
+    UNION ALL SELECT 'subtipo', sub, 'Tesis › ' || sub, count(*) FROM x GROUP BY 2
+    UNION ALL SELECT 'detalle_posgrado', det, 'Tesis › Tesis de posgrado › ' || det, count(*) FROM x
+      WHERE det IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'serie', CAST(yr AS VARCHAR), NULL, count(*) FROM x GROUP BY 2
+    UNION ALL SELECT 'departamentos', cat, NULL, n FROM d
+    UNION ALL (SELECT 'departamentos_principales', cat, NULL, n FROM d ORDER BY n DESC, cat LIMIT 6)
+    UNION ALL SELECT 'mapa', 'publicaciones', NULL, count(DISTINCT pub) FROM supply JOIN x ON pub = l_orderkey WHERE on_map
+    UNION ALL SELECT 'indicadores', 'publicaciones', NULL, count(*) FROM x
+    UNION ALL SELECT 'indicadores', 'departamentos', NULL, count(*) FROM d WHERE n > 0
+    UNION ALL SELECT 'indicadores', 'areas_tematicas', NULL, count(DISTINCT cat) FROM types JOIN x USING (pub)
+    UNION ALL SELECT 'indicadores', 'clases_repositorio', NULL, count(DISTINCT cat[1]) FROM types JOIN x USING (pub)
+    UNION ALL {_ranked("area", "types")} UNION ALL {_ranked("base", "brands")}
+    UNION ALL {_ranked("repositorio_clase", "(SELECT pub, cat[1] AS cat FROM types)")}
+    UNION ALL {_ranked("repositorio", "types", "cat[1] = 'S'", "'S › ' || cat")}
+    UNION ALL {_ranked("universidades_publicas", "brands", "cat = 'Brand#11'")}
+    UNION ALL {_ranked("universidades_privadas", "brands", "cat = 'Brand#12'")}
+    UNION ALL {_ranked("universidades_extranjeras", "brands", "cat = 'Brand#13'")}
+    UNION ALL {_ranked("entidades_publicas", "brands", "cat = 'Brand#21'")}
+    UNION ALL {_ranked("revistas_mal_ubicadas", "brands", "cat = 'Brand#22'")}
+    UNION ALL {_ranked("centros_investigacion", "brands", "cat = 'Brand#31'")}""",
+)
+def dashboard_set(spark, folder):
+    """All tables of one interaction, as rows of (table, key, path, number)."""
+    tables = D.dashboard(
+        theses(spark, folder),
+        dashboard_bridges(spark, folder),
+        order_territory(spark, folder),
+        departments(spark, folder),
+        X.Selection(scalars={c.PUBLIC_TYPE: [fv.THESIS], c.GRADE: ["F", "O"]}),
+        chart_type=fv.THESIS,
+        repository_class="S",
+        top=6,
+    )
+    tables["mapa"] = tables["mapa"].select(F.lit("publicaciones").alias("clave"), F.col("publicaciones").alias(c.COUNT))
+    keys = {
+        "tipo": c.PUBLIC_TYPE,
+        "subtipo": c.PUBLIC_SUBTYPE,
+        "detalle_posgrado": c.POSTGRAD_DETAIL,
+        "serie": c.YEAR,
+        "departamentos": c.DEP_NAME,
+        "departamentos_principales": c.DEP_NAME,
+        "mapa": "clave",
+        "indicadores": "indicador",
+    }
+    rows = []
+    for name, df in tables.items():
+        if name != "filtradas":
+            path = F.col(D.PATH) if D.PATH in df.columns else F.lit(None)
+            value = F.col("valor") if name == "indicadores" else F.col(c.COUNT)
+            key = F.col(keys.get(name, c.CATEGORY)).cast("string").alias("clave")
+            rows.append(df.select(F.lit(name).alias("tabla"), key, path.cast("string").alias("ruta"), value.alias("valor")))
+    return P.union_all(rows)
+
+
+@query(
+    "thesis_facets",
+    f"""WITH {THESES}, {BRANDS} SELECT pub AS {q(c.PUB)}, 'Otro / no clasificado' AS clase FROM theses
+    WHERE kind = 'Tesis' AND grade IN ('F', 'O') AND yr IN (1996, 1997) AND det = {s(fv.NOT_IDENTIFIED)}
+    AND pub IN (SELECT pub FROM brands WHERE cat IN ('Brand#11', 'Brand#22'))""",
+)
+def thesis_facets(spark, folder):
+    """Facets that only theses show, the drill-down and a bridge without class columns."""
+    chosen = X.Selection(
+        scalars={c.PUBLIC_TYPE: [fv.THESIS], c.GRADE: ["F", "O"], c.LEVEL: ["1996", "1997"]},
+        detail=fv.NOT_IDENTIFIED,
+        bridges={"repositorio": ["Brand#11", "Brand#22"]},
+    )
+    plain = C.with_default_repository_classes(brand_bridge(spark, folder))
+    found = X.faceted(theses(spark, folder), {"repositorio": plain}, chosen).select(c.PUB)
+    return found.join(plain.select(c.PUB, F.col(c.REPO_CLASS).alias("clase")).distinct(), c.PUB)
+
+
+@query(
+    "request_classes",
+    _controls_sql(
+        [
+            _control(
+                "clase de solicitud",
+                "(SELECT count(*) FROM labels l JOIN documents USING (doc_id) WHERE quality = 0 AND toxic = 0)",
+                "'Filas que incumplen'",
+            ),
+            _control(
+                "Otros no se reclasifica",
+                "(SELECT count(*) FROM labels l JOIN documents USING (doc_id) WHERE quality = 1)",
+                "'Filas que incumplen'",
+            ),
+        ]
+    ),
+)
+def request_classes(spark, folder):
+    """Requests whose class is not allowed (null ones too), and requests for the exact value Otros."""
+    asked = source_requests(spark, folder)
+    public = F.col(c.REQUEST_CLASS)
+    asked = asked.withColumns(
+        {
+            c.REQUEST_OLD: F.when(public == fv.PUB_JOURNALS, " OTROS").otherwise(F.col(c.REQUEST_OLD)),
+            c.REQUEST_CLASS: F.when(public != fv.PUB_INSTITUTIONAL, public),
+        }
+    )
+    out = Controls(spark)
+    allowed = F.coalesce(F.col(c.REQUEST_CLASS).isin(list(fv.REQUESTED_REPOSITORY)), F.lit(False))
+    out.none("clase de solicitud", asked, ~allowed)
+    out.none("Otros no se reclasifica", asked, t.is_others(F.col(c.REQUEST_OLD)))
+    return out.rows()
