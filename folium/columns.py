@@ -90,6 +90,10 @@ REQUEST_OLD = "Repositorio_original"
 REQUEST_NEW = "Repositorio_actualizado"
 REQUEST_CLASS = "Categoria_nueva"
 
+# Map features
+PROPERTIES = "PROPIEDADES"
+GEOMETRY = "GEOMETRIA"
+
 # Tables -------------------------------------------------------------------------
 T_PUBLICATIONS = "BD_APP"
 T_RECORDS = "REGISTROS_ORIGEN"
@@ -108,6 +112,7 @@ T_TERRITORY = "REGIONES_EXPANDIDAS"
 T_COVERAGE = "COBERTURA_REGION"
 T_UNCROSSED = "REGIONES_NO_CRUZADAS"
 T_DEP_GEOJSON = "DEPARTAMENTOS_GEOJSON"
+T_RUNS = "TRAZABILIDAD_EJECUCIONES"
 
 DIM_REPOSITORIES = "DIM_REPOSITORIOS"
 DIM_AREAS = "DIM_AREAS_TEMATICAS"

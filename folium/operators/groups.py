@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium import columns as c
-from folium.operators.checks import join_null_safe
+from folium.operators.checks import join_null_safe, raise_when
 
 SLICE_ROWS = 1_000_000
+REPEATED = "an ordinal repeats"
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -38,7 +39,10 @@ def group_ordinal(
     out: str = c.CATEGORY_ORDER,
     width: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Running number 1, 2, ... of each row within its group, by unique ordinal."""
+    """Running number 1, 2, ... of each row within its group, by unique ordinal.
+
+    A repeated ordinal in a group stops the job: it stands beside its twin in the slice.
+    """
     sliced = df.withColumn("_slice", _slice(order, width))
     before = (
         sliced.groupBy(*group, "_slice")
@@ -56,10 +60,12 @@ def group_ordinal(
         )
         .drop("_rows")
     )
-    inner = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(order))
+    within = Window.partitionBy(*group, "_slice").orderBy(order)
+    numbered = join_null_safe(sliced, before, [*group, "_slice"]).withColumns(
+        {out: (F.col("_before") + F.row_number().over(within)).cast("int"), "_last": F.lag(order).over(within)}
+    )
     return (
-        join_null_safe(sliced, before, [*group, "_slice"])
-        .withColumn(out, (F.col("_before") + inner).cast("int"))
+        raise_when(numbered, F.col("_last") == F.col(f"`{order}`"), REPEATED)
         .select(*[F.col(f"`{x}`") for x in df.columns if x != out], out)
     )
 
@@ -78,8 +84,11 @@ def attach_group_head(
     """
     sliced = df.withColumn("_slice", _slice(order, width))
     per_slice = sliced.groupBy(*group, "_slice").agg(
-        F.min(order).alias("_min"), F.count(F.lit(1)).alias("_rows")
+        F.min(order).alias("_min"), F.max(order).alias("_max"), F.count(F.lit(1)).alias("_rows")
     )
+    # More rows than whole numbers between the ends: without this a slice could be of any size.
+    crowded = F.col("_rows") > F.col("_max") - F.col("_min") + 1
+    per_slice = raise_when(per_slice, crowded, REPEATED).drop("_max")
     whole = Window.partitionBy(*group)
     values = {head: F.min("_min").over(whole)}
     if size:

@@ -35,7 +35,17 @@ from folium.operators.profile import union_all
 from folium.operators.summaries import indicator_rows
 from folium.operators.territory import consolidate_territory
 from folium.session import stored
-from folium.sources.tables import read_table, write_snapshot
+from folium.sources.manifest import Layout, Manifest, resolve
+from folium.sources.tables import (
+    append_trace,
+    as_text,
+    committed,
+    new_timestamp,
+    read_table,
+    snapshot_path,
+    with_row_ordinal,
+    write_snapshot,
+)
 
 _FRONT = [c.PUB, c.REPRESENTATIVE, c.GROUP_SIZE, c.GROUP_RULES, c.STATE]
 
@@ -587,15 +597,58 @@ def consolidate(
     return tables
 
 
+def run_trace(snapshot: str, summary: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """Trace of a run: its snapshot, the paths it read and the numbers of its summary."""
+    rows = [("instantanea", snapshot), *sorted((f"fuente_{k}", str(v)) for k, v in labels.items())]
+    return text_rows(summary.sparkSession, rows).unionByName(summary)
+
+
 def run_consolidation(inputs: ConsolidationInputs, root: str, timestamp: str | None = None) -> str:
     """Write a consolidated snapshot and return its folder.
 
     Shared intermediates are stored, tables are written, and the summary is counted
-    over what was written: a lost executor repeats one write, not the run.
+    over what was written: a lost executor repeats one write, not the run.  The run's trace
+    goes to ``root`` under the snapshot's timestamp, just before the summary that commits the
+    snapshot.  A run repeated with a timestamp that is complete writes nothing; one that broke
+    off is written anew.
     """
-    tables = consolidate(inputs, stored)
-    snapshot = write_snapshot(tables, root, timestamp)
+    timestamp = timestamp or new_timestamp()
+    snapshot = snapshot_path(root, timestamp)
     spark = inputs.records.sparkSession
+    if committed(spark, f"{snapshot}/{c.T_SUMMARY}"):
+        return snapshot
+    tables = consolidate(inputs, stored)
+    write_snapshot(tables, root, timestamp, mode="overwrite")
     written = {name: read_table(spark, f"{snapshot}/{name}") for name in tables}
-    write_snapshot({c.T_SUMMARY: run_summary(inputs, written)}, root, snapshot.rsplit("=", 1)[1])
+    summary = stored(run_summary(inputs, written))
+    append_trace(run_trace(snapshot, summary, inputs.labels), f"{root.rstrip('/')}/{c.T_RUNS}", timestamp)
+    write_snapshot({c.T_SUMMARY: summary}, root, timestamp, mode="overwrite")
     return snapshot
+
+
+def run_from_folders(
+    spark: SparkSession, sources: str, root: str, timestamp: str | None = None, layout: Layout = Layout()
+) -> str:
+    """The whole run from folders: newest inputs in, snapshot and trace out."""
+    return run_consolidation(load_inputs(spark, resolve(spark, sources, layout)), root, timestamp)
+
+
+def load_inputs(spark: SparkSession, manifest: Manifest) -> ConsolidationInputs:
+    """The tables of a manifest; records, bridges and territory get their row ordinal."""
+    path = manifest.tables
+    plain_table = lambda name: as_text(read_table(spark, path[name]))
+    ordered = lambda name: with_row_ordinal(plain_table(name))
+    return ConsolidationInputs(
+        records=ordered(manifest.records),
+        record_map=plain_table(c.T_RECORD_MAP),
+        proposed_ids=plain_table(manifest.proposed),
+        reviewed=plain_table(c.T_REVIEWED),
+        id_registry=plain_table(c.T_ID_REGISTRY),
+        id_merges=plain_table(c.T_ID_MERGES),
+        bridges={name: ordered(name) for name in c.DIMENSIONS if name in path},
+        territory=ordered(c.T_TERRITORY),
+        departments=plain_table(c.T_MAP),
+        requests=[(read_table(spark, at), rule, at.rsplit("/", 1)[-1]) for at, rule in manifest.requests],
+        type_decisions=read_table(spark, manifest.reviewed_types) if manifest.reviewed_types else None,
+        labels=manifest.folders,
+    )

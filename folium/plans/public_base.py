@@ -110,9 +110,17 @@ def public_summary(original: DataFrame, public: DataFrame, recoded: DataFrame, s
 
 
 def build_public_base(
-    df: DataFrame, territory: DataFrame, departments: DataFrame, sources: dict[str, str] | None = None
+    df: DataFrame,
+    territory: DataFrame,
+    departments: DataFrame,
+    sources: dict[str, str] | None = None,
+    features: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The public base, its territory and both summaries."""
+    """The public base, its territory and both summaries.
+
+    ``features`` are the departments' map features (``tables.read_departments``), which go
+    into the base as they are.
+    """
     df = df.toDF(*[x.strip() for x in df.columns])
     unique = unique_public_base(df)
     public, recoded = recode_empties(unique)
@@ -121,6 +129,7 @@ def build_public_base(
         "RESUMEN_BASE_PUBLICA": public_summary(df, public, recoded, sources or {}),
         "CAMPOS_OTROS": recoded,
         **public_territory(public, territory, departments),
+        **({} if features is None else {c.T_DEP_GEOJSON: features}),
     }
 
 

@@ -15,6 +15,8 @@ from folium.operators.checks import join_covering, join_many_to_one, raise_when,
 from folium.operators.classify import binary_type, postgraduate_detail, propose_types
 from folium.operators.profile import union_all
 from folium.operators.summaries import indicator_rows, value_counts
+from folium.session import stored
+from folium.sources.tables import append_trace, committed
 
 AUDIT_COLUMNS = [
     c.PUB,
@@ -181,6 +183,33 @@ def apply_postgraduate_hierarchy(publications: DataFrame) -> DataFrame:
     )
 
 
+def run_type_decisions(
+    publications: DataFrame, audit: DataFrame, root: str, run: str, group_events: bool = False, hierarchy: bool = True
+) -> str:
+    """Apply the audit's decisions, and the postgraduate hierarchy, and leave one trace a run.
+
+    Writes ``tipos=<run>/BD_APP`` and the decisions, then the run's trace under
+    ``TRAZABILIDAD_TIPOS``.  A run whose trace is committed writes nothing when repeated.
+    """
+    spark = publications.sparkSession
+    out, traces = f"{root.rstrip('/')}/tipos={run}", f"{root.rstrip('/')}/{c.T_TRACE}"
+    if committed(spark, f"{traces}/run={run}"):
+        return out
+    decisions = stored(build_decisions(audit, group_events))
+    updated = apply_decisions(publications, decisions)
+    if hierarchy:
+        updated = apply_postgraduate_hierarchy(updated)
+    updated.write.mode("overwrite").parquet(f"{out}/{c.T_PUBLICATIONS}")
+    updated = spark.read.parquet(f"{out}/{c.T_PUBLICATIONS}")
+    trace = decision_trace(decisions, f"{root.rstrip('/')}/{c.T_PUBLICATIONS}", run)
+    if hierarchy:
+        decisions = merge_hierarchy(decisions, updated)
+        trace = trace.unionByName(hierarchy_trace(updated))
+    decisions.write.mode("overwrite").parquet(f"{out}/DECISIONES")
+    append_trace(trace, traces, run)
+    return out
+
+
 def unexpected_distribution(df: DataFrame, column: str, expected: dict[str, int]) -> DataFrame:
     """Values whose count differs from the expected one, missing and extra values included."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,7 @@ TYPED = {
     **{name: T.LongType() for name in c.TERRITORY_COUNTS},
 }
 
-GEOJSON_SCHEMA = T.StructType(
-    [
-        T.StructField(
-            "features",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("properties", T.StructType([T.StructField("DEPARTAMEN", T.StringType())]))]
-                )
-            ),
-        )
-    ]
-)
+GEOJSON_SCHEMA = "features array<struct<properties: string, geometry: string>>"
 
 
 def text_schema(names: list[str]) -> T.StructType:
@@ -120,38 +109,73 @@ def read_optional(spark: SparkSession, snapshot: str, name: str, columns: list[s
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Map features with their department name and normalised key."""
+    return read_departments(spark, path).select("DEPARTAMEN", c.DEP_KEY)
+
+
+def read_departments(spark: SparkSession, path: str) -> DataFrame:
+    """Map features as rows: place in the file, name, key, and properties and geometry as they are written.
+
+    Nested values are read as text, so their numbers and their nesting stay as they stand.
+    """
     features = (
         spark.read.schema(GEOJSON_SCHEMA)
         .option("multiLine", True)
         .json(path)
-        .select(F.explode("features").alias("feature"))
+        .select(F.posexplode("features").alias("_place", "feature"))
     )
+    name = F.get_json_object("feature.properties", "$.DEPARTAMEN")
     return features.select(
-        F.col("feature.properties.DEPARTAMEN").alias("DEPARTAMEN"),
-        t.fold_upper(F.col("feature.properties.DEPARTAMEN")).alias(c.DEP_KEY),
+        (F.col("_place") + 1).cast("long").alias(c.ORD),
+        name.alias("DEPARTAMEN"),
+        t.fold_upper(name).alias(c.DEP_KEY),
+        F.col("feature.properties").alias(c.PROPERTIES),
+        F.col("feature.geometry").alias(c.GEOMETRY),
+    )
+
+
+def feature_text() -> Column:
+    """One feature as a line of GeoJSON text, from the columns of :func:`read_departments`."""
+    part = lambda name: F.coalesce(F.col(name), F.lit("null"))
+    return F.concat(
+        F.lit('{"type":"Feature","properties":'), part(c.PROPERTIES), F.lit(',"geometry":'), part(c.GEOMETRY), F.lit("}")
     )
 
 
+def write_geojson(departments: DataFrame, path: str) -> None:
+    """The features as lines of GeoJSON text, in order of their place in the file they came from.
+
+    A map has as many features as there are departments, so one file is written.
+    """
+    departments.coalesce(1).sortWithinPartitions(c.ORD).select(feature_text().alias("value")).write.mode(
+        "errorifexists"
+    ).text(path)
+
+
 def new_timestamp() -> str:
     return datetime.now().strftime("%Y%m%d_%H%M%S")
 
 
+def snapshot_path(root: str, timestamp: str) -> str:
+    return f"{root.rstrip('/')}/snapshot={timestamp}"
+
+
 def write_snapshot(
     tables: Mapping[str, DataFrame],
     root: str,
     timestamp: str | None = None,
     by_publication: bool = False,
+    mode: str = "errorifexists",
 ) -> str:
     """Write every table under ``snapshot=<timestamp>/<table>`` as Parquet, the summary last.
 
     A snapshot counts as complete once its summary is there.  ``by_publication`` clusters tables that hold publication ids on them, so later
     joins on the id read ranges that line up.
     """
-    snapshot = f"{root.rstrip('/')}/snapshot={timestamp or new_timestamp()}"
+    snapshot = snapshot_path(root, timestamp or new_timestamp())
     for name, df in sorted(tables.items(), key=lambda x: x[0] == c.T_SUMMARY):
         if by_publication and c.PUB in df.columns:
             df = df.repartitionByRange(c.PUB).sortWithinPartitions(c.PUB)
-        df.write.mode("errorifexists").parquet(f"{snapshot}/{name}")
+        df.write.mode(mode).parquet(f"{snapshot}/{name}")
     return snapshot
 
 
@@ -168,8 +192,21 @@ def write_bundle(tables: Mapping[str, DataFrame], path: str, csv_of: str = "Dato
         write_csv(tables[csv_of], f"{path.rstrip('/')}/{csv_of}.csv")
 
 
-def append_trace(trace: DataFrame, path: str) -> None:
-    """Append one run's trace rows."""
-    trace.withColumn("momento", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode(
-        "append"
-    ).parquet(path)
+def append_trace(trace: DataFrame, path: str, run: str | None = None) -> None:
+    """Append one run's trace rows.
+
+    With a run id the rows lie in ``run=<id>`` and are written once: a repeated run, finding
+    them committed, leaves them as they are, and one that broke off while writing is replaced.
+    """
+    spark = trace.sparkSession
+    rows = trace.withColumn("momento", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    if run is None:
+        rows.write.mode("append").parquet(path)
+    elif not committed(spark, own := f"{path.rstrip('/')}/run={run}"):
+        rows.write.mode("overwrite").parquet(own)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write has ended: its commit marker is there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
