@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -85,3 +86,12 @@ def deleted(spark: SparkSession, path: str) -> None:
     """Remove a written table that nothing reads any more."""
     where, system = _at(spark, path)
     system.delete(where, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended.
+
+    It does so when the driver's garbage is collected, which may otherwise be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

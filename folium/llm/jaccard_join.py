@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.llm.common import deleted, release_shuffles, work_folder, written
 from folium.llm.word_codes import WordCodes
 from folium.session import stored
 
@@ -53,6 +54,9 @@ SMALL = 4
 ROUNDS = 12
 #: Ids that may be sent to all tasks; more are joined by a shuffle.
 SENT_IDS = 4_000_000
+#: Keys of equal sets (some 30 bytes each), and hashes of sets, that may be.
+SENT_KEYS = 1_000_000
+SENT_HASHES = 2_000_000
 
 _MIX = np.random.default_rng(5).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -212,14 +216,31 @@ def _distinct_regions(members: DataFrame) -> DataFrame:
     return members.join(kept.select("region"), "region")
 
 
-def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with the exact size of intersection and union."""
-    side = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"set_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _sets_of(sets: DataFrame, ids: DataFrame, side: str) -> DataFrame:
+    """The sets of some stored ids, as columns of one side of a pair.
+
+    Only the ids meet all sets, so sets that no pair names are read but not shuffled.
+    """
+    own = _among(sets.withColumnRenamed("rep", "doc_id"), ids.withColumnRenamed(side, "doc_id"), "left_semi")
+    return own.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+
+
+def _close(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Distinct pairs (a, b) with the exact size of intersection and union.
+
+    Side ``a`` is the one with fewer different ids; its sets are sent to all tasks while they
+    are few, which is counted.
+    """
+    pairs = written(pairs.distinct(), f"{folder}/pairs")
+    ids = {s: written(pairs.select(s).distinct(), f"{folder}/{s}") for s in "ab"}
+    few = _sets_of(sets, ids["a"], "a")
+    if (few.agg(F.sum(F.size("set_a"))).first()[0] or 0) <= SENT_HASHES:
+        few = F.broadcast(few)
+    both = pairs.join(_sets_of(sets, ids["b"], "b"), "b").join(few, "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.withColumn("common", common).withColumn(
         "united", F.size("set_a") + F.size("set_b") - F.col("common")
-    ).drop("set_a", "set_b")
+    ).select("a", "b", "common", "united")
 
 
 LINKED = "100 * common >= 80 * united"
@@ -247,10 +268,13 @@ def components(links: DataFrame, turns: int | None = None) -> DataFrame:
         rest = joined.where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         return low.select("a", F.col("low").alias("b")).unionByName(rest).distinct()
 
+    spark = links.sparkSession
+    folder = work_folder(spark)
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     state, done = None, 0
     while True:
-        edges = stored(least(least(edges, True), False))
+        edges = written(least(least(edges, True), False), f"{folder}/{done}")
+        deleted(spark, f"{folder}/{done - 1}")
         done += 1
         now = None if turns else edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if done == turns or now is not None and now == state:
@@ -269,6 +293,8 @@ def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(id, component) of the linked documents; None without any region."""
+    spark = sets.sparkSession
+    folder = work_folder(spark)
     links = None
     share = F.col("common") / F.col("united")
     for turn in range(ROUNDS + 1):
@@ -284,17 +310,18 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             rest.alias("other"),
         )
         still = regions.where("low < high").drop("low", "high")
-        active = stored(members.join(still, "region"))
+        now = f"{folder}/{turn}"
+        active = written(members.join(still, "region"), f"{now}/active")
         if active.isEmpty():
             break
         by_pivot = F.lit(True) if turn == 0 else (F.col("docs") > SMALL) & F.lit(turn < ROUNDS)
         stars = active.where(by_pivot)
         pairs = stars.select(F.explode(F.array("pivot", "other")).alias("a"), F.col("rep").alias("b"))
-        starred = stored(_close(pairs.where("a <> b").distinct(), sets))
+        starred = written(_close(pairs.where("a <> b"), sets, f"{now}/stars"), f"{now}/starred")
         found = starred.where(LINKED).select("a", "b")
         if turn:
-            found = found.unionByName(_direct(active.where(~by_pivot), sets))
-        links = stored(found if links is None else links.unionByName(found).distinct())
+            found = found.unionByName(_direct(active.where(~by_pivot), sets, f"{now}/direct"))
+        links = written(found if links is None else links.unionByName(found).distinct(), f"{folder}/links{turn}")
         # The next region: what isn't linked to the pivot, and what is and may link to that.
         seen = (
             stars.where((F.col("rep") != F.col("pivot")) & ~F.col("rep").eqNullSafe(F.col("other")))
@@ -303,11 +330,15 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         )
         edge = seen.groupBy("region").agg(F.max(F.when(~F.expr(LINKED), share)).alias("edge"))
         left = seen.join(edge, "region").where(share <= F.col("edge") + MARGIN).drop("pivot", "edge")
-        members = stored(_named(left, components(links, turns=2)))
+        members = written(_named(left, components(links, turns=2)), f"{folder}/members{turn}")
+        # What this turn wrote for itself, and what the next one replaces, isn't read any more.
+        for done in (now, f"{folder}/links{turn - 1}", f"{folder}/members{turn - 1}"):
+            deleted(spark, done)
+        release_shuffles(spark)
     return None if links is None else components(links)
 
 
-def _direct(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _direct(members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Links between documents of a region that are in different classes."""
     share = (F.col("common") / F.col("united")).alias("sa")
     left = members.select("region", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), share)
@@ -320,8 +351,8 @@ def _direct(members: DataFrame, sets: DataFrame) -> DataFrame:
         # Distances of linked documents to the last pivot differ by the join's own at most.
         & (F.abs(F.col("sa") - F.col("sb")) <= MARGIN)
     )
-    pairs = left.join(right, "region").where(fits).select("a", "b").distinct()
-    return _close(pairs, sets).where(LINKED).select("a", "b")
+    pairs = left.join(right, "region").where(fits).select("a", "b")
+    return _close(pairs, sets, folder).where(LINKED).select("a", "b")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -335,9 +366,13 @@ def joined(docs: DataFrame) -> DataFrame:
         united = stored(_united(_among(docs, repeated, "left_semi")))
         sketches = stored(_among(sketches, repeated, "left_anti").unionByName(_sketches_of_sets(united)))
         docs = _among(docs, repeated, "left_anti")
-    equal = sketches.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Only keys of several rows meet the rows; sent to all tasks while few, a hot one needs no shuffle.
+    groups = sketches.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    equal = stored(groups.where("rows > 1").drop("rows"))
+    if equal.count() <= SENT_KEYS:
+        equal = F.broadcast(equal)
     own = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(equal, "set_key", "left")
-    own = stored(own.drop("set_key"))
+    own = stored(own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     copies = stored(own.where("doc_id <> rep").select("doc_id").distinct())
     survivors = stored(_survivors(sketches, copies))
     sets = _whole_sets(_among(docs, survivors, "left_semi"))
