@@ -11,13 +11,16 @@ within ``1 - 0.8`` without comparing all pairs:
     document is replicated to those regions.  Shingles of no other document fill places
     of the window without making a region, so a text with more than a fifth of its own
     leaves here: passages that many texts share make no pairs.
-3.  *Inner pivots*: in a region one document is compared with all others.  Those within
+3.  *Opening*: every document is compared with the pivot (the smallest id) of its most
+    populous region alone.  A large group of near copies becomes one class by as many pairs
+    as it has documents, and its many other regions are done before any pair of theirs.
+4.  *Inner pivots*: in a region one document is compared with all others.  Those within
     the distance are linked.  The rest, and those linked ones whose distance is within the
     window of the rest, form the next, smaller region, whose pivots are the document
     nearest to the last one and one of the rest; and so on recursively.  Documents that
     are already connected need no further comparison.  The smallest regions, and any left
     after the last round, are compared pair by pair within the windows.
-4.  Connected components over the links give each document's class.
+5.  Connected components over the links give each document's class.
 
 The first pass (step 2 on the quarter of the hashes that sort first) sheds most
 documents while shuffling only that quarter; the second sees whole sets of the rest.
@@ -172,7 +175,7 @@ def window_of(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5) + 1
 
 
-def _regions(sets: DataFrame) -> DataFrame:
+def _regions(sets: DataFrame, folder: str) -> DataFrame:
     """(region, rep, n): the windows of outer pivots, rarest first, without repeated regions."""
     rows = sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("hash"))
     met = (
@@ -186,22 +189,24 @@ def _regions(sets: DataFrame) -> DataFrame:
     starts = F.posexplode(F.slice("met", F.lit(1), F.col("left").cast("int"))).alias("i", "x")
     placed = met.select("rep", "n", own.alias("own"), starts)
     return _distinct_regions(
-        placed.select(F.col("x.hash").alias("region"), "rep", "n", (F.col("own") + F.col("i") + 1).alias("place"))
+        placed.select(F.col("x.hash").alias("region"), "rep", "n", (F.col("own") + F.col("i") + 1).alias("place")),
+        folder,
     )
 
 
-def _distinct_regions(members: DataFrame) -> DataFrame:
+def _distinct_regions(placed: DataFrame, folder: str) -> DataFrame:
     """Regions of two documents or more; of regions with the same documents one stays.
 
     A pair of sizes n and m has at least 4/9 (n + m) shingles in common, so it also meets
     at one of the first n - ceil(4/9 (n + m)) + 1 of n: with the smallest size m of a
     region, places beyond that can't matter there.
     """
-    members = stored(members)
-    least = members.groupBy("region").agg(F.min("n").alias("m"))
+    placed = written(placed, f"{folder}/placed")
+    least = placed.groupBy("region").agg(F.min("n").alias("m"))
     partner = F.greatest(F.col("m"), F.floor((4 * F.col("n") + 4) / 5))
     within = F.col("place") <= F.col("n") - F.floor((4 * (F.col("n") + partner) + 8) / 9) + 1
-    members = stored(members.join(least, "region").where(within).drop("m", "place"))
+    members = written(placed.join(least, "region").where(within).drop("m", "place"), f"{folder}/within")
+    deleted(placed.sparkSession, f"{folder}/placed")
     kept = (
         members.groupBy("region")
         .agg(
@@ -213,7 +218,18 @@ def _distinct_regions(members: DataFrame) -> DataFrame:
         .groupBy("docs", "a", "b")
         .agg(F.min("region").alias("region"))
     )
-    return members.join(kept.select("region"), "region")
+    distinct = written(members.join(kept.select("region", "docs"), "region"), f"{folder}/regions")
+    deleted(placed.sparkSession, f"{folder}/within")
+    release_shuffles(placed.sparkSession)
+    return distinct
+
+
+def _opening(regions: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Links of each document with the smallest one of its most populous region."""
+    pivots = regions.groupBy("region").agg(F.min("rep").alias("pivot"))
+    widest = regions.groupBy("rep").agg(F.max_by("region", F.struct("docs", "region")).alias("region"))
+    pairs = widest.join(pivots, "region").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    return _close(pairs.where("a <> b"), sets, folder).where(LINKED).select("a", "b")
 
 
 def _sets_of(sets: DataFrame, ids: DataFrame, side: str) -> DataFrame:
@@ -291,11 +307,15 @@ def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(id, component) of the linked documents; None without any region."""
+def _classes(sets: DataFrame) -> DataFrame:
+    """(id, component) of the linked documents."""
     spark = sets.sparkSession
     folder = work_folder(spark)
-    links = None
+    regions = _regions(sets, folder)
+    links = written(_opening(regions, sets, f"{folder}/opening"), f"{folder}/links")
+    members = written(_named(regions.drop("docs"), components(links, turns=4)), f"{folder}/members")
+    for done in ("opening", "regions"):
+        deleted(spark, f"{folder}/{done}")
     share = F.col("common") / F.col("united")
     for turn in range(ROUNDS + 1):
         # The document nearest to the last pivot lies towards the middle of its neighbours;
@@ -321,7 +341,7 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         found = starred.where(LINKED).select("a", "b")
         if turn:
             found = found.unionByName(_direct(active.where(~by_pivot), sets, f"{now}/direct"))
-        links = written(found if links is None else links.unionByName(found).distinct(), f"{folder}/links{turn}")
+        links = written(links.unionByName(found).distinct(), f"{folder}/links{turn}")
         # The next region: what isn't linked to the pivot, and what is and may link to that.
         seen = (
             stars.where((F.col("rep") != F.col("pivot")) & ~F.col("rep").eqNullSafe(F.col("other")))
@@ -332,10 +352,11 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         left = seen.join(edge, "region").where(share <= F.col("edge") + MARGIN).drop("pivot", "edge")
         members = written(_named(left, components(links, turns=2)), f"{folder}/members{turn}")
         # What this turn wrote for itself, and what the next one replaces, isn't read any more.
-        for done in (now, f"{folder}/links{turn - 1}", f"{folder}/members{turn - 1}"):
+        last = turn - 1 if turn else ""
+        for done in (now, f"{folder}/links{last}", f"{folder}/members{last}"):
             deleted(spark, done)
         release_shuffles(spark)
-    return None if links is None else components(links)
+    return components(links)
 
 
 def _direct(members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
@@ -379,11 +400,8 @@ def joined(docs: DataFrame) -> DataFrame:
     if united is not None:
         sets = sets.unionByName(united.join(survivors.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
     sets = stored(sets)
-    classes = _classes(_regions(sets).withColumn("class", F.col("rep")), sets)
-    named = F.coalesce("rep", "doc_id")
-    if classes is not None:
-        own = own.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-        named = F.coalesce("component", "rep", "doc_id")
+    own = own.join(_classes(sets).withColumnRenamed("id", "rep"), "rep", "left")
+    named = F.coalesce("component", "rep", "doc_id")
     own = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), named).alias("component_id"))
     if united is None:
         return own
