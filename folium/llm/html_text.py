@@ -8,16 +8,24 @@ threshold: subtrees elsewhere that reach it add their own node of largest sum.
 the core lies in an article or main element, that whole element is taken in its place.
 
 Elements that are never content (menus, page headers and footers, sidebars, forms,
-scripts, styles) and blocks whose class, id or role names an advert, notice, comment
-section and the like are left out of the tree before densities are taken.  Nothing of
-what remains is dropped or shortened.
+scripts, styles) and blocks whose role, or whose class or id, names a menu, reader
+comments or consent are left out of the tree before densities are taken.  A class or id
+that only may name something else (``hidden``, ``widget``, ``share``, ``notice``, ``ad``,
+...) is weighed by density, with the core sought in article and main elements first: around
+the core it says nothing, and where blocks so named
+hold over half of the core's text, those with a node that reaches the threshold stay.  Elsewhere such
+blocks are left out.  Nothing of what remains is dropped or shortened.
+
+Tags are found in time linear in the page, whatever its quotes: where a quoted value is
+never closed, the tag ends at the next ``>``.
 
 A block is the text between the borders of block elements; ``br`` is white space.
 
 Defined cases: null or empty html gives an empty text; text without any tag is one
 block; unclosed, crossing and unmatched tags are repaired as browsers do, but an element
 without content that is never closed ends at once, scripts and styles excepted; a form
-around most of the page's text is no form; repeated pages each keep their row.
+around most of the page's text is no form; repeated pages each keep their row; an empty
+table gives an empty one; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folium.llm.common import let_workers_import
+
 # Element names and the words that name parts of a page that aren't its article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title xmp".split())
@@ -55,11 +65,11 @@ IMPLIED_END = {
 }
 P_BORDERS = frozenset("table td th caption button object article section main div body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMES_ALWAYS = frozenset("comment comments commentlist disqus respond replies cookie cookies consent gdpr".split())
 NAMES_OTHER = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner "
-    "sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment "
-    "comments commentlist disqus respond replies cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
+    "sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar notice "
+    "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
     "widgets pagination pager paywall teaser hidden".split()
 )
 #: Before such a word these say what the page around it is like.
@@ -68,65 +78,155 @@ ROLES_OTHER = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+#: A tag without angle brackets in its values, which nearly all are.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class Tags:
+    """Where the tags of a page end.
+
+    What follows a quote outside of values is the same for every tag that comes to it, so
+    it is worked out once: all tags together take time linear in the page.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.known: dict[int, int] = {}
+        #: The last search of either kind: from where, and what it found.
+        self.special, self.bracket = (0, -1), (0, -1)
+
+    def _special(self, at: int) -> int:
+        m = SPECIAL.search(self.html, at)
+        return m.start() if m else len(self.html)
+
+    def after_bracket(self, at: int) -> int:
+        """The place behind the next ``>``; -1 without one."""
+        start, place = self.bracket
+        if not start <= at <= place:
+            place = self.html.find(">", at)
+            place = len(self.html) if place < 0 else place
+            self.bracket = at, place
+        return place + 1 if place < len(self.html) else -1
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose name ends here; -1 if it doesn't end."""
+        html = self.html
+        start, place = self.special
+        if not start <= at <= place:
+            place = self._special(at)
+            self.special = at, place
+        chain, got = [], -1
+        while place < len(html):
+            if html[place] == ">":
+                got = place + 1
+                break
+            if place in self.known:
+                got = self.known[place]
+                break
+            chain.append(place)
+            close = html.find(html[place], place + 1)
+            if close < 0:
+                break
+            place = self._special(close + 1)
+        for quote in chain:
+            self.known[quote] = got
+        return got if got >= 0 else self.after_bracket(at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """The next tag or comment: its place, its end, slash, name, attributes; the page's end without one."""
+        html = self.html
+        while True:
+            lt = html.find("<", at)
+            if lt < 0:
+                break
+            m = PLAIN_TAG.match(html, lt)
+            if m:
+                return lt, m.end(), m[1], m[2], m[3]
+            if html.startswith("<!--", lt):
+                close = html.find("-->", lt + 4)
+                return lt, close + 3 if close >= 0 else len(html), "", "", ""
+            if self.after_bracket(lt) < 0:
+                # Nothing but an open comment is left to find.
+                at = html.find("<!--", lt)
+                if at < 0:
+                    break
+            elif html[lt + 1] in "!?":
+                return lt, self.after_bracket(lt), "", "", ""
+            else:
+                m = TAG_NAME.match(html, lt)
+                if m:
+                    end = self.end(m.end())
+                    return lt, end, m[1], m[2], html[m.end() : end - 1]
+                at = lt + 1
+        return len(html), len(html), "", "", ""
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "other", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "parts", "other", "named", "raw", "chars", "tags", "link_chars", "link_tags", "density", "total"
+    )
 
-    def __init__(self, tag: str, parent: Node | None, other: bool = False):
+    def __init__(self, tag: str, parent: Node | None, other: bool = False, named: bool = False):
         self.tag, self.parent, self.other = tag, parent, other
+        #: Whether only a word of its class or id speaks against it.
+        self.named = named
+        #: Scripts and the like beneath it, which are tags without nodes.
+        self.raw = 0
         #: Texts and child nodes in page order.
         self.parts: list[str | Node] = []
-        self.chars = self.link_chars = self.link_tags = 0
-        self.tags = 1
 
 
-def _other(tag: str, attributes: str) -> bool:
-    """Whether an element's own name or attributes say that it isn't part of the article."""
+def _other(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's own name or attributes say, or may say, that it isn't part of the article."""
+    named = False
     if tag in LEFT_OUT:
-        return True
+        return True, named
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return False, named
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = [w.lower() for w in WORDS.findall(value)]
-            if any(w in NAMES_OTHER and before not in STATES for before, w in zip(["", *words], words)):
-                return True
+            said = {w for before, w in zip(["", *words], words) if before not in STATES}
+            if said & NAMES_ALWAYS:
+                return True, named
+            named = named or bool(said & NAMES_OTHER)
         elif name == "role":
             if value.lower() in ROLES_OTHER:
-                return True
+                return True, named
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, named
         elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return True, named
+    return False, named
 
 
-def _closes(html: str, tag: str) -> dict[int, int]:
+def _closes(html: str, tag: str, tags: Tags) -> dict[int, int]:
     """Where each opening tag of a nesting element ends: the end of its own closing tag."""
-    found, still = {}, []
-    for m in re.finditer(rf"<(/?){tag}(?![^\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+>|<(/?){tag}(?![^\s/>])[^>]*+>", html, re.I):
-        if m[1] or m[2]:
+    found, still, done = {}, [], 0
+    for m in re.finditer(rf"<(/?){tag}(?![^\s/>])", html, re.I):
+        if m.start() < done:
+            continue
+        done = tags.end(m.end())
+        if done < 0:
+            break
+        if m[1]:
             if still:
-                found[still.pop()] = m.end()
-        elif not m[0].endswith("/>"):
-            still.append(m.end())
+                found[still.pop()] = done
+        elif html[done - 2] != "/":
+            still.append(done)
     return found
 
 
 def tree(html: str) -> Node:
     """The page's elements; those that are never content are marked."""
     top = node = Node("html", None)
+    tags = Tags(html)
     closes: dict[str, dict[int, int]] = {}
     open_to_end: set[str] = set()
     opened: dict[str, int] = {}
@@ -142,39 +242,35 @@ def tree(html: str) -> Node:
             here = here.parent
 
     while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            node.parts.append(html[at:])
-            break
-        if m.start() > at:
-            node.parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end_of_tag, slash, tag, attributes = tags.next(at)
+        if start > at:
+            node.parts.append(html[at:start])
+        at = end_of_tag
         if not tag:
             continue
         tag = tag.lower()
-        if m[1] or m[4]:
+        if slash:
             if opened.get(tag):
                 here = node
                 while here.tag != tag:
                     here = here.parent
                 node = pop(here)
             continue
-        attributes = m[3] or m[6] or ""
         if tag in RAW:
-            node.tags += 1
+            node.raw += 1
             if tag in NESTING:
                 if not attributes.endswith("/"):
                     if tag not in closes:
-                        closes[tag] = _closes(html, tag)
+                        closes[tag] = _closes(html, tag, tags)
                     # One that stays open holds nothing.
                     at = closes[tag].get(at, at)
                 continue
-            close = None
+            close = -1
             if tag not in open_to_end:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            if close:
-                at = close.end()
+                m = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                close = tags.after_bracket(m.end()) if m else -1
+            if close >= 0:
+                at = close
             elif tag in ("script", "style"):
                 at = end
             else:
@@ -202,7 +298,7 @@ def tree(html: str) -> Node:
             while here.tag != "head":
                 here = here.parent
             node = pop(here)
-        child = Node(tag, node, _other(tag, attributes))
+        child = Node(tag, node, *_other(tag, attributes))
         node.parts.append(child)
         if tag not in VOID and not attributes.endswith("/"):
             opened[tag] = opened.get(tag, 0) + 1
@@ -247,16 +343,56 @@ def _prune(top: Node) -> None:
         # An article's own header is kept if it bears the heading.
         if node.tag == "header" and not (inside and id(node) in holds):
             node.other = True
-        elif node.other and node.tag not in LEFT_OUT and id(node) in holds:
-            node.other = False
+        elif node.tag not in LEFT_OUT and id(node) in holds:
+            node.other = node.named = False
     for node in order:
         node.parts = [p for p in node.parts if isinstance(p, str) or not p.other]
+    _weigh_names(top)
+
+
+def _weigh_names(top: Node) -> None:
+    """Takes out what a class or id speaks against, unless densities say that it is the article."""
+    if not any(x.named for x in _in_order(top)):
+        return
+    order = _measure(top)
+    # The page's own article or main elements go before anything that a name speaks against.
+    free: dict[int, bool] = {}
+    main = []
+    for node in order:
+        free[id(node)] = not node.named and (node.parent is None or free[id(node.parent)])
+        if node.tag in ("article", "main") and free[id(node)] and node.chars:
+            main.append(node)
+    best = here = max(map(_core, main), key=lambda x: x.total) if main else _core(top)
+    threshold = min(best.density, top.density)
+    while here is not None:
+        here.named = False
+        if here.parent is not None:
+            threshold = min(threshold, here.density)
+        here = here.parent
+    inside, todo = [], [best]
+    while todo:
+        x = todo.pop()
+        if x.named:
+            inside.append(x)
+        else:
+            todo += [p for p in x.parts if isinstance(p, Node)]
+    if 2 * sum(x.chars for x in inside) > best.chars:
+        for x in inside:
+            frames = _in_order(x)
+            if max(y.density for y in frames) >= threshold > 0:
+                # With the frames within it that hold most of its text.
+                for y in frames:
+                    y.named = y.named and 2 * y.chars <= x.chars
+    for node in order:
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.named]
 
 
 def _measure(top: Node) -> list[Node]:
     order = _in_order(top)
     linked = set()
     for node in order:
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags = 1 + node.raw
         if node.tag == "a" or node.parent is not None and id(node.parent) in linked:
             linked.add(id(node))
     for node in reversed(order):
@@ -361,6 +497,7 @@ def main_text(html: str | None) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    let_workers_import(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

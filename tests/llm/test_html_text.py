@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 import pytest
 
 from folium.llm import html_text as H
@@ -72,3 +76,80 @@ def test_frames(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [
         (0, "", 0), (1, WANT, len(WANT)), (1, WANT, len(WANT)), (3, "", 0),
     ]
+
+
+LONG = [f"Paragraph {i} of the article, with words enough to be read as a text of its own, and a few more." for i in range(5)]
+NAMED = (
+    "overflow-hidden", "elementor-widget-wrap", "text-widget", "post-share-wrap", "notice-board", "related-story",
+    "hidden-xs entry", "ad-free content", "alert-body",
+)
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_a_class_word_around_the_core_says_nothing(name):
+    article = "".join(f"<p>{p}</p>" for p in LONG)
+    tail = "<div><p>short tail text.</p></div>"
+    for page in (f"<div class='{name}'>{article}</div>{tail}", f"<div>{''.join(f'<div class={chr(34)}{name}{chr(34)}><p>{p}</p></div>' for p in LONG)}</div>{tail}"):
+        got = H.main_text(f"<html><body>{page}</body></html>")
+        assert all(p in got for p in LONG)
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<a", "<a \">\"", "<!", "<script", "</script", "<a <", "<svg '", "<a '\">"])
+def test_hostile_markup_takes_linear_time(unit):
+    for page in (unit * (1_000_000 // len(unit)), "<script>" + unit * (1_000_000 // len(unit)) + "'\"", unit * (1_000_000 // len(unit)) + ">x"):
+        start = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - start < 10
+
+
+def test_quotes_that_stay_open_end_at_the_next_bracket():
+    assert H.main_text("<p title='x>one</p><p>two") == "one\n\ntwo"
+    assert H.main_text("<p title='<b>'>one</p><p title=\"a<b\">two") == "one\n\ntwo"
+
+
+def random_page(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 4)):
+        if depth > 4 or rng.random() < 0.3:
+            parts.append("word " * rng.randrange(1, 30))
+        else:
+            tag = rng.choice(["div", "section", "a", "b", "ul"])
+            parts.append(f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(parts)
+
+
+def test_densities_equal_a_plain_recomputation():
+    rng = random.Random(4)
+
+    def counted(node, linked):
+        linked = linked or node.tag == "a"
+        c = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        t, lc, lt = 1, c if linked else 0, 1 if linked else 0
+        for p in node.parts:
+            if not isinstance(p, str):
+                x = counted(p, linked)
+                c, t, lc, lt = c + x[0], t + x[1], lc + x[2], lt + x[3]
+        return c, t, lc, lt
+
+    def density(node, linked, body):
+        c, t, lc, lt = counted(node, linked)
+        if not c:
+            return 0.0
+        base = math.log(c * lc / max(c - lc, 1) + body[2] * c / max(body[0], 1) + math.e)
+        return c / t * math.log(max(c * t / (max(lc, 1) * max(lt, 1)), 1.0)) / math.log(max(base, 1.0) + 1.0)
+
+    for _ in range(60):
+        top = H.tree(random_page(rng))
+        order = H._measure(top)
+        body = counted(top, False)
+        sums = []
+        for node in order:
+            above, here = False, node.parent
+            while here is not None:
+                above, here = above or here.tag == "a", here.parent
+            assert math.isclose(node.density, density(node, above, body))
+            linked = above or node.tag == "a"
+            total = sum(density(p, linked, body) for p in node.parts if not isinstance(p, str))
+            assert math.isclose(node.total, total)
+            sums.append(total)
+        assert math.isclose(H._core(top).total, max(sums))
