@@ -6,16 +6,21 @@ only at ignored places have the same hash.  The masks below hit every stretch of
 test goes through all cases).  Hits of a document and an item on the same diagonal are
 verified word by word: a document is contaminated where such a stretch lies in it.
 Items of under ``STRETCH`` words must occur whole, with one substitution from nine words
-on; items of under ``LEAST`` words name nothing and are left out.
+on; items of under ``LEAST`` words must be a document's whole text; a single word names
+nothing.
 
 Words are compared without case and outer punctuation.
 
 The benchmark's hashes are sent to all tasks only while there are at most ``SENT`` of
 them, counted first; documents are then judged in one pass without a shuffle.  Beyond
 that, hashes of documents and items meet in a join and the verified pairs come back.
+Both ways judge rows, not ids, and give the same results.
 
-Defined cases: null or empty texts have no words and are clean; null ids stay null;
-repeated items count as one each; an empty benchmark leaves everything clean.
+Defined cases: null or empty texts have no words and are clean; null ids stay null; of
+rows that share an id ``clean`` drops the contaminated ones alone and ``leaks`` gives
+their best overlap; repeated items count as one each; an empty benchmark leaves
+everything clean and an empty table stays empty; long texts are searched whole; columns
+beside those read are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.llm.common import fresh, let_workers_import
 from folium.llm.word_codes import WordCodes
+from folium.session import stored
 
 STRETCH, CHANGED = 13, 2
 LEAST = 5
@@ -69,7 +76,14 @@ def allowed(n: int) -> int:
 
 
 def item_masks(n: int) -> tuple[str, ...]:
-    return MASKS if n >= STRETCH else (SHORT_MASK,) if n >= LEAST else ()
+    if n >= LEAST:
+        return MASKS if n >= STRETCH else (SHORT_MASK,)
+    return ("1" * n,) if n > 1 else ()
+
+
+def text_masks(n: int) -> tuple[str, ...]:
+    """The masks that meet those of any item that a text of n words may hold."""
+    return (*MASKS, SHORT_MASK) if n >= LEAST else item_masks(n)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -78,6 +92,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     None unless some stretch of the item has no more substitutions than allowed.
     """
     n = len(item)
+    if n < LEAST and len(doc) != n:
+        return None
     first, last = max(0, -shift), min(n, len(doc) - shift)
     length = min(n, STRETCH)
     if last - first < length:
@@ -95,6 +111,22 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     return int((same & covered).sum()), int(places[0] + first + shift), int(covered.sum())
 
 
+def _rank(got: tuple[int, int, int]) -> tuple[int, int, int]:
+    return got[0], -got[1], got[2]
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+    """The best of the overlaps on the diagonals where the two share a hash."""
+    shifts: set[int] = set()
+    for mask in item_masks(len(item)):
+        own, other = seeds(item, mask), seeds(doc, mask)
+        order = np.argsort(own, kind="stable")
+        low, high = (np.searchsorted(own[order], other, side) for side in ("left", "right"))
+        for place in np.flatnonzero(low < high):
+            shifts.update(int(place) - int(j) for j in order[low[place] : high[place]])
+    return max(filter(None, (overlap(doc, item, s) for s in shifts)), key=_rank, default=None)
+
+
 class Items:
     """A benchmark as arrays: the words of its items and the places of each hash."""
 
@@ -123,7 +155,7 @@ class Items:
         found: set[tuple[int, int]] = set()
         if not len(self.hashes):
             return found
-        for mask in (*MASKS, SHORT_MASK):
+        for mask in text_masks(len(words)):
             h = seeds(words, mask)
             at = np.flatnonzero(self.seen[h >> np.uint64(44)])
             if not len(at):
@@ -140,7 +172,7 @@ class Items:
         best: dict[int, tuple[int, int, int]] = {}
         for item, shift in self.diagonals(words):
             got = overlap(words, self.words[item], shift)
-            if got and (item not in best or (got[0], -got[1]) > (best[item][0], -best[item][1])):
+            if got and (item not in best or _rank(got) > _rank(best[item])):
                 best[item] = got
         return [(self.ids[i], *got, len(self.words[i])) for i, got in sorted(best.items())]
 
@@ -184,9 +216,11 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same pairs where the benchmark is too large to send: hashes meet in a join."""
-    shape = "{0} long, seed long, place int, n int"
+def _joined(docs: DataFrame, benchmark: DataFrame, row: str) -> DataFrame:
+    """The same pairs, with the key of the document's row, where the benchmark is too large to send.
+
+    Hashes of rows and items meet in a join; pairs that share one are verified whole.
+    """
 
     def hashed(key: str, masks_of):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,68 +229,66 @@ def _joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for row_id, text in zip(batch[key].to_pylist(), _binary(batch["text"])):
                     words = _words(codes, text)
                     for mask in masks_of(len(words)):
-                        found = np.unique(seeds(words, mask), return_index=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([row_id] * len(found[0]), pa.int64()),
-                                pa.array(found[0].astype(np.int64)),
-                                pa.array(found[1].astype(np.int32)),
-                                pa.array(np.full(len(found[0]), len(words), dtype=np.int32)),
-                            ],
-                            names=[key, "seed", "place", "n"],
-                        )
+                        found = np.unique(seeds(words, mask)).astype(np.int64)
+                        ids = pa.array(np.full(len(found), row_id, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(found)], names=[key, "seed"])
 
         return emit
 
-    train = docs.select("doc_id", "text").mapInArrow(
-        hashed("doc_id", lambda n: (*MASKS, SHORT_MASK)), shape.format("doc_id")
-    )
-    test = benchmark.select("item_id", "text").mapInArrow(hashed("item_id", item_masks), shape.format("item_id"))
-    # A pair that shares a hash is verified whole, on every diagonal of its own hits.
-    pairs = (
-        train.select("doc_id", "seed")
-        .join(test.select("item_id", "seed"), "seed")
-        .select("doc_id", "item_id")
-        .distinct()
+    items = stored(
+        benchmark.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id())
     )
-    # Null-safe, so a row without an id is judged as well.
-    texts = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("doc_text"))
-    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("item_text"))
-    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).join(
-        items, F.col("item_id").eqNullSafe(F.col("i"))
+    texts = docs.select(F.col(row).alias("row"), "doc_id", "text")
+    train = texts.select("row", "text").mapInArrow(hashed("row", text_masks), "row long, seed long")
+    test = items.select("item", "text").mapInArrow(hashed("item", item_masks), "item long, seed long")
+    pairs = train.join(test, "seed").select("row", "item").distinct()
+    both = pairs.join(texts.withColumnRenamed("text", "doc_text"), "row").join(
+        items.withColumnRenamed("text", "item_text"), "item"
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _codes()
         for batch in batches:
-            rows = []
-            for doc_id, item_id, doc, item in zip(
-                batch["doc_id"].to_pylist(),
-                batch["item_id"].to_pylist(),
-                _binary(batch["doc_text"]),
-                _binary(batch["item_text"]),
-            ):
-                rows += [(doc_id, *leak) for leak in Items([(item_id, item)]).leaks(_words(codes, doc))]
-            yield _pairs(rows)
-
-    return both.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(verify, PAIRS)
+            rows, keys = [], []
+            columns = (batch[c].to_pylist() for c in ("row", "doc_id", "item_id"))
+            for key, doc_id, item_id, doc, item in zip(*columns, _binary(batch["doc_text"]), _binary(batch["item_text"])):
+                words = _words(codes, item)
+                got = best_overlap(_words(codes, doc), words)
+                if got:
+                    rows.append((doc_id, item_id, *got, len(words)))
+                    keys.append(key)
+            found = _pairs(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), *found.columns], names=["row", *found.schema.names]
+            )
+
+    wanted = both.select("row", "doc_id", "item_id", "doc_text", "item_text")
+    return wanted.mapInArrow(verify, f"row long, {PAIRS}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item, with the best overlap."""
-    found = (_one_pass if _fits(benchmark) else _joined)(docs, benchmark)
+    let_workers_import(docs.sparkSession)
+    if _fits(benchmark):
+        found = _one_pass(docs, benchmark)
+    else:
+        rows = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+        found = _joined(rows, benchmark, "row").drop("row")
     best = F.max_by(
         F.struct("matched_words", "first_word", "stretch_words", "item_words"),
-        F.struct("matched_words", -F.col("first_word")),
+        F.struct("matched_words", -F.col("first_word"), "stretch_words", "item_words"),
     )
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any overlap, with the columns they came with."""
+    let_workers_import(docs.sparkSession)
     if not _fits(benchmark):
-        found = _joined(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
-        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaking_id")), "left_anti")
+        row = fresh(docs, "_row")
+        rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = _joined(rows, benchmark, row).select(F.col("row").alias(row)).distinct()
+        return rows.join(found, row, "left_anti").select(*docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(_sent(benchmark))
     at = docs.columns.index("text")
 
