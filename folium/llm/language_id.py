@@ -6,8 +6,9 @@ to length one.  A linear support vector machine for each pair of families votes
 family; machines for each pair of that family's languages then vote on the language.
 Ties go to the larger sum of margins, then to the smaller name.
 
-The machines are fitted on at most about ``LEARN`` documents, taken by a hash of their
-ids; everything else covers all documents in one pass without a shuffle.  Weights are
+The machines are fitted on at most about ``LEARN`` documents, or ``LEAST`` a language if
+there are many languages, an equal number of each, taken by a hash of their ids; a
+language with no more documents than that is learned from all of them; everything else covers all documents in one pass without a shuffle.  Weights are
 ``SIZE`` numbers a pair, whatever the input.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with one
@@ -33,6 +34,8 @@ from folium.session import stored
 
 #: Documents that the machines learn from, at most about.
 LEARN = 8_000
+#: Documents of each language, at least, however many languages there are.
+LEAST = 200
 FOLDS, HELD_OUT = 5, 0
 SIZE = 2048
 
@@ -72,8 +75,13 @@ def features(text: str) -> np.ndarray:
 def learning(docs: DataFrame) -> DataFrame:
     """lang, family, features of the documents to learn from; the held-out fold isn't among them."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
-    share = min(1.0, LEARN / max(known.count(), 1))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # One row a language; the number of machines grows with the square of that anyway.
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    each = max(LEARN / max(len(sizes), 1), LEAST)
+    draws = 1 << 40
+    limits = [F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(draws * min(1.0, each / n)))]
+    limit = F.create_map(*limits)[F.col("lang")] if limits else F.lit(0)
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(draws)) < limit)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

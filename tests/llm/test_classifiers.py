@@ -64,3 +64,14 @@ def test_language_of_odd_rows(spark):
     assert only["lang_pred"] == "de"
     none = language_id.predicted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LEARN", 60)
+    monkeypatch.setattr(language_id, "LEAST", 20)
+    docs = documents(spark, [f"the house and the tree number {i} are here" for i in range(400)] + ["talo ja puu ovat tässä nyt"] * 6)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 400, F.lit("en")).otherwise(F.lit("fi")))
+    rows = language_id.learning(docs).groupBy("lang").count().collect()
+    found = {r["lang"]: r["count"] for r in rows}
+    assert found["fi"] == docs.where("doc_id >= 400 AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").count()
+    assert 10 <= found["en"] <= 60
