@@ -31,7 +31,7 @@ b AS (
     + CASE WHEN 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words THEN 64 ELSE 0 END
     + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines THEN 128 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
-SELECT *, 'strict-2' AS policy, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b"""
+SELECT *, 'strict-3' AS policy, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 191) = 0 AS kept FROM b"""
 
 CHAT = r"""WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

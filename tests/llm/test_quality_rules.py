@@ -53,3 +53,10 @@ def test_keep_returns_the_columns_it_got(spark):
     docs = frame(spark, [(1, "x", 9, 8), (None, " ".join(map(str, range(100, 140))), 9, 8)], "doc_id long, text string, failed_bits int, _bits int")
     kept = Q.keep(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.select("doc_id", "_bits").collect()] == [(None, 8)]
+
+
+def test_scripts_without_spaces_stay(spark):
+    text = " ".join(chr(0x4E00 + i) * 2 + "".join(chr(0x5000 + 31 * i + k) for k in range(40)) for i in range(12))
+    docs = frame(spark, [(1, text)], "doc_id long, text string")
+    assert Q.keep(docs).count() == 1
+    assert Q.keep(docs, "strict-2").count() == 0
