@@ -54,26 +54,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
-def _url() -> str:
-    alphabet = "abcdefghijklmnopqrstuvwxyz0.-/_"
-    levels, size = [], 1
-    for k in range(4):
-        below = "" if k == 0 else f"JOIN p{k - 1} b ON b.cell = g.cell % {size}"
-        low = lambda x: "1.0::DOUBLE / 32" if k == 0 else f"b.{x}"  # noqa: B023, E731
+def _url(context: int) -> str:
+    levels = []
+    for k in range(context + 1):
+        below = "" if k == 0 else f"JOIN p{k - 1} b ON b.gram = right(s.gram, {k})"
+        low = lambda x: "(1.0::DOUBLE / (SELECT count(*) FROM s0))" if k == 0 else f"b.{x}"  # noqa: B023, E731
         p = lambda x: (
-            f"CASE WHEN c.all_{x} > 0 THEN (coalesce(s.n_{x}, 0) + c.kinds_{x} * {low(x)})"
+            f"CASE WHEN c.all_{x} > 0 THEN (s.n_{x} + c.kinds_{x} * {low(x)})"
             f" / (c.all_{x} + c.kinds_{x})::DOUBLE ELSE {low(x)} END AS {x}"
         )
         levels.append(
-            f"""s{k} AS (SELECT cell % {size * 32} AS cell, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b
-  FROM counts GROUP BY 1),
-c{k} AS (SELECT cell // 32 AS context, sum(n_a)::BIGINT AS all_a, sum(n_b)::BIGINT AS all_b,
+            f"""s{k} AS MATERIALIZED (SELECT right(gram, {k + 1}) AS gram, sum(n_a)::BIGINT AS n_a,
+  sum(n_b)::BIGINT AS n_b FROM counts GROUP BY 1),
+c{k} AS (SELECT left(gram, {k}) AS context, sum(n_a)::BIGINT AS all_a, sum(n_b)::BIGINT AS all_b,
   count_if(n_a > 0)::BIGINT AS kinds_a, count_if(n_b > 0)::BIGINT AS kinds_b FROM s{k} GROUP BY 1),
-p{k} AS MATERIALIZED (SELECT g.cell, {p("a")}, {p("b")}
-  FROM (SELECT range AS cell FROM range({size * 32})) g LEFT JOIN s{k} s ON s.cell = g.cell
-  LEFT JOIN c{k} c ON c.context = g.cell // 32 {below})"""
+p{k} AS MATERIALIZED (SELECT s.gram, {p("a")}, {p("b")}
+  FROM s{k} s JOIN c{k} c ON c.context = left(s.gram, {k}) {below})"""
         )
-        size *= 32
     fits = lambda rule: (
         f"(host = '{rule.split('/')[0]}' OR ends_with(host, '.{rule.split('/')[0]}'))"
         f" AND starts_with(path, '/{rule.split('/', 1)[1]}')"
@@ -87,36 +84,30 @@ p{k} AS MATERIALIZED (SELECT g.cell, {p("a")}, {p("b")}
     }
     return (
         rf"""WITH raw AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS r
   FROM pages),
 ruled AS (
   SELECT *, CASE {" ".join(f"WHEN {fits(r)} THEN '{r}'" for r in rules)} END AS rule,
-    substr(md5(host || path), 1, 1) IN ('0', '1', '2') AS held
+    substr(md5(url), 1, 1) IN ('0', '1', '2') AS held
   FROM raw),
-u AS (
-  SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in rules.items())} END AS ruled,
-    regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^a-z0./_-]', '_', 'g') AS s
-  FROM ruled),
-code AS (
-  SELECT r, ruled, held, i, instr('{alphabet}', s[i]) AS x FROM (
-    SELECT r, ruled, held, s, unnest(range(1, length(s) + 1)) AS i FROM u)),
-win AS (
-  SELECT r, ruled, held,
-    ((coalesce(lag(x, 3) OVER w, 0) * 32 + coalesce(lag(x, 2) OVER w, 0)) * 32 + coalesce(lag(x) OVER w, 0)) * 32 + x
-      AS cell
-  FROM code WINDOW w AS (PARTITION BY r ORDER BY i)),
-counts AS (
-  SELECT cell, count_if(ruled = 'allow')::BIGINT AS n_a, count_if(ruled = 'block')::BIGINT AS n_b
-  FROM win WHERE ruled IS NOT NULL AND NOT held GROUP BY 1),
+u AS MATERIALIZED (
+  SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in rules.items())} END AS ruled FROM ruled),
+win AS MATERIALIZED (
+  SELECT r, ruled, held, substr(repeat(chr(1), {context}) || url, i, {context + 1}) AS gram FROM (
+    SELECT r, ruled, held, url, unnest(range(1, length(url) + 1)) AS i FROM u)),
+counts AS MATERIALIZED (
+  SELECT gram, count(*) FILTER (WHERE ruled = 'allow' AND NOT held)::BIGINT AS n_a,
+    count(*) FILTER (WHERE ruled = 'block' AND NOT held)::BIGINT AS n_b
+  FROM win GROUP BY 1),
 """
         + ",\n".join(levels)
-        + """,
-ratio AS (SELECT cell, round(ln(a / b) * 1e6)::INT AS ratio FROM p3),
+        + f""",
+ratio AS (SELECT gram, round(ln(a / b) * 1e6)::BIGINT AS ratio FROM p{context}),
 scored AS (
-  SELECT r, greatest(least(floor(sum(ratio)::DOUBLE / count(*) / 10000), 1000), -1000)::INT AS score_bin
-  FROM win JOIN ratio USING (cell) GROUP BY r),
+  SELECT r, floor(sum(ratio)::DOUBLE / count(*) / 10000)::BIGINT AS score_bin
+  FROM win JOIN ratio USING (gram) GROUP BY r),
 judged AS (SELECT u.*, coalesce(score_bin, 0) AS score_bin FROM u LEFT JOIN scored USING (r)),
 bins AS (
   SELECT score_bin, count_if(ruled = 'allow') AS good, count_if(ruled = 'block') AS bad
@@ -126,15 +117,15 @@ risk AS (
     - coalesce(sum(bad) OVER w, 0) * (SELECT sum(good) FROM bins) AS risk
   FROM bins WINDOW w AS (ORDER BY score_bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (
-  SELECT ceil(min_by(score_bin + before, score_bin) / 2.0)::INT AS cut FROM risk
+  SELECT ceil(min_by(score_bin + before, score_bin) / 2.0)::BIGINT AS cut FROM risk
   WHERE risk = (SELECT min(risk) FROM risk) AND (SELECT sum(good) > 0 AND sum(bad) > 0 FROM bins))
 SELECT page_id, host, path, rule, score_bin,
-  coalesce(ruled, CASE WHEN score_bin < coalesce((SELECT cut FROM cut), -1000) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(ruled, CASE WHEN score_bin < (SELECT cut FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged"""
     )
 
 
-URL = _url()
+URL = _url(6)
 
 NEAR = r"""WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(

@@ -1,19 +1,28 @@
 """URL filter: rules first, then the ratio of two character language models.
 
 Urls that a rule judges train two smoothed variable-order Markov models, one of
-accepted and one of rejected urls.  A model interpolates all context lengths up to
-``CONTEXT`` characters (Witten-Bell: the less varied a context, the more it weighs; an
-unseen context falls back to the next shorter one).  A url's score is the difference of
-its log-likelihoods divided by its length.  The threshold is calibrated on rule-judged
-urls held out of the counts: the cut with the least sum of both error rates.
-
-The alphabet has 32 symbols, so the table of log ratios has exactly 32^4 cells whatever
-the input: it is a value of proven size that every task may hold.  The counts behind it
-cover every rule-judged url.  Ratios are whole micro-units, so sums don't depend on the
-order of adding.  Scoring is one expression a row: no join and no shuffle.
-
-Defined cases: null urls and urls without ``://`` have an empty host and path, no rule,
-score 0.  Without held-out urls of both kinds everything unruled is allowed.
+accepted and one of rejected urls, over the characters of the whole url as it stands.
+A model interpolates all context lengths up to ``CONTEXT`` characters (Witten-Bell: the
+less varied a context, the more it weighs; an unseen context falls back to the next
+shorter one; below all stands an equal share for each character that occurs in urls).
+A url's score is the difference of its log-likelihoods divided by its length.  The
+threshold is calibrated on rule-judged urls held out of the counts: the cut with the
+least sum of both error rates.
+
+The model is a table with a row for each different stretch of ``CONTEXT`` + 1 characters,
+so it grows with the urls.  Every url is cut into such stretches, which meet their ratios
+in a join and are summed per url.  Stretches that make up 1 in ``COMMON`` or more of all
+are at most ``COMMON`` rows, whatever the input: those are sent to the tasks, so frequent
+hosts and schemes are summed without a shuffle; all others are joined by shuffle.  Which
+way a stretch takes changes no result.  Ratios are whole micro-units, so sums don't
+depend on the order of adding.
+
+Defined cases: null and empty urls score 0; null urls and urls without ``://`` have an
+empty host and path and no rule, and the latter are scored as any text.  Rows count and
+are judged each by itself, repeated or not; equal urls get equal scores.  Of equally good
+cuts the lowest is taken.  Very long urls are as many stretches as they have characters.
+Without held-out urls of both kinds everything unruled is allowed; an empty table gives
+an empty result.  Columns other than ``page_id`` and ``url`` aren't read.
 """
 
 from __future__ import annotations
@@ -34,14 +43,14 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Symbols 1 to 31; 0 stands before the start; digits share one, everything else is the last.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/_"
-SYMBOLS = 32
-CONTEXT = 3
-CELLS = SYMBOLS ** (CONTEXT + 1)
-ROW = 1024
-#: Micro-units of log-likelihood a character in a bin of the calibration, and the last bin.
-BIN, LAST_BIN = 10_000, 1_000
+#: Characters of context, and the mark that stands for those before the start.
+CONTEXT = 6
+START = "\x01"
+#: A stretch that is 1 in so many of all, or more, is common.
+COMMON = 100_000
+#: Micro-units of log-likelihood a character in a bin of the calibration.
+BIN = 10_000
+KINDS = ("allow", "block")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,123 +74,121 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
+    """The pages with host, path, rule and its verdict, and a number of each row, stored."""
     host, path = host_and_path(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    return split.withColumns({"rule": rule, "ruled": verdict})
+    ruled = split.withColumns({"rule": rule, "ruled": verdict})
+    return stored(ruled.withColumn("row", F.monotonically_increasing_id()))
 
 
-def windows(host: Column, path: Column) -> Column:
-    """For each character its code and those of the three before it, as one number."""
-    plain = F.translate(F.lower(F.concat(host, path)), "123456789", "000000000")
-    plain = F.regexp_replace(plain, f"[^{ALPHABET[:-2].replace('-', '')}/_-]", "_")
-    codes = F.transform(F.array_remove(F.split(plain, ""), ""), lambda c: F.instr(F.lit(ALPHABET), c))
+def stretches(url: Column) -> Column:
+    """For each character of the url, it and the ``CONTEXT`` characters before it."""
+    characters = F.array_remove(F.split(F.coalesce(url, F.lit("")), ""), "")
 
     def placed(s: Column) -> Column:
-        def window(code: Column, i: Column) -> Column:
-            number = F.lit(0)
-            for back in range(CONTEXT, 0, -1):
-                number = (number + F.coalesce(F.get(s, i - back), F.lit(0))) * SYMBOLS
-            return number + code
+        def stretch(c: Column, i: Column) -> Column:
+            before = [F.coalesce(F.get(s, i - back), F.lit(START)) for back in range(CONTEXT, 0, -1)]
+            return F.concat(*before, c)
 
-        return F.transform(s, window)
+        return F.transform(s, stretch)
 
-    return let(codes, placed)
+    return let(characters, placed)
 
 
-def held_out(host: Column, path: Column) -> Column:
-    """A fixed 3 of 16 of the different addresses."""
-    return F.substring(F.md5(F.concat(host, path)), 1, 1).isin("0", "1", "2")
+def held_out(url: Column) -> Column:
+    """A fixed 3 of 16 of the different urls."""
+    return F.substring(F.md5(url), 1, 1).isin("0", "1", "2")
 
 
 def counts(urls: DataFrame) -> DataFrame:
-    """How often each window occurs in accepted and in rejected urls, at most CELLS rows."""
-    learn = urls.where(F.col("ruled").isNotNull() & ~held_out(F.col("host"), F.col("path")))
+    """gram, n and how often it stands in accepted and in rejected urls to learn from."""
+    kind = F.when(~held_out(F.col("url")), F.col("ruled"))
     return (
-        learn.select("ruled", F.explode(windows(F.col("host"), F.col("path"))).alias("cell"))
-        .groupBy("cell")
-        .agg(
-            F.count_if(F.col("ruled") == "allow").alias("n_allow"),
-            F.count_if(F.col("ruled") == "block").alias("n_block"),
-        )
+        urls.select(kind.alias("kind"), F.explode(stretches(F.col("url"))).alias("gram"))
+        .groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS))
     )
 
 
-def log_ratios(windows_seen: DataFrame) -> DataFrame:
-    """cell, ratio: micro-units of log P(accepted) - log P(rejected), for every cell."""
-    spark = windows_seen.sparkSession
+def all_orders(seen: DataFrame) -> DataFrame:
+    """Every ending of a stretch with its counts and those of its context.
+
+    The window is as long as there are characters that follow one context.
+    """
+    endings = F.array(*(F.substring("gram", CONTEXT + 1 - order, order + 1) for order in range(CONTEXT + 1)))
+    counted = (
+        seen.select(F.explode(endings).alias("gram"), "n", *(f"n_{k}" for k in KINDS))
+        .groupBy("gram")
+        .agg(F.sum("n").alias("n"), *(F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS))
+        .withColumn("order", F.length("gram") - 1)
+        .withColumn("context", F.left(F.col("gram"), F.col("order")))
+    )
+    same = Window.partitionBy("context")
+    return counted.select(
+        "gram",
+        "order",
+        "n",
+        *(f"n_{k}" for k in KINDS),
+        *(F.sum(f"n_{k}").over(same).alias(f"all_{k}") for k in KINDS),
+        *(F.count_if(F.col(f"n_{k}") > 0).over(same).alias(f"kinds_{k}") for k in KINDS),
+    )
+
+
+def log_ratios(grams: DataFrame) -> DataFrame:
+    """gram, n, ratio: micro-units of log P(accepted) - log P(rejected), for every whole stretch."""
+    characters = grams.where("order = 0").agg(F.count(F.lit(1))).scalar()
     below = None
     for order in range(CONTEXT + 1):
-        size = SYMBOLS**order
-        seen = windows_seen.groupBy((F.col("cell") % (size * SYMBOLS)).alias("cell")).agg(
-            F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")
-        )
-        contexts = seen.groupBy(F.floor(F.col("cell") / SYMBOLS).alias("context")).agg(
-            *(F.sum(f"n_{k}").alias(f"all_{k}") for k in ("allow", "block")),
-            *(F.count_if(F.col(f"n_{k}") > 0).alias(f"kinds_{k}") for k in ("allow", "block")),
-        )
-        grid = spark.range(size * SYMBOLS).select(
-            F.col("id").alias("cell"),
-            F.floor(F.col("id") / SYMBOLS).alias("context"),
-            (F.col("id") % size).alias("shorter"),
-        )
-        filled = grid.join(seen, "cell", "left").join(contexts, "context", "left")
+        here = grams.where(F.col("order") == order)
         if below is None:
-            filled = filled.withColumns({f"below_{k}": F.lit(1.0 / SYMBOLS) for k in ("allow", "block")})
+            here = here.withColumns({f"below_{k}": 1.0 / characters for k in KINDS})
         else:
-            filled = filled.join(below.withColumnRenamed("cell", "shorter"), "shorter")
-        smoothed = {
-            k: F.when(
+            shorter = here.withColumn("shorter", F.substring("gram", 2, order))
+            here = shorter.join(below.drop("n").withColumnRenamed("gram", "shorter"), "shorter")
+        smoothed = (
+            F.when(
                 F.col(f"all_{k}") > 0,
-                (F.coalesce(f"n_{k}", F.lit(0)) + F.col(f"kinds_{k}") * F.col(f"below_{k}"))
+                (F.col(f"n_{k}") + F.col(f"kinds_{k}") * F.col(f"below_{k}"))
                 / (F.col(f"all_{k}") + F.col(f"kinds_{k}")),
-            ).otherwise(F.col(f"below_{k}"))
-            for k in ("allow", "block")
-        }
-        below = filled.select("cell", *(p.alias(f"below_{k}") for k, p in smoothed.items()))
+            )
+            .otherwise(F.col(f"below_{k}"))
+            .alias(f"below_{k}")
+            for k in KINDS
+        )
+        below = here.select("gram", "n", *smoothed)
     ratio = F.round(F.log(F.col("below_allow") / F.col("below_block")) * 1e6)
-    return below.select("cell", ratio.cast("int").alias("ratio"))
-
-
-def table(ratios: DataFrame) -> DataFrame:
-    """All ratios as one row: an array of CELLS / ROW arrays."""
-    ordered = lambda key, value: F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]
-    )
-    rows = ratios.groupBy(F.floor(F.col("cell") / ROW).alias("row")).agg(ordered("cell", "ratio").alias("cells"))
-    return rows.agg(ordered("row", "cells").alias("cells"))
+    return below.select("gram", "n", ratio.cast("long").alias("ratio"))
 
 
 def train(urls: DataFrame) -> DataFrame:
-    """The stored model: one row of fixed size."""
-    return stored(table(log_ratios(stored(counts(urls)))))
+    """The stored model: gram, n, ratio."""
+    return stored(log_ratios(stored(all_orders(counts(urls)))))
 
 
-def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
+def scored(urls: DataFrame, model: DataFrame, common: int = COMMON) -> DataFrame:
     """The urls with score_bin: log-likelihood difference a character, in bins of the calibration."""
-    cells = F.col("model_cells")
-
-    def mean(places: Column) -> Column:
-        total = F.aggregate(
-            F.transform(places, lambda w: F.get(F.get(cells, (w / ROW).cast("int")), w % ROW).cast("long")),
-            F.lit(0).cast("long"),
-            lambda a, x: a + x,
-        )
-        return F.when(F.size(places) == 0, F.lit(0.0)).otherwise(total / F.size(places))
-
-    raw = F.floor(let(windows(F.col("host"), F.col("path")), mean) / BIN)
-    bounded = F.greatest(F.least(raw, F.lit(LAST_BIN)), F.lit(-LAST_BIN)).cast("int")
-    held = urls.withColumn("model_cells", model.select("cells").scalar())
-    return held.withColumn("score_bin", bounded).drop("model_cells")
+    often = F.col("n") * common >= model.agg(F.sum("n")).scalar()
+    frequent, rare = (model.where(kept).select("gram", "ratio") for kept in (often, ~often))
+    places = urls.select("row", F.explode(stretches(F.col("url"))).alias("gram"))
+    near = places.join(F.broadcast(frequent), "gram")
+    far = places.join(F.broadcast(frequent.select("gram")), "gram", "left_anti").join(rare, "gram")
+    sums = (
+        near.unionByName(far)
+        .groupBy("row")
+        .agg(F.floor(F.sum("ratio") / F.count(F.lit(1)) / BIN).alias("score_bin"))
+    )
+    return urls.join(sums, "row", "left").withColumn("score_bin", F.coalesce("score_bin", F.lit(0).cast("long")))
 
 
-def threshold(urls: DataFrame, model: DataFrame) -> DataFrame:
+def threshold(judged: DataFrame) -> DataFrame:
     """One row: the lowest bin that is allowed.
 
-    The window runs over the histogram, of at most 2 * LAST_BIN + 1 rows.
+    The windows run over the histogram of scores a character: a ratio is at most the
+    logarithm of the number of characters once an order, so some thousands of bins.
     """
-    known = urls.where(F.col("ruled").isNotNull() & held_out(F.col("host"), F.col("path")))
-    bins = scored(known, model).groupBy(F.col("score_bin").alias("cut")).agg(
+    known = judged.where(F.col("ruled").isNotNull() & held_out(F.col("url")))
+    bins = known.groupBy(F.col("score_bin").alias("cut")).agg(
         F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")
     )
     lower = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,16 +203,16 @@ def threshold(urls: DataFrame, model: DataFrame) -> DataFrame:
         bins.select("cut", before.alias("before"), risk.alias("risk"), both.alias("both"))
         .where("both")
         .agg(F.min(F.struct("risk", "cut", "before")).alias("best"))
-        .select(F.ceil((F.col("best.cut") + F.col("best.before")) / 2).cast("int").alias("cut"))
+        .select(F.ceil((F.col("best.cut") + F.col("best.before")) / 2).alias("cut"))
     )
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, score_bin, verdict of every page."""
     urls = parsed(pages)
-    model = train(urls)
-    cut = stored(threshold(urls, model)).select("cut").scalar()
-    by_model = F.when(F.col("score_bin") < F.coalesce(cut, F.lit(-LAST_BIN)), "block").otherwise("allow")
-    return scored(urls, model).select(
+    judged = stored(scored(urls, train(urls)))
+    cut = stored(threshold(judged)).select("cut").scalar()
+    by_model = F.when(F.col("score_bin") < cut, "block").otherwise("allow")
+    return judged.select(
         "page_id", "host", "path", "rule", "score_bin", F.coalesce("ruled", by_model).alias("verdict")
     )
