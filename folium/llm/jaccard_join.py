@@ -18,8 +18,9 @@ within ``1 - 0.8`` without comparing all pairs:
     the distance are linked.  The rest, and those linked ones whose distance is within the
     window of the rest, form the next, smaller region, whose pivots are the document
     nearest to the last one and one of the rest; and so on recursively.  Documents that
-    are already connected need no further comparison.  The smallest regions, and any left
-    after the last round, are compared pair by pair within the windows.
+    are already connected need no further comparison.  Where all but a few documents of a
+    region are of one class, those few meet all others of the region at once, within the
+    windows; so do, after the last round, the documents of any region that is left.
 5.  Connected components over the links give each document's class.
 
 The first pass (step 2 on the quarter of the hashes that sort first) sheds most
@@ -51,8 +52,10 @@ from folium.session import stored
 SHINGLE = 5
 #: Hashes are 63 bits; those below this bound stand first and are shuffled in the first pass.
 FIRST = 1 << 61
-#: Regions of at most so many documents are compared pair by pair.
-SMALL = 4
+#: Documents outside a region's largest class, up to so many, meet the whole region at once.
+FEW = 64
+#: Documents of a region that meet those few in one task.
+SLICE = 1024
 #: Rounds of inner pivots, before the remaining pairs of a region are compared directly.
 ROUNDS = 12
 #: Ids that may be sent to all tasks; more are joined by a shuffle.
@@ -320,21 +323,29 @@ def _classes(sets: DataFrame) -> DataFrame:
     for turn in range(ROUNDS + 1):
         # The document nearest to the last pivot lies towards the middle of its neighbours;
         # the smallest of those not linked to it opens up the rest.
-        nearest = F.min("rep") if turn == 0 else F.max_by("rep", F.struct(share, -F.col("rep")))
-        rest = F.lit(None).cast("long") if turn == 0 else F.min(F.when(~F.expr(LINKED), F.col("rep")))
-        regions = members.groupBy("region").agg(
-            F.count("*").alias("docs"),
-            F.min("class").alias("low"),
-            F.max("class").alias("high"),
-            nearest.alias("pivot"),
-            rest.alias("other"),
+        near = F.lit(0.0) if turn == 0 else share
+        rest = F.lit(None).cast("long") if turn == 0 else F.when(~F.expr(LINKED), F.col("rep"))
+        # By class first, so that a region's documents are counted before they meet.
+        still = (
+            members.groupBy("region", "class")
+            .agg(F.count("*").alias("docs"), F.max(F.struct(near, -F.col("rep"))).alias("near"), F.min(rest).alias("other"))
+            .groupBy("region")
+            .agg(
+                F.sum("docs").alias("docs"),
+                F.max("docs").alias("most"),
+                F.max_by("class", F.struct(F.col("docs"), -F.col("class"))).alias("top"),
+                F.max("near").alias("near"),
+                F.min("other").alias("other"),
+            )
+            .where("docs > most")
+            .withColumn("pivot", -F.col("near.col2"))
+            .drop("near")
         )
-        still = regions.where("low < high").drop("low", "high")
         now = f"{folder}/{turn}"
         active = written(members.join(still, "region"), f"{now}/active")
         if active.isEmpty():
             break
-        by_pivot = F.lit(True) if turn == 0 else (F.col("docs") > SMALL) & F.lit(turn < ROUNDS)
+        by_pivot = F.lit(True) if turn == 0 else (F.col("docs") - F.col("most") > FEW) & F.lit(turn < ROUNDS)
         stars = active.where(by_pivot)
         pairs = stars.select(F.explode(F.array("pivot", "other")).alias("a"), F.col("rep").alias("b"))
         starred = written(_close(pairs.where("a <> b"), sets, f"{now}/stars"), f"{now}/starred")
@@ -342,6 +353,8 @@ def _classes(sets: DataFrame) -> DataFrame:
         if turn:
             found = found.unionByName(_direct(active.where(~by_pivot), sets, f"{now}/direct"))
         links = written(links.unionByName(found).distinct(), f"{folder}/links{turn}")
+        if stars.isEmpty():
+            break
         # The next region: what isn't linked to the pivot, and what is and may link to that.
         seen = (
             stars.where((F.col("rep") != F.col("pivot")) & ~F.col("rep").eqNullSafe(F.col("other")))
@@ -360,19 +373,40 @@ def _classes(sets: DataFrame) -> DataFrame:
 
 
 def _direct(members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """Links between documents of a region that are in different classes."""
-    share = (F.col("common") / F.col("united")).alias("sa")
-    left = members.select("region", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), share)
-    right = left.withColumnsRenamed({"a": "b", "na": "nb", "ca": "cb", "sa": "sb"})
+    """Links of documents outside their region's largest class with those of other classes.
+
+    A region's documents are dealt over slices, each of which meets all that stand outside:
+    rows grow with the region's size times those few, and no task takes a whole large region.
+    """
+    share = F.col("common") / F.col("united")
+    slices = F.ceil(F.col("docs") / SLICE)
+    every = members.select(
+        "region",
+        F.pmod(F.xxhash64("rep"), slices).alias("slice"),
+        F.col("rep").alias("b"),
+        F.col("n").alias("nb"),
+        F.col("class").alias("cb"),
+        share.alias("sb"),
+    )
+    outside = members.where(F.col("class") != F.col("top")).select(
+        "region",
+        F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"),
+        F.col("rep").alias("a"),
+        F.col("n").alias("na"),
+        F.col("class").alias("ca"),
+        share.alias("sa"),
+        "top",
+    )
     fits = (
-        (F.col("a") < F.col("b"))
-        & (F.col("ca") != F.col("cb"))
+        (F.col("ca") != F.col("cb"))
+        # Two that stand outside meet once.
+        & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b")))
         & (5 * F.col("na") >= 4 * F.col("nb"))
         & (5 * F.col("nb") >= 4 * F.col("na"))
         # Distances of linked documents to the last pivot differ by the join's own at most.
         & (F.abs(F.col("sa") - F.col("sb")) <= MARGIN)
     )
-    pairs = left.join(right, "region").where(fits).select("a", "b")
+    pairs = outside.join(every, ["region", "slice"]).where(fits).select("a", "b")
     return _close(pairs, sets, folder).where(LINKED).select("a", "b")
 
 

@@ -54,9 +54,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("small, rounds", [(4, 12), (0, 2), (16, 1)])
-def test_equals_brute_force(spark, monkeypatch, seed, small, rounds):
-    monkeypatch.setattr(J, "SMALL", small)
+@pytest.mark.parametrize("few, rounds, slices", [(64, 12, 1024), (0, 2, 3), (3, 12, 2), (16, 1, 1024)])
+def test_equals_brute_force(spark, monkeypatch, seed, few, rounds, slices):
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "SLICE", slices)
     monkeypatch.setattr(J, "ROUNDS", rounds)
     texts = corpus(seed)
     want = brute(list(enumerate(texts)))
