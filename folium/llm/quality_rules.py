@@ -11,7 +11,8 @@ read whole; an empty table gives an empty ledger; ``keep`` returns the columns i
 whatever their names.
 
 The rule on word length counts what white space parts, so it rejects clean text of scripts
-that part words otherwise; the applied policy has left it out since ``strict-3``.
+that part words otherwise.  ``strict-3`` left it out, and let texts of single letters pass;
+``strict-4`` applies it with the characters of such scripts left out of the upper bound.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ from folium.llm.common import fresh, let, words
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
+#: Scripts that don't part words by spaces: Thai to Tibetan, Burmese, Khmer, Chinese, Japanese.
+#: The one wide range comes first, so most characters meet no other.
+UNSPACED = (
+    r"[\x{0E00}-\x{3FFFF}&&[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{312F}\x{3190}-\x{9FFF}"
+    r"\x{F900}-\x{FAFF}\x{FF01}-\x{FF9F}\x{20000}-\x{3FFFF}]]"
+)
 #: Bits that hold a window's place while windows are sorted; longer texts sort pairs instead.
 PLACE = (1 << 21) - 1
 
@@ -36,6 +43,7 @@ RULES = (
     "stuttering",  # bit 5: over 25 % of the words equal the word before
     "word_length",  # bit 6: mean word length outside 1.5 to 25 characters
     "duplicate_lines",  # bit 7: over 60 % of at least 10 lines equal an earlier one
+    "spaced_word_length",  # bit 8: as bit 6, but only characters of spaced scripts count above 25
 )
 BASE = ("few_words", "repeated_windows")
 
@@ -43,10 +51,11 @@ BASE = ("few_words", "repeated_windows")
 POLICIES = {
     "base-1": BASE,
     "strict-1": RULES[:6],
-    "strict-2": RULES,
-    "strict-3": tuple(r for r in RULES if r != "word_length"),
+    "strict-2": RULES[:8],
+    "strict-3": tuple(r for r in RULES[:8] if r != "word_length"),
+    "strict-4": tuple(r for r in RULES if r != "word_length"),
 }
-CURRENT = "strict-3"
+CURRENT = "strict-4"
 
 
 def mask(rules) -> int:
@@ -123,6 +132,7 @@ def measurements(text: Column) -> Column:
             F.regexp_count(whole, F.lit("[\\p{Lu}]")).cast("long").alias("n_capitals"),
             (F.length(whole) - F.length(F.replace(whole, F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
             F.size(repeats).cast("long").alias("n_stutters"),
+            F.regexp_count(whole, F.lit(UNSPACED)).cast("long").alias("n_unspaced"),
         )
 
     return let(words(text), of)
@@ -139,6 +149,8 @@ def failures(m: Column) -> Column:
         "stuttering": 100 * m["n_stutters"] > 25 * m["n_words"],
         "word_length": (2 * m["word_chars"] < 3 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]),
         "duplicate_lines": (m["n_lines"] >= 10) & (100 * m["n_dup_lines"] > 60 * m["n_lines"]),
+        "spaced_word_length": (2 * m["word_chars"] < 3 * m["n_words"])
+        | (m["word_chars"] - m["n_unspaced"] > 25 * m["n_words"]),
     }
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):

@@ -19,7 +19,8 @@ m AS (
     len(l)::BIGINT AS n_lines,
     length(regexp_replace(t, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_capitals,
     length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_exclamations,
-    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters,
+    length(regexp_replace(t, '[^\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{312F}\x{3190}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF01}-\x{FF9F}\x{20000}-\x{3FFFF}]', '', 'g'))::BIGINT AS n_unspaced
   FROM tok LEFT JOIN rep USING (r)),
 b AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
@@ -29,9 +30,10 @@ b AS (
     + CASE WHEN 100 * n_exclamations > 6 * word_chars THEN 16 ELSE 0 END
     + CASE WHEN 100 * n_stutters > 25 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words THEN 64 ELSE 0 END
-    + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines THEN 128 ELSE 0 END)::BIGINT AS failed_bits
+    + CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines THEN 128 ELSE 0 END
+    + CASE WHEN 2 * word_chars < 3 * n_words OR word_chars - n_unspaced > 25 * n_words THEN 256 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
-SELECT *, 'strict-3' AS policy, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 191) = 0 AS kept FROM b"""
+SELECT *, 'strict-4' AS policy, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 447) = 0 AS kept FROM b"""
 
 CHAT = r"""WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -60,3 +60,22 @@ def test_scripts_without_spaces_stay(spark):
     docs = frame(spark, [(1, text)], "doc_id long, text string")
     assert Q.keep(docs).count() == 1
     assert Q.keep(docs, "strict-2").count() == 0
+
+
+def test_word_length_is_judged_in_every_script(spark):
+    """The applied policy looks at word lengths; only characters of unspaced scripts don't count above 25."""
+    chinese = " ".join("".join(chr(0x5000 + 31 * i + k) for k in range(40)) for i in range(12))
+    texts = [
+        " ".join("abcdefghijklmnop"),  # single letters
+        " ".join(f"{i:02d}" + "x" * 40 + "y" * i for i in range(12)),  # long strings of a spaced script
+        chinese + " https://example.com/" + "z" * 60 + " 1",  # an address among sentences
+        " ".join(f"{i:02d}" + "x" * 400 + chr(0x5000 + i) for i in range(12)),  # one sign doesn't excuse them
+        " ".join(f"word{i}" for i in range(40)),
+    ]
+    book = Q.ledger(documents(spark, texts))
+    rows = Q.apply_policy(book).orderBy("doc_id").collect()
+    assert [r["kept"] for r in rows] == [False, False, True, False, True]
+    assert [r["n_unspaced"] for r in rows] == [0, 0, 480, 12, 0]
+    # Where no such sign stands, the verdict is that of all first eight rules.
+    older = Q.apply_policy(book, "strict-2").orderBy("doc_id").collect()
+    assert [r["kept"] for r in older] == [False, False, False, False, True]
