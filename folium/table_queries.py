@@ -85,6 +85,33 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+#: Bytes of a Parquet file whose rows one task may hold as keys at a time.
+SLICE_BYTES = 4_000_000
+
+
+def slices(spark: SparkSession, folder: str, table: str) -> int:
+    """Tasks to spread a table's rows over; 0 where a core's share is within a slice anyway."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    tasks = -(-size // SLICE_BYTES)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return 0
+    # With fewer than the session's own number joins would deal the rows out once more.
+    return max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def distinct_by_publication(rows: DataFrame, tasks: int) -> DataFrame:
+    """Distinct rows; in so many parts by publication, so that joins and groups by it stay in them.
+
+    Left to itself Spark makes as many tasks as there are cores, each with all its keys in
+    memory.  Repeats meet by the whole row first, so no task takes all lines of a huge
+    publication, and nothing is held before that exchange.
+    """
+    if not tasks:
+        return rows.distinct()
+    return rows.repartition(tasks, *[F.col(f"`{x}`") for x in rows.columns]).distinct().repartition(tasks, c.PUB)
+
+
 # ==========================================================================
 # Roles
 # ==========================================================================
@@ -108,7 +135,8 @@ def part_bridge(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Distinct (order, part attributes)."""
     lines = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias(c.PUB), "l_partkey")
     parts = read(spark, folder, "part").select("p_partkey", *columns)
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(c.PUB, *columns).distinct()
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(c.PUB, *columns)
+    return distinct_by_publication(rows, slices(spark, folder, "lineitem"))
 
 
 def type_bridge(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,7 +176,8 @@ SUPPLY = """supply AS (
 
 
 def order_territory(spark: SparkSession, folder: str) -> DataFrame:
-    return supply(spark, folder).withColumnRenamed("l_orderkey", c.PUB).distinct()
+    rows = supply(spark, folder).withColumnRenamed("l_orderkey", c.PUB)
+    return distinct_by_publication(rows, slices(spark, folder, "lineitem"))
 
 
 def departments(spark: SparkSession, folder: str) -> DataFrame:

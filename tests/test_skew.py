@@ -1,11 +1,13 @@
 """Operators on tables in which one category and one publication hold a third of all rows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from folium import columns as c
+from folium import table_queries as T
 from folium.operators import bridges as B
 from folium.operators import facets as X
 from folium.operators import profile as P
@@ -93,3 +95,35 @@ def test_territory(spark, rows):
     got = {r[c.DEP_KEY]: r["publicaciones_unicas"] for r in R.consolidate_territory(territory, base, mapping)[c.T_MAP].collect()}
     count = lambda key: len({p for _r, _o, p, k in rows if k == key})
     assert got == {"c0": count("c0"), "c1": count("c1"), "Otros": 0, "zz": 0}
+
+
+def test_bridges_lie_in_slices_by_publication(spark, tmp_path, monkeypatch):
+    """With more input than a slice a core, every part holds few publications, whatever the number of cores."""
+    lines = [(i % 97 if i % 3 else 0, i % 11, i % 5) for i in range(6000)] + [(None, 1, 1), (5, None, None)] * 2
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long"),
+        "part": ([(i, f"B{i % 3}", f"T{i % 7}") for i in range(11)] * 2, "p_partkey long, p_brand string, p_type string"),
+        "supplier": ([(i, i) for i in range(5)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(i, f"N{i}", i % 2) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    makers = [T.type_bridge, T.brand_bridge, T.order_territory]
+    before = [Counter(map(tuple, make(spark, folder).collect())) for make in makers]
+    counts = T.bridge_cardinality(spark, folder).orderBy("dimension").collect()
+    monkeypatch.setattr(T, "SLICE_BYTES", 100)
+    assert T.slices(spark, folder, "lineitem") > spark.sparkContext.defaultParallelism
+    for make, was in zip(makers, before):
+        bridge = make(spark, folder)
+        assert Counter(map(tuple, bridge.collect())) == was and max(was.values()) == 1
+        at = bridge.select(c.PUB, F.spark_partition_id().alias("part")).groupBy(c.PUB).agg(F.count_distinct("part").alias("parts"))
+        assert bridge.rdd.getNumPartitions() == T.slices(spark, folder, "lineitem")
+        assert at.agg(F.max("parts")).first()[0] == 1
+    assert T.bridge_cardinality(spark, folder).orderBy("dimension").collect() == counts
+    types = {(pub, f"T{part % 7}") for pub, part, _ in lines if part is not None}
+    per = Counter(pub for pub, _ in types)
+    assert tuple(counts[1]) == ("tipos", len(types), len(per), sum(n > 1 for n in per.values()), max(per.values()))
+    # Counted where the rows lie: after the two exchanges of each bridge only the sums move.
+    plan = T.bridge_cardinality(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" hashpartitioning(") == 5 and plan.count("REPARTITION_BY_NUM") == 4
