@@ -92,13 +92,15 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, top: int = 5
 
 
 def bridge_cardinality(bridges: Mapping[str, DataFrame]) -> DataFrame:
-    """Relations, publications, multi-valued publications and maximum, for all bridges in one job."""
-    rows = None
-    for name, bridge in bridges.items():
-        part = bridge.select(F.lit(name).alias("dimension"), c.PUB)
-        rows = part if rows is None else rows.unionByName(part)
-    per_publication = rows.groupBy("dimension", c.PUB).agg(F.count(F.lit(1)).alias("n"))
-    return per_publication.groupBy("dimension").agg(
+    """Relations, publications, multi-valued publications and maximum, for all bridges in one job.
+
+    Each bridge is counted by publication on its own, where its rows lie if they lie by publication.
+    """
+    counts = [
+        bridge.groupBy(c.PUB).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("dimension"), "n")
+        for name, bridge in bridges.items()
+    ]
+    return union_all(counts).groupBy("dimension").agg(
         F.sum("n").alias("relaciones"),
         F.count(F.lit(1)).alias("publicaciones"),
         F.count_if(F.col("n") > 1).alias("publicaciones_multivalor"),
