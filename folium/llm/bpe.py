@@ -7,8 +7,9 @@ looked up again.  Scanning is quadratic, so longer words use a heap over linked
 with the same order of merges.
 
 White space separates words in this vocabulary and is dropped, so a text is a sequence
-of independent chunks.  Each worker keeps the packed ids of the chunks it has met, in a
-table of bounded size that is emptied when full.
+of independent chunks.  Each task keeps the packed ids of the chunks it has met, in a
+table of bounded size that is emptied when full and when the task ends: workers live on
+idle, and their memory then is another stage's.
 
 Defined cases: a null text counts as empty and gives no ids; rows repeat as they come.
 """
@@ -20,6 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 
@@ -27,9 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folium.llm.common import sliced
+
 #: Symbols of a word that is merged by scanning.
 SHORT = 64
-#: Chunks that a worker remembers.
+#: Chunks that a task remembers.
 REMEMBERED = 400_000
 NO_RANK = 1 << 60
 #: White space of Python's split that the vocabulary's pattern doesn't count as such.
@@ -165,14 +169,24 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@contextmanager
+def remembering(path: str) -> Iterator[WordBpe]:
+    """The vocabulary, with the chunks it meets remembered until the task's rows end."""
+    bpe = vocabulary(path)
+    try:
+        yield bpe
+    finally:
+        bpe.known.clear()
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the packed ids of each text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
-        for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        with remembering(path) as bpe:
+            for batch in sliced(batches):
+                ids = [bpe.encode(t or "") for t in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
@@ -193,16 +207,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and its ids decoded again."""
 
     def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for text in batch["text"].to_pylist():
-                ids = bpe.encode(text or "")
-                n.append(len(ids) // 4)
-                of_ids.append(sha256(ids).hexdigest())
-                of_text.append(sha256(bpe.decode(ids).encode()).hexdigest())
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with remembering(path) as bpe:
+            for batch in sliced(batches):
+                n, of_ids, of_text = [], [], []
+                for text in batch["text"].to_pylist():
+                    ids = bpe.encode(text or "")
+                    n.append(len(ids) // 4)
+                    of_ids.append(sha256(ids).hexdigest())
+                    of_text.append(sha256(bpe.decode(ids).encode()).hexdigest())
+                columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(
         row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

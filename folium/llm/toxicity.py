@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.llm.common import bucket
+from folium.llm.common import bucket, sliced
 from folium.session import stored
 
 #: Labelled documents that the classifier learns from, at most about.
@@ -133,18 +133,19 @@ class Features:
         ]
 
 
-def with_features(docs: DataFrame, learned: frozenset[str], columns: list[str]) -> DataFrame:
-    """These columns of every document, and its features."""
-    text_at = len(columns)
+def with_features(docs: DataFrame, learned: frozenset[str], columns: list[str], text: str = "text") -> DataFrame:
+    """These columns of every document, and its features; the text travels once, among them or beside."""
+    sent = columns if text in columns else [*columns, text]
+    text_at = sent.index(text)
     schema = docs.select(*columns).schema.add("features", T.ArrayType(T.DoubleType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(learned)
-        for batch in batches:
+        for batch in sliced(batches):
             found = pa.array([features.of(t) for t in batch.column(text_at).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], found], names=[*columns, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], found], names=[*columns, "features"])
 
-    return docs.select(*columns, F.col("text").alias("text_read")).mapInArrow(rows, schema)
+    return docs.select(*sent).mapInArrow(rows, schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,11 +207,11 @@ class Model:
         judged = self.trees.transform(calibrates).select(raw, "label")
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(judged)
 
-    def score(self, docs: DataFrame, columns: list[str]) -> DataFrame:
-        """These columns of every document, and its score."""
+    def score(self, docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+        """These columns of every document, and the score of its text."""
         if self.trees is None:
             return docs.select(*columns, F.lit(0.0).alias("score"))
-        table = with_features(docs, self.lexicon, columns)
+        table = with_features(docs, self.lexicon, columns, text)
         table = table.withColumn("features", array_to_vector("features"))
         judged = self.trees.transform(table).withColumn("raw", vector_to_array("probability").getItem(1))
         bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score")
@@ -231,7 +232,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with the columns they came with."""
     names = {name: f"_{i}" for i, name in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in names.items()), F.col("text"))
-    scores = Model(docs, labels).score(renamed, list(names.values()))
+    text = next(y for x, y in names.items() if x.lower() == "text")
+    renamed = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in names.items()))
+    scores = Model(docs, labels).score(renamed, list(names.values()), text)
     kept = scores.where(F.col("score") < THRESHOLD)
     return kept.select(*(F.col(y).alias(x) for x, y in names.items()))

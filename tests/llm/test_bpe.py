@@ -54,3 +54,18 @@ def test_frames(spark):
     assert sorted(r["ids_sha256"] for r in rows) == want
     back = bpe.decoded(bpe.encoded(docs, PATH), PATH).where("doc_id = 7").first()["text"]
     assert back == LIBRARY.decode(LIBRARY.encode(ODD[7]).ids)
+
+
+def test_idle_workers_remember_nothing(spark):
+    """Workers outlive the task; what they remembered would be missing to the next stage."""
+    docs = documents(spark, [f"word{i} other{i}" for i in range(400)]).repartition(8)
+    assert bpe.digests(docs, PATH).where("n_tokens > 0").count() == 400
+
+    def left(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.vocabulary(PATH).known)], pa.int64())], names=["n"])
+
+    found = docs.select("doc_id").mapInArrow(left, "n long").collect()
+    assert found and all(r["n"] == 0 for r in found)

@@ -75,3 +75,18 @@ def test_a_rare_language_is_learned(spark, monkeypatch):
     found = {r["lang"]: r["count"] for r in rows}
     assert found["fi"] == docs.where("doc_id >= 400 AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").count()
     assert 10 <= found["en"] <= 60
+
+
+def test_a_text_travels_once(spark):
+    """Among the columns that stay or beside them, each worker gets a text one time, and few texts at once."""
+    docs = documents(spark, ODD).selectExpr("doc_id AS _0", "text AS _1")
+    rows = toxicity.with_features(docs, frozenset(), ["_0", "_1"], "_1")
+    assert rows.columns == ["_0", "_1", "features"]
+    beside = toxicity.with_features(documents(spark, ODD), frozenset(), ["doc_id"])
+    assert beside.columns == ["doc_id", "features"]
+    got, other = ({r[0]: r["features"] for r in x.collect()} for x in (rows, beside))
+    assert got == other and len(got) == len(ODD)
+    assert {r["_0"]: r["_1"] for r in rows.collect()} == dict(enumerate(ODD))
+    # Ids and texts go in, and nothing else.
+    sent = rows._jdf.queryExecution().analyzed().children().head().output()
+    assert sent.length() == 2
