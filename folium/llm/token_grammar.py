@@ -27,9 +27,11 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress as selected
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +44,21 @@ from folium.session import stored
 SHARD = 1 << 20
 #: A pair is replaced if it occurs at least so often.
 LEAST = 12
-#: Pairs are counted in 2^20 buckets.
-BUCKET_BITS = 20
-_ODD = np.random.default_rng(3).integers(1, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Symbols of two bytes, and of three.
 NARROW, MIDDLE = 1 << 16, 1 << 24
 REMEMBERED = 500_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space at an end, next to other white space, or other than space and line end.
+UNEVEN = (
+    r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
+    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+#: A word, with or without the space before it; marks right after it, at the end of a chunk.
+#: The library's pattern has nothing to cut in either.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD, MARKED = r"\A ?\p{L}+\z", r"\A ?\p{L}+[!-/:-@\[-`{-~]+\z"
+#: Bytes of text that are tokenized at a time, and words that the library gets at a time.
+PORTION, AT_ONCE = 4 << 20, 50
 
 
 class CachedTokenizer:
@@ -56,79 +66,128 @@ class CachedTokenizer:
 
     Its pattern never joins a character with a space that follows it, so a text may be
     cut before a single space, and around a single line end, between other characters.
-    The ids of a chunk are remembered in two generations: when the younger one is full it
-    becomes the older, and what is still in use moves over.
+    Marks after a chunk's word are cut off too.  The ids of a word, marks or other chunk are
+    remembered in two generations: when the younger one is full it becomes the older, and
+    what is still in use moves over.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        #: The same model for words that are cut and spelt in its letters already.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.letters = byte_letters()
-        self.line_end, *stops = self._library(["\n", ".", ","])
-        self.stops = dict(zip(".,", stops))
-
-    def _alone(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that is one piece of letters, or that and a comma or full stop.
-
-        The library's model takes such a piece as it is; its pattern has nothing to cut.
-        """
-        end = chunk[-1]
-        word = chunk[:-1] if end in self.stops else chunk
-        if not word[1:].isalpha() or not (word[0] == " " or word[0].isalpha()):
-            return None
-        piece = "".join(map(self.letters.__getitem__, word.encode()))
-        ids = array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
-        return ids + self.stops[end] if end in self.stops else ids
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        found = {c: self._alone(c) for c in chunks}
-        rest = [c for c, ids in found.items() if ids is None]
-        found.update(zip(rest, self._library(rest)))
-        return found
+        self.line_end = self._library(["\n"])[0]
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words; a line end, which none of them has, parts them."""
+        if not words:
+            return []
+        spelt = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        part = f" {self.letters[10]} "
+        lines = [part.join(spelt[i : i + AT_ONCE]) + part for i in range(0, len(spelt), AT_ONCE)]
+        found = self.model.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype="<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, dtype="<u4")[0]) * 4
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        alone = pc.match_substring_regex(pa.array(chunks, pa.string()), WORD).to_pylist()
+        rest = [c for c, a in zip(chunks, alone) if not a]
+        if not rest:
+            return self._words(chunks)
+        words, rest = iter(self._words([*selected(chunks, alone)])), iter(self._library(rest))
+        return [next(words if a else rest) for a in alone]
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         ids = list(map(self.young.get, chunks))
-        if None not in ids:
+        missing = [k for k, i in enumerate(ids) if i is None]
+        if not missing:
             return ids
-        wanted = {c for c, i in zip(chunks, ids) if i is None}
-        fresh = {c: self.old[c] for c in wanted if c in self.old}
-        new = [c for c in wanted if c not in fresh]
-        fresh.update(self._new(new))
-        if len(self.young) + len(fresh) > REMEMBERED:
+        wanted = [chunks[k] for k in missing]
+        found = list(map(self.old.get, wanted))
+        new = iter(self._new([c for c, i in zip(wanted, found) if i is None]))
+        found = [next(new) if i is None else i for i in found]
+        if len(self.young) + len(found) > REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update(fresh)
-        return [fresh[c] if i is None else i for c, i in zip(chunks, ids)]
+        self.young.update(zip(wanted, found))
+        for k, i in zip(missing, found):
+            ids[k] = i
+        return ids
+
+    def _joined(self, chunks: pa.Array, first: np.ndarray, lines: bool) -> list[np.ndarray]:
+        """Ids of texts, from their chunks one after the other and where each text begins.
+
+        lines: a chunk without a space before it has a line end there, but a text's first.
+        Each distinct chunk is put together from that, its word and the marks after it.
+        """
+        coded = chunks.dictionary_encode()
+        chunks, code = coded.dictionary, coded.indices.to_numpy()
+        marked = pc.match_substring_regex(chunks, MARKED)
+        words = pc.if_else(marked, pc.ascii_rtrim(chunks, MARKS), chunks).dictionary_encode()
+        marks = pc.replace_substring_regex(chunks.filter(marked), r"\A ?\p{L}+", "").dictionary_encode()
+        ids = [x for p in (words, marks) for x in p.dictionary.to_numpy(zero_copy_only=False)]
+        ids = [self.line_end, *self._ids(ids)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size
+        part = np.zeros((len(chunks), 3), dtype=np.int64)
+        part[:, 1] = words.indices.to_numpy() + 1
+        marked = np.flatnonzero(marked)
+        part[marked, 2] = marks.indices.to_numpy() + 1 + len(words.dictionary)
+        sizes = size[part]
+        sizes[:, 0] = ~np.asarray(pc.starts_with(chunks, " ")) if lines else 0
+        sizes[:, 2] *= part[:, 2] > 0
+        values = _runs(np.frombuffer(b"".join(ids), dtype="<u4"), start[part].ravel(), sizes.ravel())
+        size = sizes.sum(axis=1)
+        start, size = (np.cumsum(size) - size)[code], size[code]
+        if lines:
+            start[first] += 1
+            size[first] -= 1
+        return np.split(_runs(values, start, size), np.cumsum(np.add.reduceat(size, first))[:-1])
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Words with the space before them; a line's first has none, but its line end."""
+        words = pc.split_pattern(pc.replace_substring(texts, " ", "\n "), "\n")
+        return self._joined(words.flatten(), words.offsets.to_numpy()[:-1], lines=True)
+
+    def _uneven(self, texts: list[str]) -> list[np.ndarray]:
+        """Other white space, or more than one in a row: cut only where that is safe."""
+        chunks = [CUT.split(t) for t in texts]
+        ends = np.cumsum([len(c) for c in chunks])
+        first = np.concatenate(([0], ends[:-1]))
+        return self._joined(pa.array(chain.from_iterable(chunks), pa.string()), first, lines=False)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        even, odd = texts.filter(pc.invert(uneven)), texts.filter(uneven).to_pylist()
+        even, odd = iter(self._even(even) if len(even) else []), iter(self._uneven(odd) if odd else [])
+        return [next(odd if u else even) for u in uneven.to_pylist()]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<u4")
-        if " ".join(text.split()) != text.replace("\n", " "):
-            # Other white space, or more than one in a row: cut only where that is safe.
-            return np.frombuffer(b"".join(self._ids(CUT.split(text))), dtype="<u4")
-        # Words with the space before them; a line's first has none, but its line end.
-        lines = text.split("\n")
-        found = self._ids([x for line in lines for x in _spaced(line)])
-        at = 0
-        for line in lines[:-1]:
-            at += line.count(" ") + 1
-            found[at - 1] += self.line_end
-        return np.frombuffer(b"".join(found), dtype="<u4")
-
-
-def _spaced(line: str) -> list[str]:
-    """A line's first word, and the others with their space."""
-    return line.replace(" ", "\n ").split("\n")
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """So many values from each start on, one after the other."""
+    at = np.repeat(start - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return values[at]
 
 
 @lru_cache(maxsize=2)
@@ -136,84 +195,104 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def _second_of_runs(left: np.ndarray, right: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Places of a run of equal symbols whose pair overlaps the one before that counts."""
-    at = np.flatnonzero((left == right) & inside)
-    first = np.ones(len(at), dtype=bool)
-    first[1:] = np.diff(at) != 1
-    start = np.maximum.accumulate(np.where(first, at, 0))
-    return at[(at - start) % 2 == 1]
+def _second_of_runs(at: np.ndarray, right: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Places, among these, of a run of equal symbols whose pair overlaps the one before that counts."""
+    k = np.flatnonzero(equal)
+    first = np.ones(len(k), dtype=bool)
+    first[1:] = right[k[:-1]] != at[k[1:]]
+    number = np.arange(len(k))
+    start = np.maximum.accumulate(np.where(first, number, 0))
+    return k[(number - start) % 2 == 1]
 
 
-def _counted(pairs: np.ndarray, bucket: np.ndarray, exact: bool):
-    """Which places take part, the number of the pair of each of those, and the pairs by number."""
-    if exact:
-        shown, number = np.unique(pairs, return_inverse=True)
-        return np.ones(len(pairs), dtype=bool), number, shown
-    shown = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
-    shown[bucket] = pairs
-    same = shown[bucket] == pairs
-    return same, bucket[same], shown
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, of so many bits, in ascending order, and where each stood; equal ones stay in order."""
+    places = len(keys).bit_length()
+    if bits + places > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = keys << np.uint64(places)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << places) - 1)).view(np.int64)
+    both >>= np.uint64(places)
+    return both, order
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int):
     """Re-Pair of a shard: (symbols, ends, rules, lengths).
 
-    ids: all ids of the shard; ends: True at the last id of each document.  Pairs are
-    counted in hashed buckets; a busy bucket stands for the pair seen last in it, whose
-    places are then counted exactly.  Another pair of the same bucket waits for a later
-    round, in which the hash is another one.  A round that finds none is repeated with
-    all pairs of the busy buckets counted, so nothing stays hidden when the rounds end.
+    ids: all ids of the shard; ends: True at the last id of each document.  Symbols are
+    linked to their neighbours.  The first round counts all pairs; a later one those that
+    were frequent in the round before it, and those next to a symbol made there: any other
+    pair was rare, and only replacing makes pairs, of the new symbols alone.
     """
-    symbols, last = ids.astype(np.uint32), ends.copy()
-    rules, sizes = [], np.empty(0, dtype=np.int64)
-    turn, exact = 0, False
-    while len(symbols) > 1:
-        top = base + len(rules)
-        left, right = symbols[:-1], symbols[1:]
-        inside = ~last[:-1]
-        inside[_second_of_runs(left, right, inside)] = False
-        hashed = ((left * _ODD[turn % 7] + right) * _ODD[-1]) >> np.uint32(32 - BUCKET_BITS)
-        busy = np.bincount(hashed[inside], minlength=1 << BUCKET_BITS)
-        at = np.flatnonzero((busy >= LEAST)[hashed] & inside)
-        pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        same, number, shown = _counted(pairs, hashed[at], exact)
-        at = at[same]
-        counts = np.bincount(number, minlength=len(shown))
+    n = none = len(ids)
+    symbols, alive = np.append(ids.astype(np.uint32), np.uint32(0)), np.ones(n, dtype=bool)
+    # The neighbours within the document; ``none`` is a place beyond all.
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[:n][ends] = none
+    before[:1] = none
+    before[1:][ends] = none
+    rules, sizes = [np.empty((0, 2), dtype=np.int64)], np.empty(0, dtype=np.int64)
+    marked = np.zeros(n + 1, dtype=bool)
+    at = np.flatnonzero(after[:n] != none)
+    while len(at):
+        top = base + len(sizes)
+        bits = top.bit_length()
+        right = after[at]
+        one, two = symbols[at], symbols[right]
+        second = _second_of_runs(at, right, one == two)
+        overlapped = at[second]
+        pairs = one.astype(np.uint64)
+        pairs <<= np.uint64(bits)
+        pairs |= two
+        del one, two
+        # They go last, as a pair that doesn't occur, and don't count.
+        pairs[second] = (1 << 2 * bits) - 1
+        pairs, order = _in_order(pairs, 2 * bits)
+        pairs, order = pairs[: len(at) - len(second)], order[: len(at) - len(second)]
+        start = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        counts = np.diff(np.append(start, len(pairs)))
         often = np.flatnonzero(counts >= LEAST)
-        turn += 1
         if not len(often):
-            if exact:
-                break
-            exact = True
-            continue
-        exact = False
+            break
         # The most frequent first, equal ones by their symbols.
-        often = often[np.lexsort((shown[often], -counts[often]))]
-        none = len(often)
-        rank_of = np.full(len(shown), none, dtype=np.int32)
-        rank_of[often] = np.arange(none, dtype=np.int32)
-        rank = np.full(len(symbols) + 1, none, dtype=np.int32)
-        rank[at + 1] = rank_of[number]
+        often = often[np.argsort(-counts[often], kind="stable")]
+        rank_of = np.full(len(start), -1, dtype=np.int32)
+        rank_of[often] = np.arange(len(often))
+        rank = np.full(len(at), -1, dtype=np.int32)
+        rank[order] = np.repeat(rank_of, counts)
+        frequent = np.flatnonzero(rank >= 0)
+        at, right, rank = at[frequent], right[frequent], rank[frequent]
         # Of overlapping pairs the more frequent is replaced; the first one wins everywhere.
-        here = rank[at + 1]
-        wins = (here < none) & (here < rank[at]) & (here <= rank[np.minimum(at + 2, len(symbols))])
-        used = np.bincount(here[wins], minlength=none)
-        wins[wins] = used[here[wins]] >= LEAST
-        places = at[wins]
+        apart = right[:-1] != at[1:]
+        wins = np.ones(len(at), dtype=bool)
+        wins[1:] &= apart | (rank[1:] < rank[:-1])
+        wins[:-1] &= apart | (rank[:-1] <= rank[1:])
+        wins = np.flatnonzero(wins)
+        used = np.bincount(rank[wins], minlength=len(often))
+        wins = wins[(used >= LEAST)[rank[wins]]]
         name = np.cumsum(used >= LEAST) - 1 + top
-        made = shown[often[used >= LEAST]]
-        made = np.stack((made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64)
+        made = pairs[start[often[used >= LEAST]]]
+        made = np.stack((made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)), axis=1).astype(np.int64)
+        rules.append(made)
         known = np.concatenate((sizes, [1]))
-        size = lambda x: np.where(x < base, 1, known[np.where(x < base, -1, x - base)])  # noqa: B023, E731
-        rules += made.tolist()
-        sizes = np.concatenate((sizes, size(made[:, 0]) + size(made[:, 1])))
-        symbols[places] = name[here[wins]]
-        last[places] = last[places + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[places + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return symbols, last, np.array(rules, dtype="<u4").reshape(-1, 2), sizes.astype("<u4")
+        sizes = np.concatenate((sizes, known[np.where(made < base, -1, made - base)].sum(axis=1)))
+        places, gone = at[wins], right[wins]
+        symbols[places] = name[rank[wins]]
+        alive[gone] = False
+        after[places] = beyond = after[gone]
+        before[beyond] = places
+        marked[at] = marked[overlapped] = True
+        marked[gone] = False
+        marked[places] = marked[before[places]] = True
+        marked[none] = False
+        at = np.flatnonzero(marked)
+        marked[at] = False
+        at = at[after[at] != none]
+    left = np.flatnonzero(alive)
+    return symbols[left], after[left] == none, np.concatenate(rules).astype("<u4"), sizes.astype("<u4")
 
 
 def packed(symbols: np.ndarray, width: int) -> bytes:
@@ -242,6 +321,17 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         symbols = wide
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """As ``expand``, for a whole shard: what a symbol stands for is spelt out once."""
+    used = np.zeros(base + len(rules), dtype=bool)
+    used[symbols] = True
+    used = np.flatnonzero(used)
+    size = np.concatenate((np.ones(base, dtype=np.int64), lengths))
+    start = np.zeros(len(size), dtype=np.int64)
+    start[used] = np.cumsum(size[used]) - size[used]
+    return _runs(expand(used, rules, base), start[symbols], size[symbols])
+
+
 COLUMNS = (
     "part int, shard int, base int, width int, n_tokens long, symbols binary, rules binary, lengths binary, "
     "doc_ids binary, null_ids binary, doc_symbols binary, doc_tokens binary"
@@ -265,15 +355,23 @@ def _row(part: int, shard: int, docs: list[tuple[int | None, np.ndarray]], base:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], names=_NAMES)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All rows, in batches of about so many bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PORTION, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """The compressed shards of all documents, in ascending order of (part, shard)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = tokenizer(path), TaskContext.get().partitionId()
         held, tokens, shard = [], 0, 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = np.append(encoder.encode(text or ""), np.uint32(end_id))
+        for batch in (x for b in batches for x in _portions(b)):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
+                ids = np.append(ids, np.uint32(end_id))
                 held.append((doc_id, ids))
                 tokens += len(ids)
                 if tokens >= SHARD:
@@ -324,7 +422,7 @@ def documents(table: DataFrame) -> DataFrame:
             n = len(shard.doc_ids)
             before = np.cumsum(shard.doc_tokens) - shard.doc_tokens
             # All of a shard's documents at once; each also stands alone (Shard.document).
-            ids = expand(shard.symbols, shard.rules, shard.base)
+            ids = expand_all(shard.symbols, shard.rules, shard.lengths, shard.base)
             crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(before.tolist(), shard.doc_tokens.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
